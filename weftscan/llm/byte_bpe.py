@@ -125,24 +125,20 @@ class ByteBPE:
         self.tokens = {i: t for t, i in ranks.items()}
         # \s of the pattern is Unicode's White_Space, without the four separators U+001C to U+001F
         self.find = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self._pieces: dict[str, bytes] = {}
         self._chunks = ChunkEncoder(self._encode_chunks, split_leading_space)
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        pieces = self._pieces
-        if len(pieces) > 400_000:
-            pieces.clear()
-        out = []
+        ranks, out = self.ranks, []
         for chunk in chunks:
-            packed = []
+            ids = []
             for piece in self.find(chunk):
-                ids = pieces.get(piece)
-                if ids is None:
-                    ids = pack_ids(merge_pretoken(piece.encode(), self.ranks))
-                    if len(piece) <= 64:
-                        pieces[piece] = ids
-                packed.append(ids)
-            out.append(b"".join(packed))
+                raw = piece.encode()
+                whole = ranks.get(raw)
+                if whole is None:
+                    ids += merge_pretoken(raw, ranks)
+                else:
+                    ids.append(whole)
+            out.append(pack_ids(ids))
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:

@@ -9,7 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local: dict[str, str] = {}
 
@@ -41,3 +42,8 @@ def drop_clashes(docs: DataFrame, names: list[str]) -> DataFrame:
     """``docs`` without the columns that an operator is about to add."""
     taken = {n.lower() for n in names}
     return docs.drop(*[c for c in docs.columns if c.lower() in taken])
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once: lambda variables are bound, not inlined."""
+    return F.element_at(F.transform(F.array(value), body), 1)
