@@ -64,7 +64,7 @@ def quoted_messages(conversations: DataFrame) -> DataFrame:
     found = F.when(F.col("_quoting"), _passages(_lines(F.col("_text")))).otherwise(F.filter(whole, lambda p: F.length(_normal(p["text"])) > 0))
     body = F.when(
         F.col("_quoting"),
-        F.trim(F.array_join(F.transform(F.filter(_lines(F.col("_text")), lambda x: x["level"] == 0), lambda x: x["line"]), "\n")),
+        F.regexp_replace(F.array_join(F.transform(F.filter(_lines(F.col("_text")), lambda x: x["level"] == 0), lambda x: x["line"]), "\n"), r"^\s+|\s+\z", ""),
     ).otherwise(F.coalesce(F.col("_text"), F.lit("")))
     hashed = F.transform(found, lambda p: F.struct(p["level"].alias("level"), F.sha2(_normal(p["text"]), 256).alias("hash")))
     return rows.select("conv_id", "turn", "role", body.alias("body"), hashed.alias("passages"))

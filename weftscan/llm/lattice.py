@@ -9,7 +9,7 @@ double precision; nothing else is.
 Equal vectors of a label are one row with a weight. Only ids go through the counting of cells; vectors follow
 to the cells where something can be found. A cell with many rows is cut into blocks, and a
 task compares two blocks, so no task holds more than two blocks and no pair is ever a
-row: a task returns a count and a link to the smallest neighbour for each vector. A pair that
+row: a task returns a count and a link to the smallest id it reaches for each vector. A pair that
 meets in several cells is counted in the first of them alone, which a task works out
 from the two vectors.
 """
@@ -142,13 +142,27 @@ def _first_meeting(i: np.ndarray, j: np.ndarray, home: np.ndarray, probed: np.nd
     return cell[np.arange(len(i)), table]
 
 
+def _joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Merges the components of linked rows; label has the smallest row of each row's component."""
+    while True:
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return
+        to = np.arange(len(label))
+        np.minimum.at(to, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (to[to] != to).any():
+            to = to[to]
+        label[:] = to[label]
+
+
 def _compare(rows: dict[str, np.ndarray], cosine: float, tables: int, probes: int, scale: float, seed: int) -> list[tuple]:
-    """Counts and smallest neighbours of the vectors of one cell, or of two of its blocks."""
+    """Counts of links, and the smallest ids reachable, of the vectors of one cell or of two of its blocks."""
     x = rows["unit"]
     left = np.flatnonzero(rows["block"] == rows["p"])
     right = np.flatnonzero(rows["block"] == rows["q"])
     count = np.zeros(len(x), np.int64)
-    least = rows["vec_id"].copy()
+    label = np.arange(len(x))
     keys = None
     one = rows["p"] == rows["q"]
     for at in range(0, left.size, 512):
@@ -165,14 +179,16 @@ def _compare(rows: dict[str, np.ndarray], cosine: float, tables: int, probes: in
             ii, jj = i[k : k + 200_000], j[k : k + 200_000]
             exact = np.einsum("nd,nd->n", x[ii], x[jj]) >= cosine
             ii, jj = ii[exact], jj[exact]
-            np.minimum.at(least, ii, rows["vec_id"][jj])
-            np.minimum.at(least, jj, rows["vec_id"][ii])
+            _joined(label, ii, jj)
             if keys is None:
                 keys = lattice_cells(x, rows["label"], tables, probes, scale, seed)
             here = _first_meeting(ii, jj, *keys) == rows["cell"]
             ii, jj = ii[here], jj[here]
             np.add.at(count, ii, rows["weight"][jj])
             np.add.at(count, jj, rows["weight"][ii])
+    least = np.full(len(x), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, rows["vec_id"])
+    least = least[label]
     hit = np.flatnonzero((count > 0) | (least < rows["vec_id"]))
     return [(rows["vec_id"][hit], rows["d1"][hit], count[hit], least[hit])]
 

@@ -108,8 +108,8 @@ def base_rule() -> Rule:
 def default_rules() -> list[Rule]:
     """Rules over the columns of ``text_counts`` and the text, with bounds that prose keeps well within.
 
-    symbols: more than one symbol for every ten words; duplicate_lines: over 30 % of lines repeat;
-    word_length: mean outside 2 to 15 characters; shouting: over half of the cased letters
+    symbols: more than one symbol for every ten words; duplicate_lines: three and over 30 % of lines repeat;
+    stutter: over half of the words equal the word before; word_length: mean outside 2 to 15 characters; shouting: over half of the cased letters
     of a text with at least 40 of them are capitals.
     """
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -118,7 +118,8 @@ def default_rules() -> list[Rule]:
     lines = F.length(t) - F.length(F.translate(t, "\n", "")) + 1
     return [
         Rule("symbols", 10 * F.col("n_symbols") > F.col("n_words")),
-        Rule("duplicate_lines", 10 * F.col("n_dup_lines") > 3 * lines),
+        Rule("duplicate_lines", (F.col("n_dup_lines") >= 3) & (10 * F.col("n_dup_lines") > 3 * lines)),
+        Rule("stutter", let(words_of(t), lambda w: 2 * F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))) > F.size(w))),
         Rule("word_length", (F.col("word_chars") > 15 * F.col("n_words")) | (F.col("word_chars") < 2 * F.col("n_words"))),
         Rule("shouting", (capitals + small >= 40) & (capitals > small)),
     ]
@@ -200,14 +201,15 @@ WITH base AS (
          CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
          length(regexp_replace(b.text, '[^\p{Lu}]+', '', 'g')) AS capitals,
          length(regexp_replace(b.text, '[^\p{Ll}]+', '', 'g')) AS small,
-         length(b.text) - length(replace(b.text, chr(10), '')) + 1 AS n_lines
+         length(b.text) - length(replace(b.text, chr(10), '')) + 1 AS n_lines,
+         len(list_filter(list_zip(w, w[2:]), p -> p[1] = p[2])) AS n_stutter
   FROM base b LEFT JOIN lines l ON b.doc_id = l.doc_id LEFT JOIN cov c ON b.doc_id = c.doc_id
 ), judged AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines
-            OR word_chars > 15 * n_words OR word_chars < 2 * n_words
+       NOT (base_failed OR 10 * n_symbols > n_words OR (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines)
+            OR 2 * n_stutter > n_words OR word_chars > 15 * n_words OR word_chars < 2 * n_words
             OR (capitals + small >= 40 AND capitals > small)) AS kept
 FROM judged
 """

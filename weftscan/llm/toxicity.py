@@ -1,18 +1,19 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
-Training. Tokens are counted by class over labelled documents; the prior of a token is
-Dirichlet with pseudo-counts in proportion to its frequency in all documents, so a token's
-log-odds leave zero only as evidence gathers. Scores are per token: the log-odds, clipped,
-less a drift that makes clean text drift downwards.
+Training. Occurrences of tokens are counted by class over labelled documents. The toxic share of a
+token has a Dirichlet prior whose mean is the share of the other tokens with its first five
+letters, theirs that of the others with the first four, then three, then all: rare and unseen
+forms of a known stem score as their stem, and a token leaves its prior only as evidence gathers.
+A token's score is its log-odds against the share of all tokens, less a drift that makes
+clean text fall.
 
 Scoring. The Ruzzo-Tompa algorithm finds, in one pass, all maximal scoring segments. For
 segments of random clean text the best score follows an extreme-value law: with lambda
-the positive root of sum p(s) exp(lambda s) = 1 over the clean score distribution, a score S in a
+the positive root of sum p(s) exp(lambda s) = 1 over the scores of clean tokens, a score S in a
 text of n tokens has E-value K n exp(-lambda S). Segments with a small E-value are
 significant; a document aggregates theirs.
 
-The final score is a logistic curve over that aggregate, fit on labelled documents that the
-token counts did not see.
+The law and the final logistic curve are fit on labelled documents that the counts did not see.
 """
 
 from __future__ import annotations
@@ -20,19 +21,24 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftscan.llm.store import drop_clashes
+from weftscan.llm.store import drop_clashes, materialize
 
 #: Runs of letters and digits, lower-cased: what counts as a token.
 _TOKEN = re.compile(r"[^\W_]+")
-_TOKEN_SQL = r"(?U)[\p{Alnum}]+"
+#: Letters of the stems that a token inherits from, shortest first.
+STEMS = (3, 4, 5)
+#: Bins of token scores, from -8 in steps of 1/4.
+_BINS, _LOW, _STEP = 64, -8.0, 0.25
 
 
 def tokens_of(text: str | None) -> list[str]:
@@ -41,7 +47,7 @@ def tokens_of(text: str | None) -> list[str]:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Scores of tokens in units of nats, the law of chance segments, and the final curve."""
+    """Scores of tokens and stems (ending in ``*``), the law of chance segments, and the final curve."""
 
     weights: dict[str, float]
     default: float
@@ -107,30 +113,98 @@ def karlin_lambda(values: np.ndarray, shares: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def passages(text: str | None, model: ToxicityModel, e_value: float = 0.1) -> tuple[float, list[tuple[int, int, float]]]:
-    """(aggregate, significant passages as (first token, last token + 1, score)) of a whole text.
+class TokenScores(dict):
+    """Scores by token: its own, else that of its longest stem with one, else the default. Bounded."""
 
-    The aggregate sums log10 of 1 / E over significant segments, the best segment counting
-    whatever its E-value.
-    """
-    get, default = model.weights.get, model.default
-    scores = [get(t, default) for t in tokens_of(text)]
+    def __init__(self, model: ToxicityModel):
+        super().__init__()
+        self.weights, self.default = model.weights, model.default
+
+    def __missing__(self, token: str) -> float:
+        score = self.weights.get(token)
+        for k in reversed(STEMS):
+            if score is None and len(token) >= k:
+                score = self.weights.get(token[:k] + "*")
+        score = self.default if score is None else score
+        if len(self) > 500_000:
+            self.clear()
+        if len(token) <= 64:
+            self[token] = score
+        return score
+
+
+def strength(scores: np.ndarray, n: int, lam: float, k: float) -> np.ndarray:
+    """log10 of 1 / E of segment scores in a text of n tokens."""
+    return (lam * scores - math.log(k * max(n, 1))) / math.log(10)
+
+
+def aggregate_of(segments: list[float], n: int, lam: float, k: float, e_value: float) -> float:
+    """The sum of the strengths of significant segments, or the strength of the best one if none is."""
+    if not segments:
+        return float(strength(np.zeros(1), n, lam, k)[0])
+    x = strength(np.array(segments), n, lam, k)
+    return max(float(x.max()), float(x[x >= -math.log10(e_value)].sum()))
+
+
+def passages(text: str | None, model: ToxicityModel, scores_of: TokenScores, e_value: float = 0.1) -> tuple[float, list[tuple[int, int, float]]]:
+    """(aggregate, significant passages as (first token, last token + 1, score)) of a whole text."""
+    scores = [scores_of[t] for t in tokens_of(text)]
     segments = maximal_segments(scores)
+    n, least = len(scores), -math.log10(e_value)
+    aggregate = aggregate_of([s for _, _, s in segments], n, model.lam, model.k, e_value)
     if not segments:
-        return -math.log10(max(model.k * max(len(scores), 1), 1e-9)), []
-    log_n = math.log(model.k * len(scores))
-    strength = [(model.lam * s - log_n) / math.log(10) for _, _, s in segments]
-    found = [seg for seg, x in zip(segments, strength, strict=True) if x >= -math.log10(e_value)]
-    return max(max(strength), sum(x for x in strength if x >= -math.log10(e_value))), found
+        return aggregate, []
+    strong = strength(np.array([s for _, _, s in segments]), n, model.lam, model.k) >= least
+    return aggregate, [seg for seg, x in zip(segments, strong.tolist(), strict=True) if x]
 
 
 def score_of(aggregate: float, model: ToxicityModel) -> float:
     return 1 / (1 + math.exp(-max(-60.0, min(60.0, model.slope * aggregate + model.offset))))
 
 
-def _token_rows(docs: DataFrame, *keep: str) -> DataFrame:
-    text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.select(*keep, F.explode(F.regexp_extract_all(text, F.lit(_TOKEN_SQL), F.lit(0))).alias("token"))
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts (token, n1, n0) of rows (text, toxic)."""
+    counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def partial() -> pa.RecordBatch:
+        tokens = list(counts[0].keys() | counts[1].keys())
+        columns = [pa.array(tokens, pa.string()), *(pa.array([c[t] for t in tokens], pa.int64()) for c in reversed(counts))]
+        for c in counts:
+            c.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["token", "n1", "n0"])
+
+    for b in batches:
+        for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            counts[toxic].update(tokens_of(text))
+            if len(counts[0]) + len(counts[1]) > 300_000:
+                yield partial()
+    yield partial()
+
+
+def _shares(counts: DataFrame, base: float, prior: float) -> DataFrame:
+    """(feature, n1, n0, share, parent): toxic shares of stems and tokens under the chain of priors."""
+    both = [F.sum("n1").alias("n1"), F.sum("n0").alias("n0")]
+    levels = counts.select("token", "n1", "n0", *[F.when(F.length("token") >= k, F.substring("token", 1, k)).alias(f"s{k}") for k in STEMS])
+
+    def posterior(n1, n0, mean):
+        return (n1 + prior * mean) / (n1 + n0 + prior)
+
+    out, above = [], None
+    for k, name in [*((k, f"s{k}") for k in STEMS), (0, "token")]:
+        rows = levels.where(F.col(name).isNotNull()).groupBy(name, *([above] if above else [])).agg(*both) if k else levels.select("token", *([above] if above else []), "n1", "n0")
+        if above:
+            # what the stem's other members say, without this one's own counts
+            up = stems.select(F.col(above), F.col("n1").alias("u1"), F.col("n0").alias("u0"), F.col("prior_mean").alias("m"))
+            rows = rows.join(up, above, "left")
+            others = posterior(F.col("u1") - F.col("n1"), F.col("u0") - F.col("n0"), F.col("m"))
+            rows = rows.withColumn("prior_mean", F.coalesce(others, F.lit(base)))
+        else:
+            rows = rows.withColumn("prior_mean", F.lit(base))
+        stems = rows.select(name, "n1", "n0", "prior_mean")
+        feature = F.concat(F.col(name), F.lit("*")) if k else F.col(name)
+        out.append(stems.select(feature.alias("feature"), "n1", "n0", posterior(F.col("n1"), F.col("n0"), F.col("prior_mean")).alias("share"), F.col("prior_mean").alias("parent")))
+        above = name
+    return reduce(DataFrame.unionAll, out)
 
 
 def _fit_curve(x: np.ndarray, y: np.ndarray, at: float) -> tuple[float, float]:
@@ -151,71 +225,69 @@ def _fit_curve(x: np.ndarray, y: np.ndarray, at: float) -> tuple[float, float]:
 
 
 def train(
-    docs: DataFrame,
     labelled: DataFrame,
     cut_score: float = 0.3,
-    prior_tokens: float = 2000.0,
-    clip: float = 4.0,
+    prior: float = 8.0,
+    clip: float = 6.0,
     drift: float = 0.35,
-    table_tokens: int = 50_000,
+    table_features: int = 50_000,
     curve_rows: int = 20_000,
+    k: float = 0.1,
+    e_value: float = 0.1,
 ) -> ToxicityModel:
-    """Fit on ``labelled`` (doc_id, text, toxic 0 or 1); the prior counts the tokens of all ``docs`` (text).
+    """Fit on ``labelled`` (doc_id, text, toxic 0 or 1).
 
-    Two thirds of the labelled rows, by a hash of doc_id, give token counts, over all of them; at most
-    ``curve_rows`` of the others, those with the smallest hashes, fit the curve. The model
-    keeps the ``table_tokens`` tokens of largest z-score, which bounds what is sent to
-    workers; other tokens score as unknown ones.
+    Three quarters of the labelled rows, by a hash of doc_id, give token counts, over all of them; at most
+    ``curve_rows`` of the others, those with the smallest hashes, fit the law and the curve. The
+    model keeps the ``table_features`` tokens and stems that tell most beyond their prior,
+    which bounds what is sent to workers. Without rows of both classes every text scores
+    below ``cut_score``.
     """
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(3))
-    known = labelled.where(F.col("toxic").isin(0, 1)).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    counts = (
-        _token_rows(known.where(part != 0), "toxic")
-        .groupBy("token")
-        .agg(F.count_if(F.col("toxic") == 1).alias("n1"), F.count_if(F.col("toxic") == 0).alias("n0"))
-    )
-    corpus = _token_rows(docs).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    both = counts.join(corpus, "token", "left").withColumn("n", F.coalesce("n", F.col("n1") + F.col("n0")))
-    sums = corpus.agg(F.sum("n")).first()[0] or 0
-    classes = counts.agg(F.sum("n1"), F.sum("n0")).first()
-    t1, t0 = float(classes[0] or 0), float(classes[1] or 0)
-    a = prior_tokens * F.col("n") / F.lit(float(max(sums, 1)))
-    odds = lambda n, t: F.log((n + a) / (F.lit(t + prior_tokens) - n - a))
-    delta = odds(F.col("n1"), t1) - odds(F.col("n0"), t0)
-    spread = F.sqrt(1 / (F.col("n1") + a) + 1 / (F.col("n0") + a))
-    table = both.select("token", "n0", delta.alias("delta"), (delta / spread).alias("z")).where(F.abs("z") >= 2.0)
-    top = table.orderBy(F.abs("z").desc(), "token").limit(table_tokens).collect()
-    weights = {r.token: max(-clip, min(clip, r.delta)) * min(1.0, abs(r.z) / 4.0) - drift for r in top}
-    values, shares = _clean_law(top, weights, -drift, t0)
-    lam = karlin_lambda(values, shares)
-    model = ToxicityModel(weights, -drift, lam, 0.1, 1.0, 0.0)
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(4))
+    known = labelled.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    partial = known.where(part != 0).select("text", "toxic").mapInArrow(_counted, "token string, n1 long, n0 long")
+    counts = materialize(partial.groupBy("token").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")))
+    t1, t0 = (float(x or 0) for x in counts.agg(F.sum("n1"), F.sum("n0")).first())
+    base = min(max(t1 / max(t1 + t0, 1.0), 1e-6), 1 - 1e-6)
+    share, parent = F.col("share"), F.col("parent")
+    gain = F.col("n1") * F.log(share / parent) + F.col("n0") * F.log((1 - share) / (1 - parent))
+    odds = F.log(share / (1 - share)) - F.lit(math.log(base / (1 - base)))
+    told = _shares(counts, base, prior).select("feature", odds.alias("odds"), gain.alias("gain")).where(F.col("gain") >= 1.0)
+    top = told.orderBy(F.col("gain").desc(), "feature").limit(table_features).collect()
+    model = ToxicityModel({r.feature: max(-clip, min(clip, r.odds)) - drift for r in top}, -drift, 1.0, k, 1.0, math.log(cut_score / (1 - cut_score)) - 3.0)
     held = known.where(part == 0).select("text", "toxic", F.xxhash64(F.lit(7), "doc_id").alias("h")).orderBy("h").limit(curve_rows)
-    pairs = _aggregates(held, model).collect()
-    x, y = np.array([r.aggregate for r in pairs]), np.array([r.toxic for r in pairs], float)
-    if x.size == 0 or y.min() == y.max():
-        return ToxicityModel(weights, -drift, lam, 0.1, 1.0, math.log(cut_score / (1 - cut_score)) - 3.0)
+    rows = _profiles(held, model).collect()
+    y = np.array([r.toxic for r in rows], float)
+    clean = np.sum([r.bins for r in rows if not r.toxic] or [[0] * _BINS], axis=0).astype(float)
+    if not y.size or y.min() == y.max() or not clean.sum():
+        return model
+    values = _LOW + _STEP * (np.arange(_BINS) + 0.5)
+    # as if one clean token in ten thousand had a positive score at random
+    shares = clean + 1e-4 * clean.sum() * (values > 0) / (values > 0).sum()
+    lam = karlin_lambda(values, shares / shares.sum())
+    x = np.array([aggregate_of(r.segments, r.n, lam, k, e_value) for r in rows])
     slope, offset = _fit_curve(x, y, cut_score)
-    return ToxicityModel(weights, -drift, lam, 0.1, slope, offset)
-
-
-def _clean_law(top: list, weights: dict[str, float], default: float, clean_tokens: float) -> tuple[np.ndarray, np.ndarray]:
-    """Score values and their shares among the tokens of clean documents."""
-    values = np.array([weights[r.token] for r in top] + [default])
-    seen = np.array([float(r.n0) for r in top])
-    rest = max(clean_tokens - seen.sum(), 1.0)
-    shares = np.concatenate([seen + 0.01, [rest]])
-    return values, shares / shares.sum()
+    return replace(model, lam=lam, slope=slope, offset=offset)
 
 
-def _aggregates(rows: DataFrame, model: ToxicityModel) -> DataFrame:
+def _profiles(rows: DataFrame, model: ToxicityModel) -> DataFrame:
+    """toxic, n (tokens), segments (scores) and bins (counts of token scores) of rows (text, toxic)."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores_of = TokenScores(sent.value)
         for b in batches:
-            got = [passages(t, sent.value)[0] for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(got, pa.float64()), b.column(1)], names=["aggregate", "toxic"])
+            n, segments, bins = [], [], []
+            for text in b.column(0).to_pylist():
+                scores = [scores_of[t] for t in tokens_of(text)]
+                n.append(len(scores))
+                segments.append([s for _, _, s in maximal_segments(scores)])
+                at = np.clip((np.array(scores) - _LOW) / _STEP, 0, _BINS - 1).astype(int)
+                bins.append(np.bincount(at, minlength=_BINS).tolist())
+            lists = [pa.array(segments, pa.list_(pa.float64())), pa.array(bins, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n, pa.int64()), *lists], names=["toxic", "n", "segments", "bins"])
 
-    return rows.select("text", "toxic").mapInArrow(run, "aggregate double, toxic int")
+    return rows.select("text", "toxic").mapInArrow(run, "toxic int, n long, segments array<double>, bins array<long>")
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
@@ -233,10 +305,11 @@ def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = 0.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32()), ("score", pa.float64())]))
+        scores_of = TokenScores(sent.value)
         for b in batches:
             scores, found = [], []
             for t in b.column(at).to_pylist():
-                aggregate, segments = passages(t, sent.value)
+                aggregate, segments = passages(t, sent.value, scores_of)
                 scores.append(score_of(aggregate, sent.value))
                 found.append([{"first": a, "stop": z, "score": s} for a, z, s in segments])
             new = [pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(found, kind)]
@@ -256,4 +329,4 @@ def held_out(doc_id: Column) -> Column:
 def train_on_labels(docs: DataFrame, labels: DataFrame, **options) -> ToxicityModel:
     """``train`` on the labels of ``docs`` that are not held out."""
     known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return train(docs.select("text"), docs.select("doc_id", "text").join(known, "doc_id"), **options)
+    return train(docs.select("doc_id", "text").join(known, "doc_id"), **options)
