@@ -10,19 +10,14 @@ is one join of chunk encodings and its checksum needs no unpacking.
 from __future__ import annotations
 
 import functools
-import re
 import struct
 from collections.abc import Callable, Iterable
 
 #: Entries a worker remembers before it starts anew; about 200 bytes each.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 700_000
 #: Longer chunks are encoded each time they occur.
 MEMO_CHUNK_CHARS = 64
 
-#: White space runs, other white space than space and newline, or white space at an end.
-_IRREGULAR = re.compile(r"\s\s|[^\S \n]|^\s|\s\Z")
-
-
 def split_dropping_space(text: str) -> list[str]:
     """Chunks for pre-tokenizers that drop white space: cut at spaces and newlines."""
     return [c for c in text.replace("\n", " ").split(" ") if c]
@@ -37,62 +32,122 @@ def split_leading_space(text: str) -> list[str]:
     """
     if not text:
         return []
-    if _IRREGULAR.search(text):
+    words = text.split()
+    gaps = len(words) - 1
+    # every gap is one character, each of them a space or a newline, and none is at an end
+    regular = sum(map(len, words)) + gaps == len(text) and text.count(" ") + text.count("\n") == gaps and not text[0].isspace()
+    if not regular or "\x00" in text:
         return [text]
-    return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") if "\x00" not in text else [text]
+    return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
 
 
 class ChunkEncoder:
     """``encode(texts)`` gives the packed ids of each text.
 
-    ``encode_many`` encodes a list of chunks to packed ids; ``split`` cuts a text.
+    ``encode_many`` encodes a list of chunks to packed ids; ``split`` cuts a text. The memo has two
+    generations: when the young one is full it becomes the old one, and what is met again
+    returns to the young one, so common chunks stay and memory is bounded.
     """
 
     def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], split: Callable[[str], list[str]], entries: int = MEMO_ENTRIES):
         self._encode_many, self._split, self._entries = encode_many, split, entries
         self._memo: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        memo, out = self._memo, []
-        for text in texts:
-            chunks = self._split(text) if text else []
-            try:
-                out.append(b"".join([memo[c] for c in chunks]))
-            except KeyError:
-                out.append(self._with_new(chunks))
-                memo = self._memo
+        split = self._split
+        chunks = [split(t) if t else [] for t in texts]
+        new = set().union(*chunks).difference(self._memo)
+        if new:
+            self._learn(new)
+        get = self._memo.__getitem__
+        out = [b"".join(map(get, c)) for c in chunks]
+        for c in new:
+            if len(c) > MEMO_CHUNK_CHARS:
+                del self._memo[c]
+        if len(self._memo) > self._entries:
+            self._memo, self._old = {}, self._memo
         return out
 
-    def _with_new(self, chunks: list[str]) -> bytes:
-        if len(self._memo) > self._entries:
-            self._memo = {}
-        new = [c for c in dict.fromkeys(chunks) if c not in self._memo]
-        got = dict(zip(new, self._encode_many(new), strict=True))
-        ids = b"".join([got[c] if c in got else self._memo[c] for c in chunks])
-        self._memo.update((c, v) for c, v in got.items() if len(c) <= MEMO_CHUNK_CHARS)
-        return ids
+    def _learn(self, new: set[str]) -> None:
+        memo, old = self._memo, self._old
+        known = {c for c in new if c in old} if old else set()
+        memo.update((c, old[c]) for c in known)
+        ended, whole = [], set()
+        for c in new.difference(known):
+            # a stop or comma after a letter is a pre-token of its own
+            if c[-1] in ".," and len(c) > 1 and c[-2] < "\u0250" and c[-2].isalpha():
+                ended.append(c)
+                whole.update((c[:-1], c[-1]))
+            else:
+                whole.add(c)
+        missing = [c for c in whole if c not in memo]
+        memo.update(zip(missing, self._encode_many(missing), strict=True))
+        memo.update((c, memo[c[:-1]] + memo[c[-1]]) for c in ended)
+        for c in missing:
+            if len(c) > MEMO_CHUNK_CHARS and c not in new:
+                del memo[c]
 
 
 def pack_ids(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def byte_alphabet() -> list[str]:
+    """The characters that byte-level vocabularies write bytes as: visible Latin-1 ones stand for themselves,
+    the others in order for U+0100 onwards."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return [chr(b) if b in visible else chr(0x100 + hidden.index(b)) for b in range(256)]
+
+
 @functools.lru_cache(maxsize=4)
 def library_encoder(path: str, keeps_space: bool) -> ChunkEncoder:
     """A memoised encoder over the tokenizers library, one for each worker and file.
 
     Strings of special tokens are ordinary text. ``keeps_space``: whether the
     pre-tokenizer keeps white space (byte-level) or drops it (word ends).
+
+    A new chunk of letters below U+0250 is one pre-token, normal as it is but for its case, and goes
+    straight to the library's model. Other new chunks go to the library in one call, joined by a pre-token that is one token and stays
+    apart: a newline where white space is kept, else a bar between spaces. The ids between two
+    of these are those of a chunk. Chunks that hold it themselves, and very long ones, are encoded alone.
     """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import numpy as np
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
+    held, mark = ("\n", "\n") if keeps_space else ("|", " | ")
+    (mark_id,) = tokenizer.encode(held, add_special_tokens=False).ids
+    alphabet = byte_alphabet()
+
+    tokenize, normalize = tokenizer.model.tokenize, (str if keeps_space else str.lower)
+
+    def by_model(word: str) -> bytes:
+        # one pre-token: what normalizer and pre-tokenizer would hand to the model, by the byte alphabet
+        word = normalize(word)
+        return pack_ids([t.id for t in tokenize(word.replace(" ", "\u0120") if word.isascii() else "".join(map(alphabet.__getitem__, word.encode())))])
 
     def encode_many(chunks: list[str]) -> list[bytes]:
-        return [pack_ids(e.ids) for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        got, rest = {}, []
+        for c in chunks:
+            word = c[1:] if keeps_space and c[0] == " " else c
+            if word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word)) and len(word) <= 1000:
+                got[c] = by_model(c)
+            elif held in c or len(c) > 1000 or (keeps_space and c[-1].isspace()):
+                got[c] = pack_ids(tokenizer.encode(c, add_special_tokens=False).ids)
+            else:
+                rest.append(c)
+        if rest:
+            ids = np.array(tokenizer.encode_batch_fast([mark.join(rest)], add_special_tokens=False)[0].ids, "<u4")
+            raw, at = ids.tobytes(), 0
+            for c, end in zip(rest, [*np.flatnonzero(ids == mark_id).tolist(), ids.size], strict=True):
+                got[c] = raw[4 * at : 4 * end]
+                at = end + 1
+        return [got[c] for c in chunks]
 
     return ChunkEncoder(encode_many, split_leading_space if keeps_space else split_dropping_space)

@@ -36,74 +36,41 @@ def bin_capacities(tokens: int, capacity: int) -> list[int]:
     return [capacity] * full + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-class _Bins:
-    """Sequences by room left; finds the cheapest with at least some room in log time."""
-
-    def __init__(self, capacities: list[int], capacity: int, linear: float, quadratic: float):
-        self.linear, self.quadratic = linear, quadratic
-        self.size = 1 << max(1, capacity.bit_length())
-        self.rooms: list[list[tuple[float, int]]] = [[] for _ in range(self.size)]
-        self.tree: list[tuple[float, int, int] | None] = [None] * (2 * self.size)
-        self.used = [0] * len(capacities)
-        for i, room in enumerate(capacities):
-            self.rooms[room].append((0.0, i))
-        for room, bins in enumerate(self.rooms):
-            heapq.heapify(bins)
-            if bins:
-                self.tree[self.size + room] = (*bins[0], room)
-        for k in range(self.size - 1, 0, -1):
-            self.tree[k] = self._less(self.tree[2 * k], self.tree[2 * k + 1])
-
-    @staticmethod
-    def _less(a, b):
-        return b if a is None else a if b is None or a <= b else b
-
-    def _refresh(self, room: int) -> None:
-        k, bins = self.size + room, self.rooms[room]
-        self.tree[k] = (*bins[0], room) if bins else None
-        while k > 1:
-            k //= 2
-            self.tree[k] = self._less(self.tree[2 * k], self.tree[2 * k + 1])
-
-    def cheapest(self, least: int):
-        """(cost, sequence, room) of the cheapest sequence with room for ``least`` tokens, or None."""
-        lo, hi, best = self.size + least, 2 * self.size, None
-        while lo < hi:
-            if lo & 1:
-                best, lo = self._less(best, self.tree[lo]), lo + 1
-            if hi & 1:
-                hi -= 1
-                best = self._less(best, self.tree[hi])
-            lo, hi = lo // 2, hi // 2
-        return best
-
-    def put(self, found, length: int) -> tuple[int, int]:
-        """Takes ``length`` tokens into a sequence found before; gives (sequence, offset)."""
-        cost, i, room = found
-        heapq.heappop(self.rooms[room])
-        self._refresh(room)
-        if room > length:
-            heapq.heappush(self.rooms[room - length], (cost + self.linear * length + self.quadratic * length * length, i))
-            self._refresh(room - length)
-        offset = self.used[i]
-        self.used[i] += length
-        return i, offset
-
-
 def pack_lengths(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: float = 1.0 / 1024) -> list[tuple[int, int, int, int, int]]:
     """Pieces (item, start in the item, length, sequence, offset in it) of all items.
 
-    Items of length 0 have no piece. Ties are broken by the item's number. Every
+    Items of length 0 have no piece. Ties are broken by the item's number, then the sequence's. Every
     sequence is filled to its planned capacity, so the sum of lengths is covered exactly.
     """
-    bins = _Bins(bin_capacities(sum(lengths), capacity), capacity, linear, quadratic)
+    rooms = bin_capacities(sum(lengths), capacity)
+    planned = list(rooms)
+    with_room = [0] * (capacity + 1)  # sequences by room left, to know at once that an item fits nowhere
+    for r in rooms:
+        with_room[r] += 1
+    most = max(rooms, default=0)
+    cheapest = [(0.0, k) for k in range(len(rooms))]
+    heapq.heapify(cheapest)
     pieces = []
     for item in sorted(range(len(lengths)), key=lambda k: (-lengths[k], k)):
         start, left = 0, lengths[item]
         while left:
-            found = bins.cheapest(left) or bins.cheapest(1)
-            taken = min(left, found[2])
-            pieces.append((item, start, taken, *bins.put(found, taken)))
+            while not with_room[most]:
+                most -= 1
+            wanted, passed = (left if left <= most else 1), []
+            cost, k = heapq.heappop(cheapest)
+            while rooms[k] < wanted:
+                passed.append((cost, k))
+                cost, k = heapq.heappop(cheapest)
+            room = rooms[k]
+            taken = left if left < room else room
+            pieces.append((item, start, taken, k, planned[k] - room))
+            with_room[room] -= 1
+            rooms[k] = room - taken
+            if room > taken:
+                with_room[room - taken] += 1
+                heapq.heappush(cheapest, (cost + linear * taken + quadratic * taken * taken, k))
+            for x in passed:
+                heapq.heappush(cheapest, x)
             start, left = start + taken, left - taken
     return pieces
 
