@@ -1,15 +1,316 @@
-"""The queries of the library and the SQL that checks them."""
+"""The queries of the library and the SQL that checks them.
+
+Three kinds: queries on the ``pages`` table; operators with parameters on other tables, which stand in for sites
+and pages (they test the operator and not a web rule); and rules over the literal fixture.
+"""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from weftscan.functions import html, robots, urls
+from weftscan.operators import graph, sampling, shapes
+from weftscan.plans import claims, compose, fixture, rule_sql
+from weftscan.plans import rules as R
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Pages
+
+
+def page_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by registrable domain and page type."""
+    u = F.col("url")
+    typed = table(spark, sf_dir, "pages").select(urls.registrable_domain(urls.host(u)).alias("domain"), urls.page_type(u).alias("t"))
+    return typed.groupBy("domain", F.col("t.page_type").alias("page_type"), F.col("t.confidence").alias("confidence")).agg(F.count(F.lit(1)).alias("discovered"))
+
+
+def page_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical address, host, domain, www twin, section and depth of each page."""
+    n = urls.normalise(F.col("url"))
+    s = urls.section_of(n)
+    return table(spark, sf_dir, "pages").select(
+        "page_id",
+        n.alias("normalised"),
+        urls.host(n).alias("host"),
+        urls.registrable_domain(urls.host(n)).alias("domain"),
+        urls.twin_netloc(urls.netloc(n)).alias("twin"),
+        urls.path_and_query(n).alias("path_and_query"),
+        s["section"].alias("section"),
+        s["depth"].cast("long").alias("depth"),
+    )
+
+
+def page_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of each canonical address and the number of its copies."""
+    rows = table(spark, sf_dir, "pages").select(urls.normalise(F.col("url")).alias("normalised"), "page_id")
+    return shapes.keep_first(rows, ["normalised"], ["page_id"])
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.page_evidence(html.parse_pages(table(spark, sf_dir, "pages")))
+
+
+def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings of level one, language and forms of each page, by the parser."""
+    p = _parsed(spark, sf_dir)
+    return p.select("page_id", F.size(F.filter("parsed.headings", lambda h: h["level"] == 1)).cast("long").alias("n_h1"), F.col("parsed.lang").alias("lang"), F.col("parsed.forms").cast("long").alias("forms"))
+
+
+def page_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text measurements of each page."""
+    columns = ["text_len", "hidden_text_len", "text_hash", "word_count", "boilerplate_ratio", "longest_block_words", "heading_density_per_1k", "link_total", "image_total", "microdata", "excerpt"]
+    return _parsed(spark, sf_dir).select("page_id", "url", "page_type", "type_confidence", *[F.col(f"parsed.{c}").alias(c) for c in columns], F.size("parsed.visible_dates").alias("n_dates"), F.size("parsed.nodes").alias("n_nodes"))
+
+
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, sf_dir).groupBy(F.col("parsed.lang").alias("lang")).agg(F.count(F.lit(1)).alias("pages"))
+
+
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct links of each site to its own pages, and how many sites have them."""
+    parsed = html.parse_pages(table(spark, sf_dir, "pages"))
+    own = parsed.select(urls.netloc(F.col("url")).alias("site_id"), (F.row_number().over(Window.partitionBy(urls.netloc(F.col("url"))).orderBy("page_id")) - 1).alias("page_seq"), urls.normalise(F.col("url")).alias("url"), F.col("parsed.targets").alias("targets"))
+    sites = own.select("site_id", F.col("site_id").alias("place")).distinct()
+    return graph.link_edges(own, sites)[0].groupBy("site_id").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
+
+
+def page_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greedy stratified sample of thirty addresses of the whole table as one frontier for each top domain."""
+    u = urls.normalise(F.col("url"))
+    frontier = table(spark, sf_dir, "pages").select(F.substring_index(urls.host(u), ".", -1).alias("site_id"), u.alias("url")).distinct()
+    return sampling.greedy_sample(frontier, 30)
+
+
+# Operators on other tables
+
+
+def user_error_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shapes.share_of_group(table(spark, sf_dir, "events"), ["user_id"], F.col("event_type") == "error", 2, 0.2)
+
+
+def user_error_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types of each hour with many large values: one row for the hour if several types fire over half of it."""
+    events = table(spark, sf_dir, "events").withColumn("hour", F.hour("ts"))
+    total = events.groupBy("hour").agg(F.count(F.lit(1)).alias("total"))
+    shares = shapes.share_of_group(events, ["hour", "event_type"], F.col("value") > 20, 2, 0.5).join(total, "hour")
+    return shapes.roll_up(shares, "hour", "event_type", F.col("total"))
+
+
+def user_value_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shapes.median_against(table(spark, sf_dir, "events"), ["user_id"], F.col("value"), 60.0, 5)
+
+
+def user_type_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shapes.pivot_compare(table(spark, sf_dir, "events"), ["user_id"], "event_type", "value", "view", ["click", "error", "purchase", "signup"])
+
+
+def user_top_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = shapes.top_n(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), ["user_id"], [F.desc("value"), F.col("event_id")], 5)
+    return ranked.withColumn("rank", F.col("rank").cast("long"))
+
+
+def document_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first document of each text, by its digest."""
+    rows = table(spark, sf_dir, "documents").select(F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "doc_id", "lang", "source")
+    return shapes.keep_first(rows, ["digest"], ["doc_id"])
+
+
+def document_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, and labelled documents, by language and source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return shapes.strata(docs, docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi"), ["lang", "source"])
+
+
+def document_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hundred documents dealt in turns over languages and sources."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    picked = sampling.round_robin(docs, ["lang"], ["source"], [F.col("doc_id")], 200)
+    return picked.select("doc_id", "lang", "source", F.col("pick").cast("long").alias("pick"))
+
+
+# Fixture
+
+
+def severity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity and priority of every combination of inputs."""
+    parts = {"blocking": [True, False], "breadth": ["site", "section", "page"], "importance": ["primary", "secondary"], "confidence": ["high", "medium", "low"], "effort": compose.EFFORTS, "status": ["found", "risk", "proactive"]}
+    rows = spark.range(1).select(*[F.array(*map(F.lit, v)).alias(k) for k, v in parts.items()])
+    for k in parts:
+        rows = rows.withColumn(k, F.explode(k))
+    raw = compose.severity(F.col("blocking"), F.col("breadth"), F.col("importance"), F.col("confidence"))
+    rows = rows.withColumn("severity", compose.capped_severity(raw, F.col("status"))).withColumn("priority", compose.priority(F.col("severity"), F.col("effort"), F.col("status")))
+    return rows.withColumn("impossible", compose.violation(F.col("severity"), F.col("priority"), F.col("status")).isNotNull())
+
+
+def rule_query(rule_id: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = R.CATALOGUE[rule_id].judge(fixture.evidence(spark)).drop("detail")
+        return found.withColumns({"page_types": F.array_join("page_types", ","), "urls": F.array_join("urls", " ")})
+
+    query.__name__ = "rule_" + rule_id.lower().replace("-", "_")
+    return query
+
+
+def report_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings of the fixture's sites in report order."""
+    found = compose.findings_of(fixture.evidence(spark))
+    return found.select("site_id", "id", "rule_id", "severity", "priority", "status", "confidence", "breadth", "pages_affected", "pages_examined", F.array_join("page_types", ",").alias("page_types"), F.array_join("conditional_on", ",").alias("conditional_on"))
+
+
+def reports_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compose.markdown(compose.assemble(fixture.evidence(spark)))
+
+
+def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = fixture.evidence(spark)
+    return compose.summary_of(ev, compose.findings_of(ev))
+
+
+def claims_promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = claims.promote(fixture.evidence(spark).candidates)
+    return out.withColumn("from_candidates", F.array_join("from_candidates", ",")).withColumn("seq", F.col("seq").cast("long"))
+
+
+def claim_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates found in the fixture's pages."""
+    pages = fixture.evidence(spark).pages.withColumn("text", F.coalesce("rendered_text", "raw_text"))
+    return claims.candidates(claims.observations(pages))
+
+
+def site_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = fixture.evidence(spark)
+    return graph.orphans(ev.pages, ev.edges)
+
+
+def site_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = fixture.evidence(spark)
+    return graph.depths(ev.pages, ev.edges).withColumn("depth", F.col("depth").cast("long"))
+
+
+_ROBOTS = [
+    ("/a", True, "/a"), ("/a", False, "/a"), ("/a/b", True, "/a"), ("/a/b", False, "/a/b"), ("/x.php", False, "/*.php$"), ("/x.php?q", False, "/*.php$"), ("/[s]/1", False, "/[s]/"),
+    ("/s/1", False, "/[s]/"), ("/", False, ""), ("/fish.html", True, "/fish*"), ("/fish.html", False, "/"), ("/Fish", False, "/fish"), ("/p%2bq", False, "/p%2B"), ("/a?b=1", False, "/a?b"), ("/q", False, "/$"),
+]
+
+
+def robots_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether rules apply to paths."""
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(_ROBOTS)], "case_id int, path string, allow boolean, pattern string")
+    return rows.withColumn("applies", robots.matches(F.col("path"), F.col("pattern")))
+
+
+def robots_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest rule that applies decides for each agent, site and page of the fixture."""
+    ev = fixture.evidence(spark)
+    rules = robots.governing_rules(ev.groups, ev.agents)
+    paths = ev.pages.select("site_id", urls.path_and_query(F.col("final_url")).alias("path"))
+    return robots.decide(paths, rules).groupBy("site_id", "agent").agg(F.count_if("allowed").alias("open"), F.count_if(~F.col("allowed")).alias("closed"))
+
+
+_TABLE = (
+    page_strata, page_addresses, page_duplicates, page_headings, page_measurements, page_languages, page_links, page_sample, user_error_share, user_error_rollup, user_value_median,
+    user_type_pivot, user_top_events, document_copies, document_strata, document_round_robin, severity_table, report_findings, reports_markdown, report_summary, claims_promoted,
+    claim_candidates, site_orphans, site_depths, robots_matches, robots_decisions,
+)
+
+
+def queries() -> dict[str, Query]:
+    found = {f.__name__: f for f in _TABLE}
+    return found | {q.__name__: q for q in map(rule_query, R.CATALOGUE)}
+
+
+# SQL
+
+_WORDS = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
+_ADDRESS = rf"""
+raw AS (SELECT page_id, url, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS place,
+  regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS rawpath, regexp_extract(url, '\?([^#]*)', 1) AS q FROM pages),
+part AS (SELECT *, coalesce(nullif(rawpath, ''), '/') AS path, array_to_string(list_filter(string_split(q, '&'), lambda p: p <> '' AND NOT starts_with(lower(split_part(p, '=', 1)), 'utm_')
+  AND lower(split_part(p, '=', 1)) NOT IN {_WORDS(urls.TRACKING_NAMES)}), '&') AS kept FROM raw),
+addr AS (SELECT *, scheme || '://' || place || path || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END AS normalised, string_split(place, '.') AS labels,
+  list_filter(string_split(path, '/'), lambda s: s <> '') AS segments FROM part),
+dom AS (SELECT *, CASE WHEN len(labels) >= 3 AND array_to_string(labels[-2:], '.') IN {_WORDS(urls.TWO_LABEL_SUFFIXES)} THEN array_to_string(labels[-3:], '.')
+  WHEN len(labels) >= 2 THEN array_to_string(labels[-2:], '.') ELSE place END AS domain FROM addr)"""
+
+
+def _type_sql() -> str:
+    parts = "list_transform(list_filter(string_split(lower(path), '/'), lambda s: s <> ''), lambda s: regexp_replace(s, '\\.(html?|php|aspx?|jsp)$', ''))"
+    cases = []
+    for kind, words in urls.SEGMENT_WORDS.items():
+        names = [w for w in words if w not in urls.AMBIGUOUS_POLICY] if kind == "policy" else words
+        cases.append(f"WHEN len(list_filter(p, lambda s: s IN {_WORDS(names)})) > 0" + (f" OR (len(p) <= 2 AND len(list_filter(p, lambda s: s IN {_WORDS(words)})) > 0)" if kind == "policy" else "") + f" THEN '{kind}'")
+    lead = " ".join(f"WHEN '{w}' THEN '{k}'" for w, k in urls.LEADING_WORDS.items())
+    first = f"list_filter(p, lambda s: split_part(s, '-', 1) IN {_WORDS(urls.LEADING_WORDS)} AND (len(p) <= 2 OR split_part(s, '-', 1) NOT IN ('terms', 'shipping', 'returns', 'refund')))[1]"
+    return f"""WITH {_ADDRESS}, typed AS (SELECT domain, path, {parts} AS p FROM dom)
+SELECT domain, page_type, CASE page_type WHEN 'home' THEN 0.95::DOUBLE WHEN 'other' THEN 0.3::DOUBLE ELSE 0.6::DOUBLE END AS confidence, count(*) AS discovered FROM (
+  SELECT domain, CASE WHEN lower(path) IN {_WORDS(urls.HOME_PATHS)} OR (len(p) = 1 AND regexp_matches(p[1], '{urls.LOCALE}')) THEN 'home' {' '.join(cases)}
+    WHEN {first} IS NOT NULL THEN CASE split_part({first}, '-', 1) {lead} END
+    WHEN len(p) <= 2 AND len(list_filter(p, lambda s: list_has_any(regexp_split_to_array(s, '[-_]'), ['warranty', 'grievance', 'grievances']))) > 0 THEN 'policy'
+    WHEN regexp_matches(lower(path), '{urls.DATED}') THEN 'article' ELSE 'other' END AS page_type FROM typed) GROUP BY ALL"""
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+_SEVERITY_SQL = """
+WITH c AS (SELECT * FROM (VALUES (true), (false)) a(blocking), (VALUES ('site'), ('section'), ('page')) b(breadth), (VALUES ('primary'), ('secondary')) d(importance),
+  (VALUES ('high'), ('medium'), ('low')) e(confidence), (VALUES ('low'), ('medium'), ('high')) f(effort), (VALUES ('found'), ('risk'), ('proactive')) g(status)),
+s AS (SELECT *, greatest(CASE WHEN blocking AND breadth = 'site' AND importance = 'primary' THEN 1 WHEN blocking AND breadth <> 'page' THEN 2
+    WHEN NOT blocking AND breadth = 'site' AND importance = 'primary' THEN 2 WHEN breadth <> 'page' THEN 3 ELSE 4 END,
+  CASE confidence WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, CASE status WHEN 'proactive' THEN 3 ELSE 1 END) AS r FROM c),
+t AS (SELECT *, ['critical', 'high', 'medium', 'low'][r] AS severity FROM s)
+SELECT blocking, breadth, importance, confidence, effort, status, severity,
+  CASE WHEN status = 'proactive' THEN CASE effort WHEN 'high' THEN 'P3' ELSE 'P2' END WHEN r = 1 THEN 'P0' WHEN r = 2 THEN CASE effort WHEN 'high' THEN 'P2' ELSE 'P1' END
+    WHEN r = 3 THEN 'P2' ELSE 'P3' END AS priority, status = 'risk' AND r = 1 AS impossible FROM t"""
 
 
+@functools.cache
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out = {
+        "page_strata": _type_sql(),
+        "page_addresses": rf"""WITH {_ADDRESS} SELECT page_id, normalised, place AS host, domain,
+            CASE WHEN starts_with(place, 'www.') THEN place[5:] ELSE 'www.' || place END AS twin, path || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END AS path_and_query,
+            CASE WHEN len(segments) > 1 THEN segments[1] ELSE '' END AS section, CAST(len(segments) AS BIGINT) AS depth FROM dom""",
+        "page_duplicates": f"WITH {_ADDRESS} SELECT normalised, min(page_id) AS page_id, count(*) AS copies FROM dom GROUP BY normalised",
+        "page_headings": r"""SELECT page_id, CAST(len(regexp_extract_all(html, '<h1[ >]')) AS BIGINT) AS n_h1, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
+            CAST(len(regexp_extract_all(html, '<form[ >]')) AS BIGINT) AS forms FROM pages""",
+        "page_languages": """SELECT regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, count(*) AS pages FROM pages GROUP BY 1""",
+        "user_error_share": "SELECT *, hits >= 2 AND hits >= 0.2 * members AS fires FROM (SELECT user_id, count(*) AS members, count(*) FILTER (WHERE event_type = 'error') AS hits FROM events GROUP BY user_id)",
+        "user_error_rollup": """WITH s AS (SELECT hour(ts) AS hour, event_type, count(*) AS members, count(*) FILTER (WHERE value > 20) AS hits FROM events GROUP BY 1, 2),
+            f AS (SELECT s.*, sum(members) OVER (PARTITION BY hour) AS total FROM s), g AS (SELECT * FROM f WHERE hits >= 2 AND hits >= 0.5 * members),
+            m AS (SELECT *, count(*) OVER (PARTITION BY hour) >= 2 AND sum(hits) OVER (PARTITION BY hour) >= 0.5 * total AS merged FROM g)
+            SELECT CAST(hour AS INTEGER) AS hour, CASE WHEN merged THEN '*' ELSE event_type END AS part, count(*) AS parts, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(members) AS BIGINT) AS members FROM m GROUP BY 1, 2""",
+        "user_value_median": """SELECT user_id, n, median, "over", CASE WHEN n < 5 THEN 'not_assessed' WHEN median > 60 THEN 'above' ELSE 'within' END AS verdict FROM (
+            SELECT user_id, count(value) AS n, median(value) AS median, count(*) FILTER (WHERE value > 60) AS "over" FROM events GROUP BY user_id)""",
+        "user_type_pivot": "SELECT * FROM (SELECT user_id, " + ", ".join(f"max(value) FILTER (WHERE event_type = '{t}') AS \"{t}\"" for t in ("view", "click", "error", "purchase", "signup")) + " FROM events GROUP BY user_id) WHERE view IS NOT NULL",
+        "user_top_events": "SELECT * FROM (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank <= 5",
+        "document_copies": "SELECT md5(coalesce(text, '')) AS digest, min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang, arg_min(source, doc_id) AS source, count(*) AS copies FROM documents GROUP BY 1",
+        "document_strata": "SELECT lang, source, count(*) AS discovered, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels)) AS sampled FROM documents GROUP BY ALL",
+        "document_round_robin": """WITH a AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS a FROM documents),
+            b AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY a, source) AS b FROM a), c AS (SELECT *, row_number() OVER (ORDER BY b, lang) AS pick FROM b)
+            SELECT doc_id, lang, source, pick FROM c WHERE pick <= 200""",
+        "severity_table": _SEVERITY_SQL,
+        "claims_promoted": f"""WITH {fixture.values_sql("candidates")}, g AS (SELECT site_id, kind, value_normalized AS value, bool_or(extraction_method = 'jsonld') AS marked, sum(observed_count) AS total,
+            array_to_string(list_sort(list(DISTINCT id)), ',') AS from_candidates, list_filter(string_split(value_normalized, ' '), lambda w: w NOT IN {_WORDS(claims.GENERIC_WORDS)}) AS w
+            FROM fx_candidates WHERE kind IN {_WORDS(claims.CORROBORABLE)} GROUP BY ALL),
+            r AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY kind <> 'legal_name', NOT marked, total DESC, kind, value) AS seq FROM g)
+            SELECT site_id, seq, 'C-' || lpad(CAST(seq AS VARCHAR), 3, '0') AS id, from_candidates, kind, value,
+            CASE WHEN kind = 'founded_year' AND NOT marked THEN 'low' WHEN marked AND total >= 2 THEN 'high' WHEN marked OR total >= 2 THEN 'medium' ELSE 'low' END AS confidence,
+            CASE WHEN kind <> 'legal_name' THEN 'low' WHEN len(w) = 0 OR (len(w) = 1 AND length(w[1]) <= 5) THEN 'high' WHEN len(w) = 1 THEN 'medium' ELSE 'low' END AS ambiguity FROM r WHERE seq <= 12""",
+        "site_orphans": f"WITH {fixture.values_sql('pages', 'edges')} SELECT site_id, url FROM fx_pages p WHERE page_seq > 0 AND NOT EXISTS (SELECT 1 FROM fx_edges e WHERE e.site_id = p.site_id AND e.dst = p.url)",
+        "site_depths": f"""WITH RECURSIVE {fixture.values_sql("pages", "edges")}, walk(site_id, url, depth) AS (SELECT site_id, url, 0 FROM fx_pages WHERE page_seq = 0
+            UNION SELECT e.site_id, e.dst, depth + 1 FROM walk w JOIN fx_edges e ON e.site_id = w.site_id AND e.src = w.url JOIN fx_pages p ON p.site_id = e.site_id AND p.url = e.dst WHERE depth < 20)
+            SELECT site_id, url, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY 1, 2""",
+        "robots_matches": "SELECT * FROM (VALUES " + ", ".join(
+            f"({i}, '{p}', {str(a).lower()}, '{t}', " + ("false" if not t else f"""regexp_matches('{p.replace("%2b", "%2B")}', '^' || replace(regexp_escape('{t.removesuffix("$")}'), '\\*', '.*') || '{"$" if t.endswith("$") else ""}')""") + ")"
+            for i, (p, a, t) in enumerate(_ROBOTS)
+        ) + ") AS t(case_id, path, allow, pattern, applies)",
+    }
+    return out | {"rule_" + k.lower().replace("-", "_"): v for k, v in rule_sql.oracle().items()}
