@@ -92,7 +92,7 @@ def test_robots_parse_and_verdicts(spark):
 
 
 PAGE = """<!DOCTYPE html><html lang=" en "><head><title>no</title><meta name="robots" content="NoIndex, follow"><link rel="canonical" href="/c?utm_x=1">
-<script type="application/ld+json">{"@graph": [{"@type": ["Product", "X"], "name": "P", "offers": {"price": "12.50", "priceCurrency": "EUR"}, "sameAs": ["a", "b"], "isAccessibleForFree": false}, {"n": true}]}</script>
+<script type="application/ld+json">{"@graph": [{"@type": ["Product", "X"], "name": "P", "offers": {"price": "13", "priceCurrency": "EUR"}, "sameAs": ["a", "b"], "isAccessibleForFree": false}, {"n": true}]}</script>
 <script type="application/ld+json">{bad</script></head><body><header>top</header><nav><a href="/a">A</a><a href="mailto:x">m</a></nav>
 <div id="onetrust-banner">we use cookies</div><div hidden>secret text</div>
 <main id="m"><section id="s"><h1>Big  <b>title</b><p>one<br>two<p>three <time datetime="2024-02-03T00:00">then</time></section>
@@ -110,7 +110,7 @@ def test_parse_page():
     assert p["visible_dates"] == ["2024-02-03", "2023-03-05", "2022-12-31"]
     assert {o["kind"] for o in p["obstructions"]} == {"cookie_wall", "paywall"}
     product, bare, bad = p["nodes"]
-    assert product["type"] == "Product" and dict(product["vals"])["offers.price"] == "12.50" and dict(product["vals"])["sameAs"] == "a | b" and product["contradicts"]
+    assert product["type"] == "Product" and dict(product["vals"])["offers.price"] == "13" and dict(product["vals"])["sameAs"] == "a | b" and product["contradicts"]
     assert (bare["valid"], bad["valid"], bad["fields"]) == (False, False, [])
     assert html.parse_page(None, None)["text_len"] == 0
     assert p["images"] == [{"src": "/size-guide.png", "alt": None, "text_likely": True}]

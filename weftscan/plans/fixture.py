@@ -65,7 +65,7 @@ def rows() -> dict[str, list[dict]]:
     moss = [
         page("moss.test", 0, "/", "home", nodes=[node("WebSite", name="Moss")], ttfb=2500.0, connect=None),
         *[page("moss.test", 1 + k, f"/blog/{k}", "article", date_published=None, n_dates=k // 2, words=1700, n_headings=1, meta_robots=["noindex"] if k < 2 else [], canonical="https://moss.test/", canonical_self=False, ttfb=2000.0 + k) for k in range(4)],
-        *[page("moss.test", 5 + k, f"/products/{k}", "product", nodes=moss_nodes if k < 2 else [node("", valid=False)], x_robots="otherbot: noindex, googlebot: noindex, max-snippet: 0", raw_text="no price", rendered_text="now $5", ttfb=1900.0) for k in range(5)],
+        *[page("moss.test", 5 + k, f"/products/{k}", "product", nodes=moss_nodes if k < 2 else [node("", valid=False)], x_robots="otherbot: noindex, googlebot: noindex, max-snippet: 0", canonical=None, canonical_self=False, raw_text="no price", rendered_text="now $5", ttfb=1900.0) for k in range(5)],
         *[page("moss.test", 10 + k, f"/gone/{k}", status=404 if k else 500, content_type="text/plain", rendered=False) for k in range(3)],
         page("moss.test", 13, "/docs/a", "doc", nodes=[node("Corporation", sameAs="not a url"), node("Organization", name="M")], meta_robots=["nosnippet"], lang="de-DE"),
     ]
