@@ -231,15 +231,13 @@ def train(
     clip: float = 6.0,
     drift: float = 0.35,
     table_features: int = 50_000,
-    curve_rows: int = 20_000,
     k: float = 0.1,
     e_value: float = 0.1,
 ) -> ToxicityModel:
-    """Fit on ``labelled`` (doc_id, text, toxic 0 or 1).
+    """Fit on ``labelled`` (doc_id, text, toxic 0 or 1), whose number of rows the caller bounds.
 
-    Three quarters of the labelled rows, by a hash of doc_id, give token counts, over all of them; at most
-    ``curve_rows`` of the others, those with the smallest hashes, fit the law and the curve. The
-    model keeps the ``table_features`` tokens and stems that tell most beyond their prior,
+    Three quarters of the rows, by a hash of doc_id, give token counts; the others fit the law and the
+    curve, for which the driver receives a short profile of each. The model keeps the ``table_features`` tokens and stems that tell most beyond their prior,
     which bounds what is sent to workers. Without rows of both classes every text scores
     below ``cut_score``.
     """
@@ -255,8 +253,7 @@ def train(
     told = _shares(counts, base, prior).select("feature", odds.alias("odds"), gain.alias("gain")).where(F.col("gain") >= 1.0)
     top = told.orderBy(F.col("gain").desc(), "feature").limit(table_features).collect()
     model = ToxicityModel({r.feature: max(-clip, min(clip, r.odds)) - drift for r in top}, -drift, 1.0, k, 1.0, math.log(cut_score / (1 - cut_score)) - 3.0)
-    held = known.where(part == 0).select("text", "toxic", F.xxhash64(F.lit(7), "doc_id").alias("h")).orderBy("h").limit(curve_rows)
-    rows = _profiles(held, model).collect()
+    rows = _profiles(known.where(part == 0), model).collect()
     y = np.array([r.toxic for r in rows], float)
     clean = np.sum([r.bins for r in rows if not r.toxic] or [[0] * _BINS], axis=0).astype(float)
     if not y.size or y.min() == y.max() or not clean.sum():
@@ -326,7 +323,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
-def train_on_labels(docs: DataFrame, labels: DataFrame, **options) -> ToxicityModel:
-    """``train`` on the labels of ``docs`` that are not held out."""
-    known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return train(docs.select("doc_id", "text").join(known, "doc_id"), **options)
+def train_on_labels(docs: DataFrame, labels: DataFrame, label_rows: int = 40_000, **options) -> ToxicityModel:
+    """``train`` on the labels of ``docs`` that are not held out, at most ``label_rows`` of them: those with the smallest hashes.
+
+    The bound makes the labels small enough to send to every task, so texts are read where they are.
+    """
+    known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = materialize(known.orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(label_rows))
+    return train(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), **options)
