@@ -13,8 +13,8 @@ import functools
 import struct
 from collections.abc import Callable, Iterable
 
-#: Entries a worker remembers before it starts anew; about 200 bytes each.
-MEMO_ENTRIES = 700_000
+#: Entries of one generation of a memo, about 200 bytes each; a worker holds two generations.
+MEMO_ENTRIES = 300_000
 #: Longer chunks are encoded each time they occur.
 MEMO_CHUNK_CHARS = 64
 
