@@ -202,7 +202,7 @@ WITH base AS (
          length(regexp_replace(b.text, '[^\p{Lu}]+', '', 'g')) AS capitals,
          length(regexp_replace(b.text, '[^\p{Ll}]+', '', 'g')) AS small,
          length(b.text) - length(replace(b.text, chr(10), '')) + 1 AS n_lines,
-         len(list_filter(list_zip(w, w[2:]), p -> p[1] = p[2])) AS n_stutter
+         len(list_filter(list_zip(w, w[2:]), lambda p: p[1] = p[2])) AS n_stutter
   FROM base b LEFT JOIN lines l ON b.doc_id = l.doc_id LEFT JOIN cov c ON b.doc_id = c.doc_id
 ), judged AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted
