@@ -2,15 +2,19 @@
 
 A message is cut into passages: runs of lines with the same quote level (the number of
 leading ``>`` marks). Passages are normalised (lower case, white space collapsed) and
-hashed. A quoted passage links to the message that first said it in its own words: in the
-same conversation before the quoting message if there is one, else the first in the corpus.
+hashed, whole and by their parts: paragraphs, lines, sentences, and sentences cut at line ends. A
+quoted passage links to the message that says the most of it in its own words. Each part votes for
+the first message of the same conversation before the quoting one that says it, whole or as a part, and for
+the first in other conversations; votes count characters. Of equal votes those inside the conversation win, then
+the first message. So one line of a longer message links, and so does a quote trimmed at either end if one
+part of it is left whole; a quote of less than a sentence and a line does not.
 
 The last quoted passage of level 1 that links inside the conversation names the message
 that is replied to. Conversations are then ordered by threads: messages that reply to none begin a
 thread, and (thread, turn) is an order in which every message follows what it replies to.
 Bodies keep only the lines of level 0.
 
-Originals are aggregated to one row for each passage hash before any join, so a passage that a
+Originals are aggregated to one row for each hash of a part before any join, so a passage that a
 third of all messages share is one row on that side.
 """
 
@@ -22,6 +26,9 @@ from pyspark.sql import functions as F
 from weftscan.llm.store import materialize
 
 _MARKS = r"^[ \t]*(>[ \t]?)+"
+_PARAGRAPH, _LINE, _SENTENCE = r"\n\s*\n", r"\n", r"(?<=[.!?])\s+|(?<=[\x{3002}\x{ff01}\x{ff1f}])\s*"
+#: Ways to cut a passage; each cuts all of it.
+_CUTS = (_PARAGRAPH, _LINE, f"{_SENTENCE}|{_PARAGRAPH}", f"{_SENTENCE}|{_LINE}")
 
 
 def _level(line: Column) -> Column:
@@ -54,20 +61,43 @@ def _normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[\s\x{00a0}]+", " "))
 
 
+def _hash(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def _pieces(text: Column, cut: str) -> Column:
+    """Normalised pieces of a passage, without blank ones."""
+    return F.filter(F.transform(F.split(text, cut), _normal), lambda t: F.length(t) > 0)
+
+
+def _said(text: Column) -> Column:
+    """The distinct hashes of a passage and its parts."""
+    texts = F.array_distinct(F.concat(F.array(_normal(text)), *[_pieces(text, cut) for cut in _CUTS]))
+    return F.transform(texts, _hash)
+
+
+def _asked(text: Column) -> Column:
+    """(cut, hash, n) of a quoted passage (cut 0) and its parts, n being the characters other than white space."""
+
+    def counted(cut: int):
+        return lambda t: F.struct(F.lit(cut).alias("cut"), _hash(t).alias("hash"), F.length(F.replace(t, F.lit(" "))).cast("long").alias("n"))
+
+    return F.concat(F.transform(F.array(_normal(text)), counted(0)), *[F.transform(_pieces(text, cut), counted(k)) for k, cut in enumerate(_CUTS, 1)])
+
+
 def quoted_messages(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, body (level 0 only), passages (array of level, hash) of each message."""
+    """conv_id, turn, role, body (level 0 only), passages (array of level, text) of each message."""
     plain = F.col("text").cast("string")
     quoting = F.coalesce(plain, F.lit("")).rlike(r"(?m)^[ \t]*>")
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), plain.alias("_text"), quoting.alias("_quoting"))
-    whole = F.array(F.struct(F.lit(0).alias("level"), F.coalesce(F.col("_text"), F.lit("")).alias("text")))
+    whole = F.array(F.struct(F.lit(0).alias("level"), F.regexp_replace(F.coalesce(F.col("_text"), F.lit("")), "\r\n?", "\n").alias("text")))
     # a message without a quote mark is one passage and needs no fold over its lines
     found = F.when(F.col("_quoting"), _passages(_lines(F.col("_text")))).otherwise(F.filter(whole, lambda p: F.length(_normal(p["text"])) > 0))
     body = F.when(
         F.col("_quoting"),
         F.regexp_replace(F.array_join(F.transform(F.filter(_lines(F.col("_text")), lambda x: x["level"] == 0), lambda x: x["line"]), "\n"), r"^\s+|\s+\z", ""),
     ).otherwise(F.coalesce(F.col("_text"), F.lit("")))
-    hashed = F.transform(found, lambda p: F.struct(p["level"].alias("level"), F.sha2(_normal(p["text"]), 256).alias("hash")))
-    return rows.select("conv_id", "turn", "role", body.alias("body"), hashed.alias("passages"))
+    return rows.select("conv_id", "turn", "role", body.alias("body"), found.alias("passages"))
 
 
 def link_quotations(conversations: DataFrame) -> DataFrame:
@@ -76,24 +106,26 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
     ``conversations`` are rows of ``quoted_messages``. source columns are null where no message
     says the passage in its own words.
     """
-    passages = conversations.select("conv_id", "turn", F.posexplode("passages").alias("position", "p")).select("conv_id", "turn", "position", "p.level", "p.hash")
+    passages = conversations.select("conv_id", "turn", F.posexplode("passages").alias("position", "p")).select("conv_id", "turn", "position", "p.level", "p.text")
     quotes = passages.where("level > 0")
-    wanted = quotes.select("hash").distinct()
-    own = passages.where("level = 0").join(wanted, "hash", "left_semi")
+    asked = materialize(quotes.select("conv_id", "turn", "position", "level", F.explode(_asked(F.col("text"))).alias("q")).select("conv_id", "turn", "position", "level", "q.*"))
+    wanted = asked.select("hash").distinct()
+    said = passages.where("level = 0").select("conv_id", "turn", F.explode(_said(F.col("text"))).alias("hash"))
+    own = said.join(wanted, "hash", "left_semi")
     first_said = own.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("anywhere"))
     # the first time in each conversation decides whether it was said before the quote
     in_conversation = own.groupBy("conv_id", "hash").agg(F.min("turn").alias("here"))
-    linked = quotes.join(in_conversation, ["conv_id", "hash"], "left").join(first_said, "hash", "left")
-    inside = F.col("here") < F.col("turn")
-    elsewhere = ~F.col("anywhere.conv_id").eqNullSafe(F.col("conv_id"))
-    return linked.select(
-        "conv_id",
-        "turn",
-        "position",
-        "level",
-        F.when(inside, F.col("conv_id")).when(elsewhere, F.col("anywhere.conv_id")).alias("source_conv"),
-        F.when(inside, F.col("here")).when(elsewhere, F.col("anywhere.turn")).alias("source_turn"),
-    )
+    linked = asked.join(in_conversation, ["conv_id", "hash"], "left").join(first_said, "hash", "left")
+    elsewhere = F.col("anywhere.turn").isNotNull() & ~F.col("anywhere.conv_id").eqNullSafe(F.col("conv_id"))
+    inner = F.when(F.col("here") < F.col("turn"), F.struct(F.lit(0).alias("far"), F.col("conv_id").alias("source_conv"), F.col("here").alias("source_turn")))
+    outer = F.when(elsewhere, F.struct(F.lit(1).alias("far"), F.col("anywhere.conv_id").alias("source_conv"), F.col("anywhere.turn").alias("source_turn")))
+    quote = ["conv_id", "turn", "position", "level"]
+    sources = F.filter(F.array(inner, outer), lambda x: x.isNotNull())
+    votes = linked.select(*quote, "cut", "n", F.explode_outer(sources).alias("source"))
+    # pieces of one cut do not overlap, so what they cover can be summed
+    covered = votes.groupBy(*quote, "cut", "source").agg(F.sum("n").alias("n"))
+    best = F.min(F.when(F.col("source").isNotNull(), F.struct((-F.col("n")).alias("_n"), "source")))["source"]
+    return covered.groupBy(*quote).agg(best.alias("best")).select(*quote, "best.source_conv", "best.source_turn")
 
 
 def reply_threads(edges: DataFrame) -> DataFrame:
