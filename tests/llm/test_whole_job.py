@@ -1,6 +1,7 @@
 """Cases in which an operator once did less than the whole job."""
 
 from weftscan.llm import chat
+from weftscan.plans import catalogue
 
 
 def _chat(spark, rows):
@@ -32,3 +33,10 @@ def test_partial_and_trimmed_quotes_link(spark):
     assert (got[1, 6].n_quotes, got[1, 6].n_linked, got[1, 6].source_conv) == (1, 0, None)
     assert (got[4, 1].source_conv, got[4, 1].source_turn, got[4, 1].n_linked) == (1, 2, 1)
     assert len(got) == len(rows)
+
+
+def test_page_links_counts_every_edge(spark, tmp_path):
+    links = "".join(f"<a href='/p{k}'>x</a>" for k in range(5001))
+    rows = [(1, "https://a.test/", f"<body>{links}</body>"), (2, "https://a.test/p1", "<body><a href='/p2'>x</a><a href='/p2'>y</a></body>"), (3, "https://b.test/", "<body><a href='/p1'>x</a></body>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(map(tuple, catalogue.page_links(spark, str(tmp_path)).collect())) == [("a.test", 5002, 2, 5001), ("b.test", 1, 1, 1)]

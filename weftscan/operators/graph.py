@@ -24,13 +24,17 @@ def in_scope(targets: DataFrame, sites: DataFrame) -> DataFrame:
     return joined.withColumn("target", moved).where("target is not null").drop("place", "twin")
 
 
-def link_edges(pages: DataFrame, sites: DataFrame, cap: int = EDGE_CAP) -> tuple[DataFrame, DataFrame]:
+def link_edges(pages: DataFrame, sites: DataFrame, cap: int | None = EDGE_CAP) -> tuple[DataFrame, DataFrame]:
     """Distinct edges (site_id, src, dst) without loops, at most ``cap`` for each site in page order, and (site_id, total) beyond it.
 
-    ``pages`` has site_id, page_seq, url and targets (addresses in order).
+    ``pages`` has site_id, page_seq, url and targets (addresses in order). With ``cap`` None every edge is
+    returned, no site's edges are put in order, and nothing is beyond it.
     """
     exploded = pages.select("site_id", "page_seq", F.col("url").alias("src"), F.posexplode("targets").alias("at", "target"))
     scoped = in_scope(exploded, sites).where("target <> src")
+    if cap is None:
+        edges = scoped.select("site_id", "src", F.col("target").alias("dst")).distinct()
+        return edges, edges.groupBy("site_id").agg(F.count(F.lit(1)).alias("total")).where(F.lit(False))
     edges = scoped.groupBy("site_id", "src", F.col("target").alias("dst")).agg(F.min(F.struct("page_seq", "at")).alias("first"))
     ranked = edges.withColumn("k", F.row_number().over(Window.partitionBy("site_id").orderBy("first")))
     over = edges.groupBy("site_id").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") > cap)

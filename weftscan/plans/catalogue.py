@@ -77,11 +77,11 @@ def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct links of each site to its own pages, and how many sites have them."""
+    """Distinct links of each site to its own pages, all of them, and their distinct sources and targets."""
     parsed = html.parse_pages(table(spark, sf_dir, "pages"))
     own = parsed.select(urls.netloc(F.col("url")).alias("site_id"), (F.row_number().over(Window.partitionBy(urls.netloc(F.col("url"))).orderBy("page_id")) - 1).alias("page_seq"), urls.normalise(F.col("url")).alias("url"), F.col("parsed.targets").alias("targets"))
     sites = own.select("site_id", F.col("site_id").alias("place")).distinct()
-    return graph.link_edges(own, sites)[0].groupBy("site_id").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
+    return graph.link_edges(own, sites, cap=None)[0].groupBy("site_id").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
 
 
 def page_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
