@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftscan.llm import minhash, packing, quality, store, toxicity
 
@@ -24,9 +25,18 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
-    kept = minhash.minhash_components(docs, shingle_words=5, percent=80).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more.
+
+    Rows without a doc_id link with nothing and stay. Rows that share doc_id (or have none) and text are copies
+    and become one of them; rows that share a doc_id but not a text are one document and stay or go together.
+    """
+    kept = minhash.minhash_components(docs, shingle_words=5, percent=80).where("kept and doc_id is not null")
+    kept = store.materialize(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")))
+    single = docs.join(kept.where("rows = 1"), "doc_id", "left_semi").select(*docs.columns)
+    repeated = docs.join(kept.where("rows > 1"), "doc_id", "left_semi").select(*docs.columns)
+    # only these are dealt by their texts, which is nothing where doc_id is a key
+    copies = repeated.unionByName(docs.where("doc_id is null"))
+    return single.unionByName(copies.dropDuplicates(["doc_id", "text"]))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

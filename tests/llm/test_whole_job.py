@@ -1,5 +1,6 @@
 """Cases in which an operator once did less than the whole job."""
 
+import corpus_pipeline
 from weftscan.llm import chat
 from weftscan.plans import catalogue
 
@@ -40,3 +41,14 @@ def test_page_links_counts_every_edge(spark, tmp_path):
     rows = [(1, "https://a.test/", f"<body>{links}</body>"), (2, "https://a.test/p1", "<body><a href='/p2'>x</a><a href='/p2'>y</a></body>"), (3, "https://b.test/", "<body><a href='/p1'>x</a></body>")]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert sorted(map(tuple, catalogue.page_links(spark, str(tmp_path)).collect())) == [("a.test", 5002, 2, 5001), ("b.test", 1, 1, 1)]
+
+
+def test_near_duplicate_stage_keeps_rows_without_id_and_one_of_copies(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, "no id", "x"), (None, "no id either", "x"), (None, "no id", "x"), (None, None, "x"), (1, long, "x"), (1, long, "x"), (2, long + " end", "x"), (3, "one text", "x"), (3, "another text here", "x"), (4, None, "x"), (4, None, "x"), (5, "alone", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(None, "no id"), (None, "no id either"), (None, None), (1, long), (3, "one text"), (3, "another text here"), (4, None), (5, "alone")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    assert corpus_pipeline.near_duplicate_stage(spark, docs.where("false"), "").count() == 0
