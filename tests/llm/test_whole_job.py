@@ -52,3 +52,11 @@ def test_near_duplicate_stage_keeps_rows_without_id_and_one_of_copies(spark):
     want = [(None, "no id"), (None, "no id either"), (None, None), (1, long), (3, "one text"), (3, "another text here"), (4, None), (5, "alone")]
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
     assert corpus_pipeline.near_duplicate_stage(spark, docs.where("false"), "").count() == 0
+
+
+def test_source_outside_the_conversation(spark):
+    rows = [(1, 0, "> said later\na"), (1, 3, "said later"), (2, 0, "said later"), (None, 0, "no conversation"), (5, None, "no conversation"), (6, 1, "no conversation"), (7, 0, "> no conversation\nb"), (8, 0, "> only here\nc"), (8, 1, "only here")]
+    got = _chat(spark, rows)
+    assert (got[1, 0].source_conv, got[1, 0].source_turn, got[1, 0].n_linked) == (2, 0, 1)
+    assert (got[7, 0].source_conv, got[7, 0].source_turn, got[7, 0].n_linked) == (6, 1, 1)
+    assert (got[8, 0].source_conv, got[8, 0].n_quotes, got[8, 0].n_linked) == (None, 1, 0)

@@ -20,7 +20,7 @@ third of all messages share is one row on that side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftscan.llm.store import materialize
@@ -112,13 +112,16 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
     wanted = asked.select("hash").distinct()
     said = passages.where("level = 0").select("conv_id", "turn", F.explode(_said(F.col("text"))).alias("hash"))
     own = said.join(wanted, "hash", "left_semi")
-    first_said = own.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("anywhere"))
     # the first time in each conversation decides whether it was said before the quote
-    in_conversation = own.groupBy("conv_id", "hash").agg(F.min("turn").alias("here"))
+    in_conversation = own.where("conv_id is not null and turn is not null").groupBy("conv_id", "hash").agg(F.min("turn").alias("here"))
+    # the first two conversations, as one may be the quoting one; Spark cuts a hash to two rows before it shuffles them
+    ranked = in_conversation.withColumn("_k", F.row_number().over(Window.partitionBy("hash").orderBy("conv_id"))).where("_k <= 2")
+    said_at = F.struct("conv_id", F.col("here").alias("turn"))
+    first_said = ranked.groupBy("hash").agg(F.min(F.when(F.col("_k") == 1, said_at)).alias("first"), F.min(F.when(F.col("_k") == 2, said_at)).alias("second"))
     linked = asked.join(in_conversation, ["conv_id", "hash"], "left").join(first_said, "hash", "left")
-    elsewhere = F.col("anywhere.turn").isNotNull() & ~F.col("anywhere.conv_id").eqNullSafe(F.col("conv_id"))
+    other = F.when(F.col("first.conv_id").eqNullSafe(F.col("conv_id")), F.col("second")).otherwise(F.col("first"))
     inner = F.when(F.col("here") < F.col("turn"), F.struct(F.lit(0).alias("far"), F.col("conv_id").alias("source_conv"), F.col("here").alias("source_turn")))
-    outer = F.when(elsewhere, F.struct(F.lit(1).alias("far"), F.col("anywhere.conv_id").alias("source_conv"), F.col("anywhere.turn").alias("source_turn")))
+    outer = F.when(other.isNotNull(), F.struct(F.lit(1).alias("far"), other["conv_id"].alias("source_conv"), other["turn"].alias("source_turn")))
     quote = ["conv_id", "turn", "position", "level"]
     sources = F.filter(F.array(inner, outer), lambda x: x.isNotNull())
     votes = linked.select(*quote, "cut", "n", F.explode_outer(sources).alias("source"))
