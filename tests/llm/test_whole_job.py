@@ -1,7 +1,7 @@
 """Cases in which an operator once did less than the whole job."""
 
 import corpus_pipeline
-from weftscan.llm import chat
+from weftscan.llm import chat, toxicity
 from weftscan.plans import catalogue
 
 
@@ -60,3 +60,12 @@ def test_source_outside_the_conversation(spark):
     assert (got[1, 0].source_conv, got[1, 0].source_turn, got[1, 0].n_linked) == (2, 0, 1)
     assert (got[7, 0].source_conv, got[7, 0].source_turn, got[7, 0].n_linked) == (6, 1, 1)
     assert (got[8, 0].source_conv, got[8, 0].n_quotes, got[8, 0].n_linked) == (None, 1, 0)
+
+
+def test_toxicity_learns_every_feature_with_evidence(spark):
+    # tokens of a letter and six digits, half of them in toxic rows only, so that stems tell nothing
+    tokens = [f"{'abcdefghijklmnopqrstuvwxyz'[k % 26]}{k:06d}" for k in range(52_000)]
+    halves = [" ".join(tokens[k] for k in range(len(tokens)) if hash((k, 1)) % 2 == c) for c in (0, 1)]
+    rows = spark.createDataFrame([(i, halves[i % 2], i % 2) for i in range(32)], "doc_id long, text string, toxic int")
+    model = toxicity.train(rows)
+    assert sum(t in model.weights for t in tokens) == len(tokens)

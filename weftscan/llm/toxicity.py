@@ -230,15 +230,14 @@ def train(
     prior: float = 8.0,
     clip: float = 6.0,
     drift: float = 0.35,
-    table_features: int = 50_000,
     k: float = 0.1,
     e_value: float = 0.1,
 ) -> ToxicityModel:
     """Fit on ``labelled`` (doc_id, text, toxic 0 or 1), whose number of rows the caller bounds.
 
     Three quarters of the rows, by a hash of doc_id, give token counts; the others fit the law and the
-    curve, for which the driver receives a short profile of each. The model keeps the ``table_features`` tokens and stems that tell most beyond their prior,
-    which bounds what is sent to workers. Without rows of both classes every text scores
+    curve, for which the driver receives a short profile of each. The model keeps all tokens and stems that tell something beyond their prior;
+    the rows bound what is sent to workers. Without rows of both classes every text scores
     below ``cut_score``.
     """
     part = F.pmod(F.xxhash64("doc_id"), F.lit(4))
@@ -251,7 +250,7 @@ def train(
     gain = F.col("n1") * F.log(share / parent) + F.col("n0") * F.log((1 - share) / (1 - parent))
     odds = F.log(share / (1 - share)) - F.lit(math.log(base / (1 - base)))
     told = _shares(counts, base, prior).select("feature", odds.alias("odds"), gain.alias("gain")).where(F.col("gain") >= 1.0)
-    top = told.orderBy(F.col("gain").desc(), "feature").limit(table_features).collect()
+    top = told.select("feature", "odds").collect()
     model = ToxicityModel({r.feature: max(-clip, min(clip, r.odds)) - drift for r in top}, -drift, 1.0, k, 1.0, math.log(cut_score / (1 - cut_score)) - 3.0)
     rows = _profiles(known.where(part == 0), model).collect()
     y = np.array([r.toxic for r in rows], float)
