@@ -10,6 +10,7 @@ is one join of chunk encodings and its checksum needs no unpacking.
 from __future__ import annotations
 
 import functools
+import json
 import struct
 from collections.abc import Callable, Iterable
 
@@ -18,6 +19,25 @@ MEMO_ENTRIES = 300_000
 #: Longer chunks are encoded each time they occur.
 MEMO_CHUNK_CHARS = 64
 
+# The normalizer and pre-tokenizer, as tokenizer files write them, that the splitters are right for.
+_DROPS_SPACE = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+_KEEPS_SPACE = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
+
+
+def whole_text(text: str) -> list[str]:
+    """One chunk, for pre-tokenizers of which nothing is known."""
+    return [text] if text else []
+
+
 def split_dropping_space(text: str) -> list[str]:
     """Chunks for pre-tokenizers that drop white space: cut at spaces and newlines."""
     return [c for c in text.replace("\n", " ").split(" ") if c]
@@ -75,8 +95,8 @@ class ChunkEncoder:
         memo.update((c, old[c]) for c in known)
         ended, whole = [], set()
         for c in new.difference(known):
-            # a stop or comma after a letter is a pre-token of its own
-            if c[-1] in ".," and len(c) > 1 and c[-2] < "\u0250" and c[-2].isalpha():
+            # a stop or comma after a letter is a pre-token of its own; a dotted capital I ends in a mark when lower-cased
+            if c[-1] in ".," and len(c) > 1 and c[-2] < "\u0250" and c[-2] != "\u0130" and c[-2].isalpha() and self._split is not whole_text:
                 ended.append(c)
                 whole.update((c[:-1], c[-1]))
             else:
@@ -102,11 +122,12 @@ def byte_alphabet() -> list[str]:
 
 
 @functools.lru_cache(maxsize=4)
-def library_encoder(path: str, keeps_space: bool) -> ChunkEncoder:
+def library_encoder(path: str) -> ChunkEncoder:
     """A memoised encoder over the tokenizers library, one for each worker and file.
 
-    Strings of special tokens are ordinary text. ``keeps_space``: whether the
-    pre-tokenizer keeps white space (byte-level) or drops it (word ends).
+    Strings of special tokens are ordinary text. What follows holds for the two kinds of normalizer and pre-tokenizer
+    that are known here: one keeps white space (byte-level), one drops it (word ends). Files with any others are
+    encoded by the library, text by text.
 
     A new chunk of letters below U+0250 is one pre-token, normal as it is but for its case, and goes
     straight to the library's model. Other new chunks go to the library in one call, joined by a pre-token that is one token and stays
@@ -121,6 +142,12 @@ def library_encoder(path: str, keeps_space: bool) -> ChunkEncoder:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
+    written = json.loads(tokenizer.to_str())
+    kind = (written["normalizer"], written["pre_tokenizer"])
+    plain = all(t["special"] for t in written["added_tokens"])
+    if not plain or kind not in (_DROPS_SPACE, _KEEPS_SPACE):
+        return ChunkEncoder(lambda texts: [pack_ids(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts], whole_text)
+    keeps_space = kind == _KEEPS_SPACE
     held, mark = ("\n", "\n") if keeps_space else ("|", " | ")
     (mark_id,) = tokenizer.encode(held, add_special_tokens=False).ids
     alphabet = byte_alphabet()

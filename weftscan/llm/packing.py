@@ -76,7 +76,7 @@ def pack_lengths(lengths: list[int], capacity: int, linear: float = 1.0, quadrat
 
 
 def _windows(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int, window_tokens: int, linear: float, quadratic: float) -> Iterator[pa.RecordBatch]:
-    encoder, end = library_encoder(path, True), pack_ids([end_id])
+    encoder, end = library_encoder(path), pack_ids([end_id])
     next_id = TaskContext.get().partitionId() * _PER_TASK
     rows: list[tuple] = []
     waiting: list[tuple[int | None, int, int, bytes]] = []  # doc_id, start, doc_tokens, packed ids of a remainder

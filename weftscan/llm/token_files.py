@@ -27,8 +27,8 @@ from weftscan.llm.store import shared_folder
 FILE_SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None, keeps_space: bool) -> Iterator[pa.RecordBatch]:
-    encoder, end = library_encoder(path, keeps_space), b"" if end_id is None else pack_ids([end_id])
+def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None) -> Iterator[pa.RecordBatch]:
+    encoder, end = library_encoder(path), b"" if end_id is None else pack_ids([end_id])
     part, at = TaskContext.get().partitionId(), 0
     for b in batches:
         for k in range(0, b.num_rows, 512):
@@ -50,7 +50,6 @@ def write_token_files(
     path: str,
     tokenizer_path: str,
     end_id: int | None = 2,
-    keeps_space: bool = False,
     encoding: str = "dictionary",
     row_group_bytes: int = 32 << 20,
     page_rows: int = 1000,
@@ -73,7 +72,7 @@ def write_token_files(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     key = ["doc_id", F.xxhash64("text")]
     sorted_rows = rows.repartitionByRange(n, *key).sortWithinPartitions(*key)
-    encoded = sorted_rows.mapInArrow(lambda it: _encode(it, tokenizer_path, end_id, keeps_space), FILE_SCHEMA)
+    encoded = sorted_rows.mapInArrow(lambda it: _encode(it, tokenizer_path, end_id), FILE_SCHEMA)
     writer = encoded.write.mode("overwrite").option("compression", "zstd")
     for k, v in {
         "parquet.block.size": row_group_bytes,
