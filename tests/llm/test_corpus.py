@@ -47,8 +47,8 @@ def test_quality_counts_and_order(spark):
     rng = random.Random(2)
     texts = [None, "", " \n\t", "a", "# * $ |", "x " * 5000, "é🙂 ü\x0bz\x0cq\r\n" * 3, "one two three four five six seven eight nine\n" * 4]
     texts += [" ".join(rng.choice("ab") for _ in range(rng.randrange(60))) + rng.choice(["", "\na b\na b"]) for _ in range(60)]
-    rows = [(i, t, True, 5) for i, t in enumerate(texts)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, kept boolean, n_words long")
+    rows = [(i, t, True, 5, i, -i) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept boolean, n_words long, _counts int, rejected int")
     got = {r.doc_id: r for r in quality.quality_cascade(docs).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
@@ -56,10 +56,11 @@ def test_quality_counts_and_order(spark):
         assert (got[i].n_words, got[i].word_chars, got[i].n_symbols, got[i].n_dup_lines, got[i].n_repeat_words) == want, repr(t)
         assert got[i].base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0])
         assert not (got[i].base_failed and got[i].kept)
+        assert (got[i]._counts, got[i].rejected) == (i, -i)
     assert quality.quality_cascade(docs.where("false")).count() == 0
     counted = quality.text_counts(docs)
     rules = [quality.base_rule(), *quality.default_rules()]
-    a, b = ({r.doc_id: r.rejected for r in quality.apply_cascade(counted, x).collect()} for x in (rules, rules[::-1]))
+    a, b = ({r.doc_id: r.rejected for r in counted.withColumn("rejected", quality.verdict_of(x)).collect()} for x in (rules, rules[::-1]))
     assert a == b
     assert {r.name for r in quality.cascade_order(counted, rules)} == {r.name for r in rules}
 
@@ -350,6 +351,91 @@ def test_chat_links_quotes(spark):
     assert chat.format_chat(table.where("false")).count() == 0
 
 
+def _chat_by_hand(rows):
+    """What ``format_chat`` promises, message by message: (conv_id, turn) to (n_quotes, n_linked, source, parent, body)."""
+    normal = lambda t: re.sub(r"[\s\xa0]+", " ", t.lower()).strip(" ")
+    cuts = (r"\n\s*\n", r"\n", r"(?<=[.!?])\s+|(?<=[\u3002\uff01\uff1f])\s*|\n\s*\n", r"(?<=[.!?])\s+|(?<=[\u3002\uff01\uff1f])\s*|\n")
+
+    def pieces(text, cut):
+        return [p for p in map(normal, re.split(cut, text)) if p]
+
+    def passages(text):
+        out = []
+        for line in re.sub("\r\n?", "\n", text or "").split("\n"):
+            marks = re.match(r"[ \t]*>[> \t]*", line)
+            level = marks.group().count(">") if marks else 0
+            line = line[marks.end() :] if marks else line
+            if out and out[-1][0] == level:
+                out[-1][1].append(line)
+            else:
+                out.append((level, [line]))
+        return [(level, "\n".join(lines)) for level, lines in out]
+
+    said = {}
+    for conv, turn, text in rows:
+        for level, passage in passages(text):
+            if level == 0 and normal(passage):
+                for h in {normal(passage), *(p for cut in cuts for p in pieces(passage, cut))}:
+                    at = said.setdefault(h, {})
+                    at[conv] = min(turn, at.get(conv, turn))
+    out = {}
+    for conv, turn, text in rows:
+        quotes, linked, reply, last, body = 0, 0, None, None, []
+        for level, passage in passages(text):
+            if level == 0:
+                body.append(passage)
+            elif normal(passage):
+                quotes += 1
+                votes = {}
+                for k, parts in enumerate([[normal(passage)], *(pieces(passage, cut) for cut in cuts)]):
+                    for part in parts:
+                        at = said.get(part, {})
+                        sources = [(0, conv, at[conv])] if at.get(conv, turn) < turn else []
+                        sources += [(1, c, at[c]) for c in sorted(at) if c != conv][:1]
+                        for source in sources:
+                            votes[k, source] = votes.get((k, source), 0) + len(part.replace(" ", ""))
+                if votes:
+                    linked += 1
+                    last = min((-n, source) for (_, source), n in votes.items())[1]
+                    reply = last if last[0] == 0 and level == 1 else reply
+        source = (reply or last or (0, None, None))[1:]
+        body = "\n".join(body).strip(" \t\n\x0b\f\r") if re.search(r"(?m)^[ \t]*>", text or "") else text or ""
+        out[conv, turn] = (quotes, linked, source, reply and reply[2], body)
+    return out
+
+
+def test_chat_by_brute_force(spark):
+    rng = random.Random(21)
+    said = [(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").collect()]
+    assert len({(c, t) for c, t, *_ in said}) == len(said)
+    rows, earlier = [], []
+    for conv, turn, role, text in sorted(said, key=lambda r: r[:2]):
+        parts = []
+        for _ in range(rng.choice([0, 0, 1, 2, 3])):
+            source = rng.choice(earlier[-6:] + earlier[-60:-50] or [""])
+            words = source.split(" ")
+            cut = sorted(rng.choice([0, 0, len(words), len(words), rng.randrange(len(words))]) for _ in range(2))
+            level = rng.choice([1, 1, 1, 2, 3])
+            quoted = rng.choice([str.upper, str, str.title])(" ".join(words[cut[0] : cut[1]]) or source)
+            parts += [rng.choice([">", "> ", " >"]) * level + line for line in re.sub(r"([.!?]) ", rng.choice([r"\1\n", r"\1 ", r"\1\n\n"]), quoted).split("\n")]
+            parts += rng.choice([[], [""], ["  so " + rng.choice(words)]])
+        earlier.append(text or "")
+        rows.append((conv, turn, role, rng.choice(["\n", "\n", "\r\n"]).join([*parts, text or ""])))
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {(r.conv_id, r.turn): (r.n_quotes, r.n_linked, (r.source_conv, r.source_turn), r.parent_turn, r.body) for r in chat.format_chat(table).collect()}
+    want = _chat_by_hand([(c, t, x) for c, t, _, x in rows])
+    assert sum(w[1] > 0 for w in want.values()) > 100
+    assert [(k, got[k], w) for k, w in want.items() if got[k] != w] == []
+
+
+def test_chat_of_very_long_messages(spark):
+    n = 100_000
+    rows = [(0, ">" * n + " deep"), (1, "\n".join(f"> l{k}" if k % 2 else "own" for k in range(n))), (2, "\n" * n + "x" + "\n" * n), (3, "> " * n + "\n> y" + "\n>" * n + "\nz" + "\n " * n), (4, "a" + " \n" * n + "> q")]
+    table = spark.createDataFrame(rows, "turn long, text string").selectExpr("1L as conv_id", "turn", "'user' as role", "text")
+    got = {r.turn: r for r in chat.format_chat(table).collect()}
+    assert [(got[k].n_quotes, len(got[k].body)) for k in range(5)] == [(1, 0), (n // 2, 4 * (n // 2) - 1), (0, 2 * n + 1), (1, 1), (1, 1)]
+
+
 def test_reply_threads_follow_long_chains(spark):
     edges = spark.createDataFrame([(1, k, k - 1) for k in range(1, 40)], "conv_id long, turn long, parent long")
     got = {r.turn: (r.thread, r.depth) for r in chat.reply_threads(edges).collect()}

@@ -23,9 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftscan.llm.store import materialize
+from weftscan.llm.store import let, materialize
 
-_MARKS = r"^[ \t]*(>[ \t]?)+"
+#: Marks with any blanks between them; a possessive class, so a line of any number of marks needs no stack.
+_MARKS = r"^[ \t]*+>[> \t]*+"
+_BLANKS = " \t\n\x0b\f\r"
 _PARAGRAPH, _LINE, _SENTENCE = r"\n\s*\n", r"\n", r"(?<=[.!?])\s+|(?<=[\x{3002}\x{ff01}\x{ff1f}])\s*"
 #: Ways to cut a passage; each cuts all of it.
 _CUTS = (_PARAGRAPH, _LINE, f"{_SENTENCE}|{_PARAGRAPH}", f"{_SENTENCE}|{_LINE}")
@@ -45,16 +47,15 @@ def _lines(text: Column) -> Column:
 
 def _passages(lines: Column) -> Column:
     """Runs of one level as (level, text), in order; blank lines end no run and blank runs are left out."""
-    start = F.array().cast("array<struct<level:int,text:string>>")
+    def cut(x: Column) -> Column:
+        begins = F.filter(F.transform(x, lambda own, i: F.when(~own["level"].eqNullSafe(F.get(x, i - 1)["level"]), i)), lambda i: i.isNotNull())
+        return let(begins, lambda at: F.transform(at, lambda i, k: run(x, i, F.coalesce(F.get(at, k + 1), F.size(x)))))
 
-    def add(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        same = F.coalesce(last["level"] == x["level"], F.lit(False))
-        grown = F.struct(x["level"].alias("level"), F.concat(last["text"], F.lit("\n"), x["line"]).alias("text"))
-        new = F.array(F.struct(x["level"].alias("level"), x["line"].alias("text")))
-        return F.when(same, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, new))
+    def run(x: Column, begin: Column, end: Column) -> Column:
+        text = F.array_join(F.transform(F.slice(x, begin + 1, end - begin), lambda own: own["line"]), "\n")
+        return F.struct(F.get(x, begin)["level"].alias("level"), text.alias("text"))
 
-    return F.filter(F.aggregate(lines, start, add), lambda p: F.length(_normal(p["text"])) > 0)
+    return F.filter(let(lines, cut), lambda p: F.length(_normal(p["text"])) > 0)
 
 
 def _normal(text: Column) -> Column:
@@ -95,7 +96,7 @@ def quoted_messages(conversations: DataFrame) -> DataFrame:
     found = F.when(F.col("_quoting"), _passages(_lines(F.col("_text")))).otherwise(F.filter(whole, lambda p: F.length(_normal(p["text"])) > 0))
     body = F.when(
         F.col("_quoting"),
-        F.regexp_replace(F.array_join(F.transform(F.filter(_lines(F.col("_text")), lambda x: x["level"] == 0), lambda x: x["line"]), "\n"), r"^\s+|\s+\z", ""),
+        F.btrim(F.array_join(F.transform(F.filter(_lines(F.col("_text")), lambda x: x["level"] == 0), lambda x: x["line"]), "\n"), F.lit(_BLANKS)),
     ).otherwise(F.coalesce(F.col("_text"), F.lit("")))
     return rows.select("conv_id", "turn", "role", body.alias("body"), found.alias("passages"))
 
