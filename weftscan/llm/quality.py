@@ -3,8 +3,8 @@
 Each rule is a predicate over a document that says "reject". Its cost and selectivity are
 measured on a sample, and rules are tried in the order of rejections per cost, so that
 a document is usually rejected by something cheap. The order is that of the branches of one
-CASE expression, which evaluates no branch after the first that holds. A document's verdict
-does not depend on the order, so the sample (and its timing) never changes a result.
+CASE expression, which evaluates no branch after the first that holds, nor the counts that only such branches
+need. A document's verdict does not depend on the order, so the sample (and its timing) never changes a result.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftscan.llm.store import drop_clashes, let
+from weftscan.llm.store import drop_clashes, let, materialize
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -88,9 +88,12 @@ def text_counts(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     plain = drop_clashes(docs, ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
     counts = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
-    return plain.withColumns({"_counts": counts, "word_chars": word_chars(text), "n_symbols": symbol_count(text), "n_dup_lines": duplicate_lines(text)}).withColumns(
-        {"n_words": F.col("_counts.n_words"), "n_repeat_words": F.col("_counts.n_repeat_words")}
-    ).drop("_counts")
+    both = "_counts"
+    while both in {c.lower() for c in plain.columns}:
+        both += "_"
+    return plain.withColumns({both: counts, "word_chars": word_chars(text), "n_symbols": symbol_count(text), "n_dup_lines": duplicate_lines(text)}).withColumns(
+        {"n_words": F.col(both)["n_words"], "n_repeat_words": F.col(both)["n_repeat_words"]}
+    ).drop(both)
 
 
 @dataclass(frozen=True)
@@ -125,45 +128,56 @@ def default_rules() -> list[Rule]:
     ]
 
 
+#: Texts of more bytes are not drawn into the sample, which passes through the driver.
+SAMPLE_TEXT_BYTES = 65_536
+
+
+def sample_of(docs: DataFrame, sample_rows: int) -> DataFrame:
+    """At most ``sample_rows`` rows of a sample by hash of the text, as a small table in the shared folder.
+
+    Rows are taken from as few partitions as give enough of them, so a large table is not read for it.
+    """
+    text = F.col("text").cast("string")
+    drawn = docs.where((F.octet_length(text) <= SAMPLE_TEXT_BYTES) & (F.pmod(F.xxhash64(F.lit(11), text), F.lit(4)) == 0))
+    return materialize(docs.sparkSession.createDataFrame(drawn.take(sample_rows), docs.schema).coalesce(1))
+
+
 def cascade_order(docs: DataFrame, rules: list[Rule], sample_rows: int = 2000) -> list[Rule]:
-    """``rules`` by rejections per cost, both measured on at most ``sample_rows`` rows of ``docs``.
+    """``rules`` by rejections per cost, both measured on at most ``sample_rows`` rows of ``docs`` (with a text).
 
-    The cost of a rule is the time of a pass over the cached sample beyond an empty pass; the
-    driver receives one count for each rule. Equal ratios keep the given order.
+    The cost of a rule is the time of a pass over the sample that counts only what the rule needs,
+    beyond a pass that counts nothing; the driver receives one count for each rule. Equal ratios keep the given order.
     """
-    sample = docs.limit(sample_rows).cache()
-    try:
-
-        def timed(column: Column) -> tuple[float, int]:
-            began = time.perf_counter()
-            hits = sample.agg(F.count_if(column)).first()[0]
-            return time.perf_counter() - began, hits
-
-        timed(F.lit(True))
-        idle, rows = timed(F.lit(True))
-        measured = [timed(r.rejects) for r in rules]
-    finally:
-        sample.unpersist()
+    counted = text_counts(sample_of(docs, sample_rows))
+
+    def timed(column: Column) -> tuple[float, int]:
+        began = time.perf_counter()
+        hits = counted.agg(F.count_if(column)).first()[0]
+        return time.perf_counter() - began, hits
+
+    timed(F.length("text") >= 0)
+    idle, rows = timed(F.length("text") >= 0)
+    measured = [timed(r.rejects) for r in rules]
     per_cost = [hits / max(rows, 1) / max(seconds - idle, 1e-3) for seconds, hits in measured]
     return [rules[k] for k in sorted(range(len(rules)), key=lambda k: -per_cost[k])]
 
 
-def apply_cascade(counted: DataFrame, ordered: list[Rule]) -> DataFrame:
-    """``counted`` with rejected: true where some rule holds, decided by the first that does."""
+def verdict_of(ordered: list[Rule]) -> Column:
+    """True where some rule holds, decided by the first that does."""
     verdict = F.lit(False)
     if ordered:
         verdict = F.when(F.coalesce(ordered[0].rejects, F.lit(False)), F.lit(True))
         for r in ordered[1:]:
             verdict = verdict.when(F.coalesce(r.rejects, F.lit(False)), F.lit(True))
         verdict = verdict.otherwise(F.lit(False))
-    return drop_clashes(counted, ["rejected"]).withColumn("rejected", verdict)
+    return verdict
 
 
 def quality_cascade(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 2000) -> DataFrame:
     """``docs`` with the counts of ``text_counts``, base_failed and kept.
 
-    kept is false where the base rule fails and otherwise says that no rule of the cascade
-    rejects. The base rule stands first, as its counts are results of their own.
+    kept is false where any rule rejects, the base rule among them. The order of the rules is that of
+    ``cascade_order``; where only kept is read, what no rule before a rejection needs is not counted.
 
     Defined cases: a null text is a text without words; texts without words have counts of 0
     and fail the base rule; texts of any length are counted whole; equal rows get equal
@@ -171,10 +185,9 @@ def quality_cascade(docs: DataFrame, rules: list[Rule] | None = None, sample_row
     results are replaced, all others are kept.
     """
     counted = text_counts(drop_clashes(docs, ["base_failed", "kept"]))
-    rules = default_rules() if rules is None else rules
-    ordered = cascade_order(counted.drop("base_failed"), rules, sample_rows) if rules else []
-    judged = apply_cascade(counted.withColumn("base_failed", base_rule().rejects), [Rule("base", F.col("base_failed")), *ordered])
-    return judged.withColumn("kept", ~F.col("rejected")).drop("rejected")
+    rules = [base_rule(), *(default_rules() if rules is None else rules)]
+    ordered = cascade_order(counted, rules, sample_rows) if len(rules) > 1 else rules
+    return counted.withColumns({"base_failed": base_rule().rejects, "kept": ~verdict_of(ordered)})
 
 
 #: The same counts and verdicts for DuckDB.
