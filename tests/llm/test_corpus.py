@@ -457,9 +457,9 @@ def test_hilbert_index_is_a_curve(spark):
 def test_shards_of_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     odd = spark.createDataFrame([(i, None if i % 5 == 0 else "té" * (i % 7), "s" if i % 3 else None, "t") for i in range(11)] + [(3, "same", "s", "t")] * 30 + [(None, "", None, "t")], "doc_id long, text string, source string, shard string")
-    for table in (docs, odd):
+    for table, lane_rows in ((docs, sharding.LANE_ROWS), (odd, sharding.LANE_ROWS), (docs, 7), (odd, 3)):
         texts = table.select("doc_id", "text").collect()
-        got = sharding.hilbert_shards(table).collect()
+        got = sharding.hilbert_shards(table, lane_rows=lane_rows).collect()
         assert len(got) == len(texts)
         by = {}
         for r in got:
@@ -476,6 +476,20 @@ def test_shards_of_tables(spark):
     assert sharding.hilbert_shards(docs.where("false")).count() == 0
 
 
+def test_quantiles_by_brute_force(spark):
+    rng = random.Random(31)
+    # a common beginning, very common values and nulls
+    values = [None, *(f"https://www.site-{rng.randrange(40):04d}.test/{rng.choice('ab')}" for _ in range(700)), *["https://www.hot.test/"] * 300]
+    rows = spark.createDataFrame([(v, rng.randrange(90)) for v in values], "source string, n int").repartition(3)
+    known = sorted(v for v in values if v is not None)
+    levels = [k / 16 for k in range(1, 16)]
+    bounds = [known[math.ceil(x * len(known)) - 1] for x in levels]
+    assert sharding._bounds_of_words(rows, "source", levels) == bounds
+    got = sharding.quantised(rows, ["source", "n"], 4).collect()
+    assert all(r._q0 == (0 if r.source is None else sum(r.source >= b for b in set(bounds))) for r in got)
+    assert len({r._q0 for r in got}) > 8 and {r._q1 for r in got} == set(range(16))
+
+
 # pipeline
 
 

@@ -5,10 +5,10 @@ Hilbert curve, and the documents in that order are cut into runs with counts at
 one apart. A shard then covers a compact region in all dimensions at once, so minima and
 maxima kept for each file rule out most files for a filter on any of them.
 
-No step sorts the corpus. A cell is spread over lanes by a hash of doc_id, one aggregation
-counts rows by (cell, lane), and a running sum over those counts (at most cells times lanes,
-whatever the input) gives the rank at which each group begins. Rows are then numbered inside
-their groups only; a cell with a third of all rows is spread over all lanes.
+No step sorts the corpus. The table is read once, for a narrow copy without texts. A cell is spread over lanes by a
+hash of the text, as many as its count needs, and a lane that one text makes too large is spread again by row.
+An aggregation counts rows by (cell, lane), and a running sum over those counts gives the rank at which each lane
+begins. Rows are then numbered inside their lanes only, in an order in which equal texts of a lane stand together.
 """
 
 from __future__ import annotations
@@ -16,11 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftscan.llm.store import let
+from weftscan.llm.store import let, materialize
 
 SHARDS = 40
-#: Cells of a dimension are 2 ** BITS; lanes bound the rows that one task numbers.
-BITS, LANES = 4, 64
+#: Cells of a dimension are 2 ** BITS; a lane, which one task numbers, has about LANE_ROWS rows.
+BITS, LANE_ROWS = 4, 500_000
 
 
 def hilbert_index(coordinates: list[Column], bits: int) -> Column:
@@ -64,28 +64,41 @@ def hilbert_index(coordinates: list[Column], bits: int) -> Column:
     return let(undone, lambda u: let(gray(u), lambda g: let(turned(g), interleaved)))
 
 
-def _ordinal(column: Column, kind: str) -> Column:
-    """A number that orders as the column does: strings by their first six bytes."""
-    if kind in ("string", "binary"):
-        return F.conv(F.rpad(F.substring(F.hex(F.encode(column.cast("string"), "UTF-8")), 1, 12), 12, "0"), 16, 10).cast("double")
-    return column.cast("double")
+def _bounds_of_words(rows: DataFrame, column: str, levels: list[float]) -> list[str]:
+    """Quantiles of a string column over all rows.
+
+    Distinct values are counted, dealt in ranges and summed range by range, so no task has to hold them all.
+    """
+    spark = rows.sparkSession
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(counts.repartitionByRange(n, "v").withColumn("p", F.spark_partition_id()))
+    # one row for each range
+    sums = dealt.groupBy("p").agg(F.sum("n").alias("s"))
+    whole = Window.orderBy("p")
+    before = sums.select("p", (F.sum("s").over(whole) - F.col("s")).alias("before"), F.sum("s").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"))
+    upto = dealt.join(before, "p").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("p").orderBy("v")))
+    found = upto.agg(*[F.min(F.when(F.col("upto") >= F.lit(x) * F.col("all"), F.col("v"))).alias(f"b{k}") for k, x in enumerate(levels)]).first()
+    return [v for v in found if v is not None]
 
 
 def quantised(rows: DataFrame, dimensions: list[str], bits: int) -> DataFrame:
     """``rows`` with an int column _q0, _q1, ... in 0 .. 2**bits - 1 for each dimension.
 
-    Boundaries are quantiles over all rows, from one aggregation that returns
-    2**bits - 1 numbers for each dimension. A null is in cell 0.
+    Boundaries are quantiles over all rows, 2**bits - 1 for each dimension; strings are compared whole. A null is in
+    cell 0.
     """
     kinds = dict(rows.dtypes)
     levels = [k / (1 << bits) for k in range(1, 1 << bits)]
-    numbers = [_ordinal(F.col(d), kinds[d]) for d in dimensions]
-    found = rows.agg(*[F.percentile_approx(c, levels, 1000).alias(f"b{k}") for k, c in enumerate(numbers)]).first()
+    words = {k for k, d in enumerate(dimensions) if kinds[d] in ("string", "binary")}
+    numbers = [F.col(d).cast("string" if k in words else "double") for k, d in enumerate(dimensions)]
+    asked = [F.percentile_approx(c, levels, 1000).alias(f"b{k}") for k, c in enumerate(numbers) if k not in words]
+    found = rows.agg(*asked).first().asDict() if asked else {}
     out = {}
     for k, c in enumerate(numbers):
-        bounds = sorted(set(found[k] or []))
+        values = _bounds_of_words(rows.select(c.alias("v")), "v", levels) if k in words else map(float, found[f"b{k}"] or [])
         # cells by the number of boundaries at or below the value
-        out[f"_q{k}"] = F.coalesce(sum((F.when(c >= F.lit(float(x)), 1).otherwise(0) for x in bounds), F.lit(0)), F.lit(0)).cast("int")
+        out[f"_q{k}"] = F.coalesce(sum((F.when(c >= F.lit(x), 1).otherwise(0) for x in sorted(set(values))), F.lit(0)), F.lit(0)).cast("int")
     return rows.withColumns(out)
 
 
@@ -94,7 +107,7 @@ def hilbert_shards(
     shards: int = SHARDS,
     dimensions: tuple[str, ...] = ("source", "lang", "size"),
     bits: int = BITS,
-    lanes: int = LANES,
+    lane_rows: int = LANE_ROWS,
 ) -> DataFrame:
     """One row for each document: doc_id, size, text_crc32, law, shard, slot, grown_shard, curve.
 
@@ -104,8 +117,9 @@ def hilbert_shards(
     curve is the cell's position on the Hilbert curve and never falls from shard to shard.
 
     Defined cases: a null text has 16 bytes of size and the checksum of the empty text; nulls in
-    a dimension share its first cell; a null doc_id is ordered first; equal rows are
-    numbered one after the other in any order; with fewer rows than shards the last shards are
+    a dimension share its first cell; a null doc_id is ordered first in its lane among equal texts; equal rows are
+    numbered one after the other in any order; law "rows" lets a run end between equal texts, which otherwise stay
+    together where their metadata do; with fewer rows than shards the last shards are
     empty; an empty table gives no rows; clashing columns of ``docs`` are not read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -117,10 +131,18 @@ def hilbert_shards(
         *own,
     )
     used = [d for d in dimensions if d == "size" or d in own]
-    cells = quantised(rows, used, bits).withColumn("_lane", F.pmod(F.xxhash64("doc_id"), F.lit(lanes)).cast("int"))
+    rows = materialize(rows.withColumn("_id", F.monotonically_increasing_id()))
     axes = [f"_q{k}" for k in range(len(used))]
+    cells = materialize(quantised(rows, used, bits).select("doc_id", "size", "text_crc32", "_id", *axes))
+    by_text = F.pmod(F.xxhash64("text_crc32", "size"), F.col("_lanes"))
+    wide = cells.groupBy(*axes).agg(F.ceil(F.count(F.lit(1)) / lane_rows).alias("_lanes"))
+    cells = cells.join(wide, axes).withColumn("_lane", by_text).drop("_lanes")
+    # one text, or few, can fill a lane: its rows are dealt again, evenly
+    full = cells.groupBy(*axes, "_lane").agg(F.ceil(F.count(F.lit(1)) / (2 * lane_rows)).alias("_more"))
+    cells = cells.join(full, [*axes, "_lane"])
+    cells = cells.withColumn("_lane", F.struct("_lane", F.pmod(F.xxhash64("_id"), F.col("_more")).alias("_part"))).drop("_more")
     groups = cells.groupBy(*axes, "_lane").agg(F.count(F.lit(1)).alias("_n"))
-    # bounded by 2 ** (bits * dimensions) * lanes whatever the input, and by its rows
+    # cells are bounded by 2 ** (bits * dimensions), lanes by that and one for each lane_rows rows
     places = groups.select(*axes).distinct().withColumn("curve", hilbert_index([F.col(a) for a in axes], bits))
     curve = groups.join(places, axes)
     totals = curve.groupBy("curve").agg(F.sum("_n").alias("_cell"))
@@ -134,7 +156,7 @@ def hilbert_shards(
     inside = Window.partitionBy("curve").orderBy("_lane")
     placed = curve.withColumn("_inside", F.sum("_n").over(inside) - F.col("_n")).join(starts, "curve")
     placed = placed.select(*axes, "_lane", "curve", "_total", (F.col("_before") + F.col("_inside")).alias("_first"))
-    numbered = cells.withColumn("_r", F.row_number().over(Window.partitionBy(*axes, "_lane").orderBy("doc_id", "text_crc32")))
+    numbered = cells.withColumn("_r", F.row_number().over(Window.partitionBy(*axes, "_lane").orderBy("text_crc32", "size", "doc_id", "_id")))
     ranked = numbered.join(placed, [*axes, "_lane"]).withColumn("_rank", F.col("_first") + F.col("_r") - 1)
     # the first _total % shards shards have one row more than the others
     small, more = F.floor(F.col("_total") / shards), F.col("_total") % shards

@@ -1,7 +1,7 @@
 """Tables that cut lineage, written to the folder the cluster shares.
 
-The folder is ``spark.checkpoint.dir``; only where a session has none (tests,
-local runs) is a temporary folder of this machine used and remembered.
+The folder is ``spark.checkpoint.dir``. Only a local session may have none: then a temporary folder of this
+machine is used and remembered. On a cluster that is an error, as other machines would not see it.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all machines share")
         if sc.applicationId not in _local:
             _local[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="weftscan-")
         base = _local[sc.applicationId]
