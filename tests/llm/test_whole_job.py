@@ -1,9 +1,13 @@
 """Cases in which an operator once did less than the whole job."""
 
+import random
+
 import corpus_pipeline
 from weftscan.llm import chat, toxicity
 from weftscan.plans import catalogue
 
+SF = "/root/testdata/sf0.001"
+
 
 def _chat(spark, rows):
     table = spark.createDataFrame(rows, "conv_id long, turn long, text string").selectExpr("*", "'user' as role")
@@ -54,6 +58,21 @@ def test_near_duplicate_stage_keeps_rows_without_id_and_one_of_copies(spark):
     assert corpus_pipeline.near_duplicate_stage(spark, docs.where("false"), "").count() == 0
 
 
+def test_stages_keep_columns_whose_names_clash(spark):
+    rng = random.Random(3)
+    long = " ".join("".join(rng.choice("abcdeiou") for _ in range(rng.randrange(3, 9))) for _ in range(60))
+    rows = [(1, long, 5, "a", "b", 0.5, "c"), (None, long, 6, "d", None, None, "e"), (2, None, 7, None, None, None, None), (2, "", 8, None, None, None, None), (2, "# " * 50, 9, None, None, None, None)]
+    fields = "doc_id long, text string, n_words int, kept string, _counts string, toxicity double, text_ string"
+    docs = spark.createDataFrame(rows, fields).withColumnRenamed("text_", "odd `name`.x")
+    first = corpus_pipeline.quality_stage(spark, docs, SF)
+    assert first.columns == docs.columns and sorted(map(tuple, first.collect()), key=repr) == sorted(rows[:2], key=repr)
+    second = corpus_pipeline.toxicity_stage(spark, docs, SF)
+    assert second.columns == docs.columns and sorted(map(tuple, second.collect()), key=repr) == sorted(rows, key=repr)
+    none = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).count() == 0
+
+
 def test_source_outside_the_conversation(spark):
     rows = [(1, 0, "> said later\na"), (1, 3, "said later"), (2, 0, "said later"), (None, 0, "no conversation"), (5, None, "no conversation"), (6, 1, "no conversation"), (7, 0, "> no conversation\nb"), (8, 0, "> only here\nc"), (8, 1, "only here")]
     got = _chat(spark, rows)
