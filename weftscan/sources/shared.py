@@ -11,9 +11,15 @@ from pyspark.sql import DataFrame
 def landed(df: DataFrame) -> DataFrame:
     """``df`` written below ``spark.checkpoint.dir`` and read back: it is computed once, and its lineage ends.
 
-    Only a session without that setting (tests, one machine) uses a temporary folder.
+    Only a local session may lack that setting and then uses a temporary folder; on a cluster that is an error, as
+    other machines would not see it.
     """
-    base = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    sc = df.sparkSession.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all machines share")
+        base = "file://" + tempfile.gettempdir()
     path = f"{base.rstrip('/')}/weftscan-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
