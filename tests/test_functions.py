@@ -25,6 +25,13 @@ def one(spark, value, f, kind="string"):
         ("/relative", None),
         ("https:///x", None),
         ("https://[::1]:8080/a", "https://[::1]:8080/a"),
+        ("https://a.test:99999/x", None),
+        ("https://a.test:123456789012345678901234567890/x", None),
+        ("http://a.test:00080/x", "http://a.test/x"),
+        ("https://a.test:08443/x", "https://a.test:8443/x"),
+        ("https://a.te\tst/x\ny", "https://a.test/xy"),
+        ("https://a.test:/x", "https://a.test/x"),
+        ("https://a.test:8x/x", None),
     ],
 )
 def test_normalise(spark, url, want):
@@ -78,10 +85,16 @@ Disallow:
 
 
 def test_robots_parse_and_verdicts(spark):
-    got = robots.parse_lines(ROBOTS)
+    parsed = lambda text: one(spark, text, robots.parse_robots).asDict(recursive=True)
+    got = parsed(ROBOTS)
     assert [g["agents"] for g in got["groups"]] == [["A", "B/1.0"], ["*"]]
     assert got["groups"][0]["rules"] == [{"allow": False, "pattern": "/x"}, {"allow": True, "pattern": "/x/y"}]
     assert [g["crawl_delay"] for g in got["groups"]] == [None, 2.5] and got["sitemaps"] == ["https://a.test/s.xml"]
+    assert parsed(None) == parsed("") == parsed("no colon\r\n# x: y\rsitemap:") == {"groups": [], "sitemaps": []}
+    odd = parsed("USER-AGENT : x \r\ncrawl-delay: 3\rCrawl-Delay: nan\ncrawl-delay: many\nfoo: bar\nuser-agent:y\nallow: /a:b\nuser-agent: z")
+    assert [(g["agents"], g["crawl_delay"], [r["pattern"] for r in g["rules"]]) for g in odd["groups"]] == [(["x"], 3.0, []), (["y"], None, ["/a:b"]), (["z"], None, [])]
+    long = "/" + "a" * 20_000
+    assert one(spark, f"%c3{long}$", robots.normal_pattern) == f"%C3{long}$"
     landed = [("1", 200, "User-agent: *\nDisallow: /\nUser-agent: gptbot\nAllow: /"), ("2", 503, None), ("3", 404, "x"), ("4", 200, "<!DOCTYPE html><p>"), ("5", None, None), ("6", 200, ""), ("7", 429, ""), ("8", 302, "")]
     rows = spark.createDataFrame(landed, "site_id string, status int, body string")
     reasons = {r.site_id: r.r for r in rows.select("site_id", robots.parse_reason(F.col("status"), F.col("body")).alias("r")).collect()}
@@ -95,7 +108,7 @@ PAGE = """<!DOCTYPE html><html lang=" en "><head><title>no</title><meta name="ro
 <script type="application/ld+json">{"@graph": [{"@type": ["Product", "X"], "name": "P", "offers": {"price": "13", "priceCurrency": "EUR"}, "sameAs": ["a", "b"], "isAccessibleForFree": false}, {"n": true}]}</script>
 <script type="application/ld+json">{bad</script></head><body><header>top</header><nav><a href="/a">A</a><a href="mailto:x">m</a></nav>
 <div id="onetrust-banner">we use cookies</div><div hidden>secret text</div>
-<main id="m"><section id="s"><h1>Big  <b>title</b><p>one<br>two<p>three <time datetime="2024-02-03T00:00">then</time></section>
+<main id="m"><section id="s"><h1>Big  <b>title</b></h1><p>one<br>two<p>three <time datetime="2024-02-03T00:00">then</time></section>
 <ul><li>x<li>y</ul><table><tr><td>1<td>2<tr><td>3</table><img src="/size-guide.png"><a href="https://other.test/" rel="nofollow" aria-label="lab"></a></main>
 <p>Costs €1.250,00 on 5 March 2023, 31/12/2022 and 2021-02-30"""
 
@@ -104,7 +117,7 @@ def test_parse_page():
     p = html.parse_page(PAGE, "https://www.a.test/dir/")
     assert p["lang"] == "en" and p["canonical"] == "https://www.a.test/c" and p["meta_robots"] == ["noindex", "follow"]
     assert p["text"].splitlines() == ["top", "Am", "Big title", "one two", "three then", "x", "y", "1", "2", "3", "Costs €1.250,00 on 5 March 2023, 31/12/2022 and 2021-02-30"]
-    assert p["headings"] == [{"level": 1, "text": "Big titleonetwothree then"}] or p["headings"] == [{"level": 1, "text": "Big title one two three then"}] or p["headings"][0]["text"].startswith("Big title")
+    assert p["headings"] == [{"level": 1, "text": "Big title"}] and p["anchors"] == [{"id": "s", "heading_text": "Big title"}]
     assert p["hidden_text_len"] == len("secret text") and p["tables"] == 1 and p["link_total"] == 2
     assert [(x["anchor"], x["internal"]) for x in p["links"]] == [("A", True), ("lab", False)] and p["targets"] == ["https://www.a.test/a"]
     assert p["visible_dates"] == ["2024-02-03", "2023-03-05", "2022-12-31"]
@@ -116,8 +129,28 @@ def test_parse_page():
     assert p["images"] == [{"src": "/size-guide.png", "alt": None, "text_likely": True}]
 
 
+def test_hostile_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for body in ("<div>" * 40_000, "<p><li><td>" * 20_000, "<section id=x><h2>a</h2>" * 10_000, "</div>" * 40_000, "<a href=/x>" * 20_000, "<div hidden>x" * 20_000):
+        html.parse_page(body, "https://a.test/")
+    assert time.perf_counter() - began < 20
+    deep = "[" * 100_000 + "]" * 100_000, '{"@graph":[' * 20_000 + "]}" * 20_000, '{"@type":"T","a":' + '{"b":' * 300 + "1" + "}" * 301
+    p = html.parse_page("".join(f'<script type="application/ld+json">{x}</script>' for x in deep) + "<p>still read</p>", "https://a.test/")
+    assert p["text"] == "still read\n" and [n["errors"] for n in p["nodes"]] == [["nested too deeply"], ["nested too deeply"], []]
+    assert [n.get("n") for n in html.nodes_of([[{"n": 1}, {"@graph": [{"n": 2}, [[{"n": 3}]]]}], "x", {"@graph": 5, "n": 4}])] == [1, 2, 3, 4]
+    many = html.parse_page("<a href=/x>y</a>" * 501 + "<img src=a>" * 201, "https://a.test/")
+    assert many["truncated"] == ["links: 500 of 501", "images: 200 of 201"] and (len(many["links"]), len(many["images"])) == (500, 200)
+
+
+@pytest.mark.parametrize(("names", "want"), [("cookie-law bar", True), ("cookies banner", True), ("cookie recipe", False), ("cc-window", True), ("cc", False), ("privacy modal", True), ("myconsentbox", True), ("cmp2", True), ("cmpx", False), ("sp_message_1", True), ("banner", False)])
+def test_consent_names(names, want):
+    assert html.names_consent(names) is want
+
+
 def test_price_readings():
-    assert html.readings("1,499.00") == {1499.0} or 1499.0 in html.readings("1,499.00")
+    assert html.readings("1,499.00") == {1499.0, 1.499} and html.readings("1.250,00") == {1250.0, 1.25} and html.readings("12.5.1") == {1251.0} and html.readings("1,250") == {1250.0, 1.25}
     assert not html.contradicts({"offers.price": "1499", "offers.priceCurrency": "EUR"}, "now 1.499,00 and €1.499,00")
     assert not html.contradicts({"price": "5", "priceCurrency": "EUR"}, "$9") and html.contradicts({"price": "5"}, "$9")
 

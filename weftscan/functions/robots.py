@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +10,10 @@ AI_AGENTS = ["GPTBot", "ClaudeBot", "PerplexityBot", "Google-Extended", "OAI-Sea
 DIRECTIVE_LINE = r"(?im)^[ \t]*(user-agent|allow|disallow|crawl-delay|sitemap)[ \t]*:"
 HTML_START = r"(?i)^[\x{FEFF} \t\r\n]*<\s*(!doctype|html|head|body|meta|script|div|title)\b"
 
-PARSED = "groups array<struct<agents: array<string>, rules: array<struct<allow: boolean, pattern: string>>, crawl_delay: double>>, sitemaps array<string>"
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def product_token(value: Column) -> Column:
@@ -35,51 +35,42 @@ def parse_reason(status: Column, body: Column) -> Column:
     )
 
 
-def parse_lines(text: str) -> dict:
-    """Groups, each with agents, rules in file order and a crawl delay, and the sitemaps of a robots file.
+#: Ends of lines, and what is trimmed from names and values.
+_LINE_END = r"\r\n|[\n\r\x0B\f\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
+_BLANKS = " \t\x1f\u00a0\u3000"
+
 
-    Neighbouring user-agent lines share a group; rules before any group are ignored; sitemap lines
-    belong to no group and end no run of agents.
+def parse_robots(body: Column) -> Column:
+    """struct(groups, sitemaps) of robots files, in column functions only.
+
+    Directives are (name, value) pairs in file order. Leaving sitemaps aside, a group begins at each user-agent line that
+    does not follow another one, and reaches to the next beginning; what comes before the first is no group's.
+    The last crawl delay of a group that is a number from 0 on is its delay.
     """
-    groups: list[dict] = []
-    sitemaps: list[str] = []
-    heading = False
-    for line in (text or "").removeprefix("﻿").splitlines():
-        name, colon, value = line.partition("#")[0].strip().partition(":")
-        if not colon:
-            continue
-        name, value = name.strip().lower(), value.strip()
-        if name == "user-agent":
-            if not heading:
-                groups.append({"agents": [], "rules": [], "crawl_delay": None})
-            groups[-1]["agents"].append(value)
-            heading = True
-        elif name == "sitemap":
-            sitemaps += [value] if value else []
-        elif name in ("allow", "disallow", "crawl-delay"):
-            heading = False
-            if not groups:
-                continue
-            if name != "crawl-delay":
-                groups[-1]["rules"].append({"allow": name == "allow", "pattern": value})
-                continue
-            try:
-                delay = float(value)
-            except ValueError:
-                continue
-            if delay >= 0:
-                groups[-1]["crawl_delay"] = delay
-    return {"groups": groups, "sitemaps": sitemaps}
-
-
-def _parse_all(bodies: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_lines(b) for b in bodies], columns=["groups", "sitemaps"])
 
+    def directive(line: Column) -> Column:
+        pair = F.split(F.substring_index(line, "#", 1), ":", 2)
+        return F.when(F.size(pair) == 2, F.struct(F.lower(F.btrim(pair[0], F.lit(_BLANKS))).alias("name"), F.btrim(pair[1], F.lit(_BLANKS)).alias("value")))
 
-def parse_robots(body: Column) -> Column:
-    """struct(groups, sitemaps) of robots files, in Arrow batches."""
-    kind = PARSED.replace("groups array", "groups: array", 1).replace(", sitemaps array", ", sitemaps: array")
-    return F.pandas_udf(_parse_all, f"struct<{kind}>")(body)
+    def named(pairs: Column, *names: str) -> Column:
+        return F.filter(pairs, lambda d: d["name"].isin(*names))
+
+    def group(pairs: Column) -> Column:
+        delays = F.filter(F.transform(named(pairs, "crawl-delay"), lambda d: d["value"].try_cast("double")), lambda x: (x >= 0) & ~F.isnan(x))
+        rules = F.transform(named(pairs, "allow", "disallow"), lambda d: F.struct((d["name"] == "allow").alias("allow"), d["value"].alias("pattern")))
+        return F.struct(F.transform(named(pairs, "user-agent"), lambda d: d["value"]).alias("agents"), rules.alias("rules"), F.get(delays, F.size(delays) - 1).alias("crawl_delay"))
+
+    def grouped(pairs: Column) -> Column:
+        agent = lambda d: F.coalesce(d["name"] == "user-agent", F.lit(False))
+        begins = F.filter(F.transform(pairs, lambda d, i: F.when(agent(d) & ~agent(F.get(pairs, i - 1)), i)), lambda i: i.isNotNull())
+        return let(begins, lambda at: F.transform(at, lambda i, k: group(F.slice(pairs, i + 1, F.coalesce(F.get(at, k + 1), F.size(pairs)) - i))))
+
+    def parsed(pairs: Column) -> Column:
+        sitemaps = F.filter(F.transform(named(pairs, "sitemap"), lambda d: d["value"]), lambda v: v != "")
+        return F.struct(let(named(pairs, "user-agent", "allow", "disallow", "crawl-delay"), grouped).alias("groups"), sitemaps.alias("sitemaps"))
+
+    lines = F.split(F.regexp_replace(F.coalesce(body, F.lit("")), r"^\x{FEFF}", ""), _LINE_END)
+    return let(F.filter(F.transform(lines, directive), lambda d: d.isNotNull()), parsed)
 
 
 def normal_pattern(value: Column) -> Column:
@@ -87,7 +78,7 @@ def normal_pattern(value: Column) -> Column:
     wide = F.transform(F.split(value, ""), lambda c: F.when(c.rlike(r"^[\x00-\x7F]*$"), c).otherwise(F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")))
     text = F.when(value.rlike(r"^[\x00-\x7F]*$"), value).otherwise(F.array_join(wide, ""))
     parts = F.split(text, "(?=%[0-9a-fA-F]{2})")
-    raised = F.transform(parts, lambda p: F.when(p.rlike("^%[0-9a-fA-F]{2}"), F.concat(F.upper(F.substring(p, 1, 3)), F.substring(p, 4, 10_000))).otherwise(p))
+    raised = F.transform(parts, lambda p: F.when(p.rlike("^%[0-9a-fA-F]{2}"), F.concat(F.upper(F.substring(p, 1, 3)), p.substr(F.lit(4), F.length(p)))).otherwise(p))
     return F.when(text.contains("%"), F.array_join(raised, "")).otherwise(text)
 
 
@@ -157,9 +148,3 @@ def verdicts(responses: DataFrame, agents: list[str] = AI_AGENTS) -> DataFrame:
 def max_crawl_delay(groups: DataFrame) -> DataFrame:
     """(site_id, crawl_delay): the longest delay that any group asks for; ``groups`` has (site_id, crawl_delay)."""
     return groups.groupBy("site_id").agg(F.max("crawl_delay").alias("crawl_delay"))
-
-
-def parsed_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(site_id, body) to (site_id, groups, sitemaps), for ``mapInPandas`` with ``site_id string, `` + PARSED."""
-    for b in batches:
-        yield pd.concat([b[["site_id"]].reset_index(drop=True), pd.DataFrame([parse_lines(x) for x in b["body"]], columns=["groups", "sitemaps"])], axis=1)

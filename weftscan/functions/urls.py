@@ -28,11 +28,14 @@ com.co com.pe com.ec com.uy
 TRACKING_NAMES = ["gclid", "fbclid", "msclkid", "mc_cid", "mc_eid", "_ga", "yclid"]
 TRACKING_PREFIX = "utm_"
 
-_URL = r"^\s*([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+DEFAULT_PORTS = {"http": 80, "https": 443}
+#: Characters that browsers drop wherever they stand in an address.
+DROPPED = dict.fromkeys(map(ord, "\t\r\n"))
+URL_PATTERN = r"^\s*([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
 def _part(url: Column, group: int) -> Column:
-    return F.regexp_extract(F.trim(url), _URL, group)
+    return F.regexp_extract(F.translate(F.trim(url), "\t\r\n", ""), URL_PATTERN, group)
 
 
 def scheme(url: Column) -> Column:
@@ -67,19 +70,22 @@ def origin(url: Column) -> Column:
 
 
 def normalise(url: Column) -> Column:
-    """Canonical form of an absolute http(s) URL, null for anything else.
+    """The form under which addresses are compared; null where there is no http(s) address.
 
-    Scheme and host in lower case; default port, fragment and tracking parameters dropped; an
-    empty path is ``/``. Path case and all other parameters stay.
+    Two spellings of one address come out equal: case of scheme and host, white space inside, user info, a
+    port that is the scheme's own or has leading zeros, tracking parameters and the fragment make no difference.
+    Everything a server could tell apart is kept.
     """
-    port = F.regexp_extract(netloc(url), r":(\d+)$", 1)
+    digits = F.regexp_extract(netloc(url), r":(\d+)$", 1)
+    port = F.when(F.length(digits) <= 18, digits.try_cast("bigint"))
     bracketed = F.when(host(url).contains(":"), F.concat(F.lit("["), host(url), F.lit("]"))).otherwise(host(url))
-    default = ((scheme(url) == "http") & (port == "80")) | ((scheme(url) == "https") & (port == "443")) | (port == "")
-    place = F.when(default, bracketed).otherwise(F.concat(bracketed, F.lit(":"), port.cast("int").cast("string")))
+    own = F.create_map(*[F.lit(x) for pair in DEFAULT_PORTS.items() for x in pair])
+    place = F.when((digits == "") | port.eqNullSafe(F.try_element_at(own, scheme(url))), bracketed).otherwise(F.concat(bracketed, F.lit(":"), port.cast("string")))
     name = lambda p: F.lower(F.substring_index(p, "=", 1))
     kept = F.filter(F.split(query(url), "&"), lambda p: (p != "") & ~name(p).isin(TRACKING_NAMES) & ~name(p).startswith(TRACKING_PREFIX))
     tail = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit(""))
-    valid = scheme(url).isin("http", "https") & (host(url) != "") & ~F.regexp_replace(netloc(url), r"^.*@", "").rlike(r":[^\]]*[^\d\]][^\]]*$")
+    written = F.regexp_replace(netloc(url), r"^.*@", "").rlike(r"^(\[[^\]]*\]|[^:\[\]]*)(:\d*)?$")
+    valid = scheme(url).isin(*DEFAULT_PORTS) & (host(url) != "") & written & ((digits == "") | F.coalesce(port <= 65535, F.lit(False)))
     return F.when(valid, F.concat(scheme(url), F.lit("://"), place, path(url), tail))
 
 

@@ -484,8 +484,11 @@ def rnd_001(ev: Evidence) -> DataFrame:
     totals = all_pages.select("site_id", F.col("members").alias("n_comparable"), whole.alias("whole"))
     site = all_pages.where(whole).select("site_id", F.lit("site").alias("breadth"), "hit", "members", "types", "bare", "urls")
     rest = pages.join(totals.where("not whole").select("site_id"), "site_id", "left_semi")
-    shared = rest.where("dep and segment <> ''").groupBy("site_id", "segment").agg(F.collect_list("inner").alias("all"))
-    shared = shared.select("site_id", "segment", F.reduce(F.slice("all", 2, 100_000), F.get("all", F.lit(0)), F.array_intersect).alias("shared"))
+    # inner segments that all hit pages of a section have: counted, so a section of any size is a few numbers
+    hits = rest.where("dep and segment <> ''")
+    size = hits.groupBy("site_id", "segment").agg(F.count(F.lit(1)).alias("_n"))
+    held = hits.select("site_id", "segment", F.explode(F.array_distinct("inner")).alias("_part")).groupBy("site_id", "segment", "_part").agg(F.count(F.lit(1)).alias("_k"))
+    shared = size.join(held, ["site_id", "segment"], "left").groupBy("site_id", "segment").agg(F.collect_list(F.when(F.col("_k") == F.col("_n"), F.col("_part"))).alias("shared"))
     in_section = rest.join(shared, ["site_id", "segment"]).withColumn("member", F.size(F.array_except("shared", "inner")) == 0).where("member")
     enough = (F.col("hit") >= 2) & (F.col("hit") * 2 >= F.col("members"))
     sections = scope(in_section, "segment").where(enough)
