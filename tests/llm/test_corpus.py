@@ -102,6 +102,19 @@ def test_karlin_lambda():
     assert toxicity.karlin_lambda(values, shares) == pytest.approx(math.log(3))
 
 
+def test_fitted_k_on_random_text():
+    # steps of +1 and -1 are a law that is known: E of at least S is K n exp(-lambda S)
+    rng = np.random.default_rng(8)
+    scores = np.where(rng.random(200_000) < 0.3, 1.0, -1.0)
+    lam = toxicity.karlin_lambda(np.array([-1.0, 1.0]), np.array([0.7, 0.3]))
+    found = np.array([s for *_, s in toxicity.maximal_segments(scores.tolist())])
+    histogram = np.bincount((found / toxicity._STEP).astype(int), minlength=toxicity._SEGMENT_BINS)
+    k = toxicity.fitted_k(histogram, scores.size, lam, 50, 9.0)
+    for s in (3, 4, 5):
+        assert (found >= s).sum() == pytest.approx(k * scores.size * math.exp(-lam * s), rel=0.5)
+    assert toxicity.fitted_k(histogram * 0, scores.size, lam, 50, 9.0) == 9.0
+
+
 def _labelled(spark, n=240):
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdeiou") for _ in range(rng.randrange(3, 9))) for _ in range(300)]

@@ -37,8 +37,8 @@ from weftscan.llm.store import drop_clashes, materialize
 _TOKEN = re.compile(r"[^\W_]+")
 #: Letters of the stems that a token inherits from, shortest first.
 STEMS = (3, 4, 5)
-#: Bins of token scores, from -8 in steps of 1/4.
-_BINS, _LOW, _STEP = 64, -8.0, 0.25
+#: Bins of token scores, from -8 in steps of 1/4, and of segment scores, from 0 in the same steps; outer bins take what is beyond.
+_BINS, _LOW, _STEP, _SEGMENT_BINS = 64, -8.0, 0.25, 200
 
 
 def tokens_of(text: str | None) -> list[str]:
@@ -232,11 +232,15 @@ def train(
     drift: float = 0.35,
     k: float = 0.1,
     e_value: float = 0.1,
+    tail: float = 1e-4,
+    least_segments: int = 50,
 ) -> ToxicityModel:
     """Fit on ``labelled`` (doc_id, text, toxic 0 or 1), whose number of rows the caller bounds.
 
     Three quarters of the rows, by a hash of doc_id, give token counts; the others fit the law and the
-    curve, for which the driver receives a short profile of each. The model keeps all tokens and stems that tell something beyond their prior;
+    curve. lambda comes from the scores of clean tokens, to which a share ``tail`` of positive ones is added as a prior, and K from the number of
+    segments in the highest twentieth of clean rows; below ``least_segments`` of them K is ``k``. The driver receives
+    histograms summed over all rows, and a number for each row. The model keeps all tokens and stems that tell something beyond their prior;
     the rows bound what is sent to workers. Without rows of both classes every text scores
     below ``cut_score``.
     """
@@ -252,38 +256,68 @@ def train(
     told = _shares(counts, base, prior).select("feature", odds.alias("odds"), gain.alias("gain")).where(F.col("gain") >= 1.0)
     top = told.select("feature", "odds").collect()
     model = ToxicityModel({r.feature: max(-clip, min(clip, r.odds)) - drift for r in top}, -drift, 1.0, k, 1.0, math.log(cut_score / (1 - cut_score)) - 3.0)
-    rows = _profiles(known.where(part == 0), model).collect()
-    y = np.array([r.toxic for r in rows], float)
-    clean = np.sum([r.bins for r in rows if not r.toxic] or [[0] * _BINS], axis=0).astype(float)
-    if not y.size or y.min() == y.max() or not clean.sum():
+    held = known.where(part == 0)
+    clean, segments = np.zeros(_BINS), np.zeros(_SEGMENT_BINS)
+    for r in _histograms(held.where("toxic = 0"), model).collect():
+        (segments if r.of_segments else clean)[r.bin] = r.n
+    if not clean.sum():
         return model
     values = _LOW + _STEP * (np.arange(_BINS) + 0.5)
-    # as if one clean token in ten thousand had a positive score at random
-    shares = clean + 1e-4 * clean.sum() * (values > 0) / (values > 0).sum()
+    shares = clean + tail * clean.sum() * (values > 0) / (values > 0).sum()
     lam = karlin_lambda(values, shares / shares.sum())
-    x = np.array([aggregate_of(r.segments, r.n, lam, k, e_value) for r in rows])
+    model = replace(model, lam=lam, k=fitted_k(segments, clean.sum(), lam, least_segments, k))
+    rows = _aggregates(held, model, e_value).collect()
+    y, x = np.array([r.toxic for r in rows], float), np.array([r.x for r in rows])
+    if y.min() == y.max():
+        return model
     slope, offset = _fit_curve(x, y, cut_score)
-    return replace(model, lam=lam, slope=slope, offset=offset)
+    return replace(model, slope=slope, offset=offset)
+
 
+def fitted_k(segments: np.ndarray, tokens: float, lam: float, least: int, otherwise: float) -> float:
+    """K of E = K n exp(-lambda S), from a histogram of the segment scores of n random clean tokens.
+
+    The law holds for high scores, so it is held to the number of segments in the highest twentieth (``least`` at least).
+    """
+    if segments.sum() < least or not tokens:
+        return otherwise
+    beyond = np.cumsum(segments[::-1])[::-1]
+    at = int(np.flatnonzero(beyond >= max(least, segments.sum() / 20))[-1])
+    return float(beyond[at] / tokens * math.exp(lam * _STEP * at))
 
-def _profiles(rows: DataFrame, model: ToxicityModel) -> DataFrame:
-    """toxic, n (tokens), segments (scores) and bins (counts of token scores) of rows (text, toxic)."""
+
+def _histograms(rows: DataFrame, model: ToxicityModel) -> DataFrame:
+    """(of_segments, bin, n): how many tokens and how many segments of the texts have a score in each bin."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores_of = TokenScores(sent.value)
+        tokens, segments = np.zeros(_BINS, np.int64), np.zeros(_SEGMENT_BINS, np.int64)
         for b in batches:
-            n, segments, bins = [], [], []
             for text in b.column(0).to_pylist():
-                scores = [scores_of[t] for t in tokens_of(text)]
-                n.append(len(scores))
-                segments.append([s for _, _, s in maximal_segments(scores)])
-                at = np.clip((np.array(scores) - _LOW) / _STEP, 0, _BINS - 1).astype(int)
-                bins.append(np.bincount(at, minlength=_BINS).tolist())
-            lists = [pa.array(segments, pa.list_(pa.float64())), pa.array(bins, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n, pa.int64()), *lists], names=["toxic", "n", "segments", "bins"])
-
-    return rows.select("text", "toxic").mapInArrow(run, "toxic int, n long, segments array<double>, bins array<long>")
+                scores = np.array([scores_of[t] for t in tokens_of(text)])
+                tokens += np.bincount(np.clip((scores - _LOW) / _STEP, 0, _BINS - 1).astype(int), minlength=_BINS)
+                found = np.array([x for _, _, x in maximal_segments(scores.tolist())])
+                segments += np.bincount(np.clip(found / _STEP, 0, _SEGMENT_BINS - 1).astype(int), minlength=_SEGMENT_BINS)
+        for of_segments, counts in ((False, tokens), (True, segments)):
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([of_segments] * at.size, pa.bool_()), pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["of_segments", "bin", "n"])
+
+    counted = rows.select("text").mapInArrow(run, "of_segments boolean, bin int, n long")
+    return counted.groupBy("of_segments", "bin").agg(F.sum("n").alias("n"))
+
+
+def _aggregates(rows: DataFrame, model: ToxicityModel, e_value: float) -> DataFrame:
+    """toxic and x (``aggregate_of``) of rows (text, toxic)."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores_of = TokenScores(sent.value)
+        for b in batches:
+            x = [passages(text, sent.value, scores_of, e_value)[0] for text in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(x, pa.float64())], names=["toxic", "x"])
+
+    return rows.select("text", "toxic").mapInArrow(run, "toxic int, x double")
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
