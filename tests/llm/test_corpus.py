@@ -301,13 +301,13 @@ def _brute_vectors(rows, cosine):
     return count, _union({r[0] for r in rows}, links)
 
 
-@pytest.mark.parametrize("block", [2048, 7])
+@pytest.mark.parametrize("block", [8192, 7])
 def test_lattice_by_brute_force(spark, block):
     rng = np.random.default_rng(5)
     rows, k = [], 0
     for c in range(12):
         centre = rng.standard_normal(24)
-        for _ in range([1, 3, 40, 2][c % 4]):
+        for _ in range([1, 3, 100, 2][c % 4]):
             rows.append((k, (centre + rng.standard_normal(24) * rng.choice([0.02, 0.08, 0.2])).tolist(), c % 2))
             k += 1
     rows += [(k, rows[3][1], 1), (k + 1, rows[3][1], 1), (k + 2, rows[3][1], None), (k + 3, None, 1), (k + 4, [], 1), (k + 5, [0.0] * 24, 1), (k + 6, [float("nan")] * 24, 1), (k + 7, [None] * 24, 1), (k + 8, [float("inf")] * 24, 1), (k + 9, [1.0, 2.0], 1), (k + 10, [2.0, 4.0], 1)]

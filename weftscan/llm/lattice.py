@@ -26,10 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftscan.llm.components import connected_components
+from weftscan.llm.runs import whole_runs
 from weftscan.llm.store import materialize
 
 #: Tables, probes in each, lattice units for a unit of projected distance, and rows of a block.
-TABLES, PROBES, SCALE, BLOCK = 10, 2, 0.8, 2048
+TABLES, PROBES, SCALE, BLOCK = 10, 2, 0.8, 8192
+#: Cells of at most this many rows are compared many at once, of about this many rows together.
+SMALL, ROWS_AT_ONCE = 64, 20_000
 
 
 @functools.cache
@@ -193,36 +196,62 @@ def _compare(rows: dict[str, np.ndarray], cosine: float, tables: int, probes: in
     return [(rows["vec_id"][hit], rows["d1"][hit], count[hit], least[hit])]
 
 
+def _compare_small(rows: dict[str, np.ndarray], run: np.ndarray, cosine: float, tables: int, probes: int, scale: float, seed: int) -> tuple:
+    """As ``_compare`` for many cells of one block at once; ``run`` numbers the cell of each row, in order."""
+    x, home, n = rows["unit"], rows["home"], len(run)
+    count = np.zeros(n, np.int64)
+    label = np.arange(n)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for step in range(1, n):
+        i = np.flatnonzero(run[step:] == run[:-step])
+        if not i.size:
+            break
+        i = i[home[i] | home[i + step]]
+        for at in range(0, i.size, 50_000):
+            part = i[at : at + 50_000]
+            part = part[np.einsum("nd,nd->n", x[part], x[part + step]) >= cosine]
+            found.append((part, part + step))
+    i, j = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+    if i.size:
+        _joined(label, i, j)
+        some, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+        keys = lattice_cells(x[some], rows["label"][some], tables, probes, scale, seed)
+        for at in range(0, i.size, 200_000):
+            own = slice(at, at + 200_000)
+            here = _first_meeting(place[: i.size][own], place[i.size :][own], *keys) == rows["cell"][i[own]]
+            a, b = i[own][here], j[own][here]
+            np.add.at(count, a, rows["weight"][b])
+            np.add.at(count, b, rows["weight"][a])
+    least = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(least, label, rows["vec_id"])
+    least = least[label]
+    hit = np.flatnonzero((count > 0) | (least < rows["vec_id"]))
+    return rows["vec_id"][hit], rows["d1"][hit], count[hit], least[hit]
+
+
 def _cells_compared(batches: Iterator[pa.RecordBatch], cosine: float, tables: int, probes: int, scale: float, seed: int) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by (cell, p, q); each such group is compared as soon as it is whole."""
-    waiting: list[pa.RecordBatch] = []
-    key = None
-
-    def done() -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(waiting)
-        waiting.clear()
-        for dim, t in _by_dimension(table.combine_chunks().to_batches()[0], "v"):
-            if t.num_rows < 2:
-                continue
-            rows = {c: t.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "d1", "home", "block", "weight", "label")}
-            rows |= {"cell": key[0], "p": key[1], "q": key[2], "unit": _unit(_matrix(t.column("v"), dim))}
-            for out in _compare(rows, cosine, tables, probes, scale, seed):
+    """Rows arrive sorted by (cell, p, q). Small cells are compared together, a larger one or two of its blocks alone."""
+    names = ("vec_id", "d1", "home", "block", "weight", "label", "cell", "p", "q")
+    law = (cosine, tables, probes, scale, seed)
+    for table in whole_runs(batches, ("cell", "p", "q"), ROWS_AT_ONCE):
+        for dim, t in _by_dimension(table, "v"):
+            rows = {c: t.column(c).to_numpy(zero_copy_only=False) for c in names}
+            starts = np.concatenate([[True], np.any([rows[c][1:] != rows[c][:-1] for c in ("cell", "p", "q")], axis=0)])
+            run = np.cumsum(starts) - 1
+            sizes = np.bincount(run)
+            unit = _unit(_matrix(t.column("v"), dim))
+            small = np.flatnonzero((sizes[run] > 1) & (sizes[run] <= SMALL) & (rows["p"] == rows["q"]))
+            outs = []
+            if small.size:
+                outs.append(_compare_small({c: rows[c][small] for c in names} | {"unit": unit[small]}, run[small], *law))
+            ends = np.append(np.flatnonzero(starts), len(run))
+            for k in np.flatnonzero((sizes > SMALL) | ((sizes > 1) & (rows["p"] != rows["q"])[ends[:-1]])).tolist():
+                own = slice(ends[k], ends[k + 1])
+                one = {c: rows[c][own] for c in names} | {c: int(rows[c][ends[k]]) for c in ("cell", "p", "q")}
+                outs += _compare(one | {"unit": unit[own]}, *law)
+            for out in outs:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["vec_id", "d1", "n", "least"])
 
-    for b in batches:
-        keys = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "p", "q")])
-        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
-        for a, z in itertools.pairwise(cuts):
-            if a == z:
-                continue
-            mine = tuple(keys[:, a].tolist())
-            if waiting and mine != key:
-                yield from done()
-            key = mine
-            waiting.append(b.slice(a, z - a))
-    if waiting:
-        yield from done()
-
 
 def lattice_near_duplicates(
     embeddings: DataFrame,

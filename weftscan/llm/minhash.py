@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftscan.llm.components import connected_components
+from weftscan.llm.runs import whole_runs
 from weftscan.llm.store import materialize
 
 #: Bands and rows: at similarity 0.8 a pair shares no band with probability 3e-5, at 0.3 one with 1 %.
@@ -208,41 +209,16 @@ class _Law:
         return 100 * shared >= self.percent * (a + b - shared)
 
 
-def _whole_runs(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole (group, part) runs with about ``rows`` rows or one run, and where the runs begin.
-
-    Rows arrive sorted by group and part.
-    """
-    held: list[pa.RecordBatch] = []
-    n = 0
-
-    def cut(last: bool) -> Iterator[tuple[pa.Table, np.ndarray]]:
-        nonlocal held, n
-        table = pa.Table.from_batches(held).combine_chunks()
+def _bounded_runs(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Tables of whole (group, part) runs, and where the runs begin and the last ends."""
+    for table in whole_runs(batches, ("group", "part"), rows):
         group, part = (table.column(c).to_numpy() for c in ("group", "part"))
-        starts = np.concatenate([[0], np.flatnonzero((group[1:] != group[:-1]) | (part[1:] != part[:-1])) + 1])
-        end = table.num_rows if last else int(starts[-1])
-        if end:
-            own = starts[starts < end]
-            yield table.slice(0, end), np.append(own, end)
-        held = table.slice(end).combine_chunks().to_batches()
-        n = table.num_rows - end
-
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            piece = batch.slice(at, rows)
-            held.append(piece)
-            n += piece.num_rows
-            if n >= rows:
-                yield from cut(False)
-    if n:
-        yield from cut(True)
+        starts = np.flatnonzero((group[1:] != group[:-1]) | (part[1:] != part[:-1])) + 1
+        yield table, np.concatenate([[0], starts, [table.num_rows]])
 
 
-def _packed_matrix(table: pa.Table) -> np.ndarray:
-    column = table.column("packed").combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
+def _packed_matrix(table: pa.RecordBatch) -> np.ndarray:
+    return table.column("packed").flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
 
 
 def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -278,7 +254,7 @@ def _met(batches: Iterator[pa.RecordBatch], law: _Law) -> Iterator[pa.RecordBatc
 
     All rows of a run are compared with its first one; only rows that this leaves apart are compared with the others.
     """
-    for table, bounds in _whole_runs(batches, 20_000):
+    for table, bounds in _bounded_runs(batches, 20_000):
         node, side, known, sizes = (table.column(c).to_numpy() for c in ("node", "side", "c", "n_shingles"))
         packed, n = _packed_matrix(table), table.num_rows
         run = np.repeat(np.arange(bounds.size - 1), np.diff(bounds))
@@ -420,11 +396,10 @@ def _confirmed(batches: Iterator[pa.RecordBatch], law: _Law) -> Iterator[pa.Reco
     A row whose text is not the text of its class (another one under the same doc_id) is left out.
     """
     hasher = ShingleHasher(law.k)
-    for table, bounds in _whole_runs(batches, 2_000):
+    for table, bounds in _bounded_runs(batches, 2_000):
         node, second, rep, side, known = (table.column(c).to_numpy() for c in ("node", "d2", "rep", "side", "c"))
         packed = _packed_matrix(table)
-        texts = table.column("text").combine_chunks()
-        texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
+        texts = table.column("text")
         out: list[tuple[int, int]] = []
         for a, z in itertools.pairwise(bounds.tolist()):
             if z - a < 2:
