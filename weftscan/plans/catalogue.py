@@ -209,6 +209,19 @@ def robots_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("applies", robots.matches(F.col("path"), F.col("pattern")))
 
 
+_HEADERS = [
+    "noindex", "otherbot: noindex", "googlebot: noindex, nosnippet", "otherbot: noindex, nofollow, googlebot: none", "max-snippet: 0", "unavailable_after: 25 Jun 2030 15:00:00 PST, NoSnippet", "googlebot: max-snippet : 0, otherbot: nosnippet",
+    "oai-searchbot: NOINDEX, max-image-preview: large", "googlebot:, noindex", " , ,nosnippet", "", "a: b: c, googlebot: x: y", "googlebot : noindex", None,
+]
+
+
+def header_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directives of robots headers that are in force for indexing and for snippets."""
+    rows = spark.createDataFrame([(i, [], h) for i, h in enumerate(_HEADERS)], "case_id int, meta_robots array<string>, x_robots string")
+    joined = lambda scopes: F.array_join(F.array_sort(R.directives(scopes)), ",")
+    return rows.select("case_id", joined(R.INDEX_SCOPES).alias("indexing"), joined(R.SNIPPET_SCOPES).alias("snippets"))
+
+
 def robots_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest rule that applies decides for each agent, site and page of the fixture."""
     ev = fixture.evidence(spark)
@@ -220,7 +233,7 @@ def robots_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TABLE = (
     page_strata, page_addresses, page_duplicates, page_headings, page_measurements, page_languages, page_links, page_sample, user_error_share, user_error_rollup, user_value_median,
     user_type_pivot, user_top_events, document_copies, document_strata, document_round_robin, severity_table, report_findings, reports_markdown, report_summary, claims_promoted,
-    claim_candidates, site_orphans, site_depths, robots_matches, robots_decisions,
+    claim_candidates, site_orphans, site_depths, robots_matches, header_directives, robots_decisions,
 )
 
 
@@ -308,6 +321,12 @@ def oracle_sql() -> dict[str, str]:
         "site_depths": f"""WITH RECURSIVE {fixture.values_sql("pages", "edges")}, walk(site_id, url, depth) AS (SELECT site_id, url, 0 FROM fx_pages WHERE page_seq = 0
             UNION SELECT e.site_id, e.dst, depth + 1 FROM walk w JOIN fx_edges e ON e.site_id = w.site_id AND e.src = w.url JOIN fx_pages p ON p.site_id = e.site_id AND p.url = e.dst WHERE depth < 20)
             SELECT site_id, url, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY 1, 2""",
+        "header_directives": f"""WITH rows AS (SELECT * FROM (VALUES {", ".join(f"({i}, {'NULL' if h is None else repr(h)})" for i, h in enumerate(_HEADERS))}) AS t(case_id, x_robots)),
+            {rule_sql.header_tokens("SELECT * FROM rows", "case_id")} SELECT CAST(r.case_id AS INTEGER) AS case_id, """
+            + ", ".join(f"coalesce((SELECT string_agg(DISTINCT token, ',' ORDER BY token) FROM tokens t WHERE t.case_id = r.case_id AND (scope IS NULL OR scope IN {_WORDS(scopes)})), '') AS {name}" for scopes, name in ((R.INDEX_SCOPES, "indexing"), (R.SNIPPET_SCOPES, "snippets")))
+            + " FROM rows r",
+        "robots_decisions": f"""WITH {fixture.values_sql("pages", "groups", "agents")}, {rule_sql.decisions("SELECT site_id, agent FROM fx_agents")}
+            SELECT site_id, agent, count(*) FILTER (WHERE allowed) AS open, count(*) FILTER (WHERE NOT allowed) AS closed FROM decided GROUP BY 1, 2""",
         "robots_matches": "SELECT * FROM (VALUES " + ", ".join(
             f"({i}, '{p}', {str(a).lower()}, '{t}', " + ("false" if not t else f"""regexp_matches('{p.replace("%2b", "%2B")}', '^' || replace(regexp_escape('{t.removesuffix("$")}'), '\\*', '.*') || '{"$" if t.endswith("$") else ""}')""") + ")"
             for i, (p, a, t) in enumerate(_ROBOTS)

@@ -54,7 +54,7 @@ def _site(name: str, **other) -> dict:
 
 def rows() -> dict[str, list[dict]]:
     """All tables. fern.test has few faults, moss.test many, reed.test is built in the browser, sedge.test refuses, ivy.test is empty."""
-    org = node("Organization", name="Fern Ltd", sameAs="https://x.com/fern | https://example.test/fern", logo="l.png")
+    org = node("Organization", name="Fern Ltd", sameAs="https://x.com/fern |  https://example.test/fern10", logo="l.png")
     fern = [
         page("fern.test", 0, "/", "home", nodes=[org]),
         page("fern.test", 1, "/about", "about"),

@@ -27,6 +27,86 @@ def addresses(hit: str) -> str:
     return f"coalesce(array_to_string(list(p.url ORDER BY p.page_seq) FILTER (WHERE {hit}), ' '), '')"
 
 
+def quoted(words: list[str]) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+def header_tokens(rows: str, key: str) -> str:
+    """A table tokens (key, i, scope, token) of the x_robots headers of ``rows``: a scope holds until the next one."""
+    return rf"""cut AS (SELECT {key}, generate_subscripts(string_split(x_robots, ','), 1) AS i, trim(unnest(string_split(x_robots, ','))) AS s FROM ({rows}) WHERE x_robots IS NOT NULL),
+named AS (SELECT *, lower(trim(split_part(s, ':', 1))) AS head, CASE WHEN contains(s, ':') THEN trim(s[strpos(s, ':') + 1:]) ELSE '' END AS rest FROM cut WHERE s <> ''),
+scoped AS (SELECT *, contains(s, ':') AND head NOT IN {quoted(R.COLON_DIRECTIVES)} AND rest <> '' AS is_scope FROM named),
+tokens AS (SELECT {key}, i, last_value(CASE WHEN is_scope THEN head END IGNORE NULLS) OVER (PARTITION BY {key} ORDER BY i ROWS UNBOUNDED PRECEDING) AS scope,
+  regexp_replace(lower(CASE WHEN is_scope THEN rest ELSE s END), '\s*:\s*', ':', 'g') AS token FROM scoped)"""
+
+
+def in_force(page: str, scopes: list[str]) -> str:
+    """The header tokens of a page without a scope or with one of ``scopes``."""
+    return f"coalesce((SELECT list(t.token) FROM tokens t WHERE t.site_id = {page}.site_id AND t.page_seq = {page}.page_seq AND (t.scope IS NULL OR t.scope IN {quoted(scopes)})), CAST([] AS VARCHAR[]))"
+
+
+TARGET = r"(coalesce(nullif(regexp_extract({0}, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/') || regexp_extract({0}, '^[^?#]*(\?[^#]*)', 1))"
+
+
+def decisions(asked: str) -> str:
+    """Tables asked (site_id, agent, named), rules and decided (site_id, agent, path, allowed) of the fixture's policies for agents."""
+    return rf"""lines AS (SELECT *, lower(regexp_extract(trim(user_agent), '^[A-Za-z0-9_-]+')) AS token FROM fx_groups),
+asked AS (SELECT DISTINCT a.site_id, a.agent, EXISTS (SELECT 1 FROM lines l WHERE l.site_id = a.site_id AND l.token = lower(a.agent)) AS named FROM ({asked}) a),
+own AS (SELECT a.site_id, a.agent, l.allow, l.disallow FROM asked a JOIN lines l ON l.site_id = a.site_id AND CASE WHEN a.named THEN l.token = lower(a.agent) ELSE trim(l.user_agent) = '*' END),
+rules AS (SELECT site_id, agent, true AS allow, unnest(allow) AS pattern FROM own UNION ALL SELECT site_id, agent, false, unnest(disallow) FROM own),
+paths AS (SELECT DISTINCT site_id, {TARGET.format("final_url")} AS path FROM fx_pages),
+held AS (SELECT o.site_id, o.agent, p.path, r.allow, length(r.pattern) AS n FROM (SELECT DISTINCT site_id, agent FROM own) o JOIN paths p ON p.site_id = o.site_id LEFT JOIN rules r ON r.site_id = o.site_id
+  AND r.agent = o.agent AND r.pattern <> '' AND regexp_matches(p.path, '^' || replace(regexp_escape(rtrim(r.pattern, '$')), '\*', '.*') || CASE WHEN ends_with(r.pattern, '$') THEN '$' ELSE '' END)),
+decided AS (SELECT site_id, agent, path, path = '/robots.txt' OR coalesce(arg_max(allow, n * 2 + allow::INT), true) AS allowed FROM held GROUP BY 1, 2, 3)"""
+
+
+def _excluded(rule_id: str, named: bool) -> str:
+    shut = f"SELECT site_id, agent FROM fx_agents WHERE agent IN {quoted(R.RETRIEVAL_AGENTS)} AND verdict = 'disallowed'"
+    one_kind = decisions(shut).replace("FROM asked a JOIN lines", f"FROM (SELECT * FROM asked WHERE named = {str(named).lower()}) a JOIN lines")
+    agg = f"""WITH {one_kind}, closed AS (SELECT DISTINCT site_id, path FROM decided WHERE NOT allowed),
+    hit AS (SELECT p.site_id, count(*) AS n, count(c.path) AS hit, {types("c.path IS NOT NULL")} AS types FROM fx_pages p LEFT JOIN closed c ON c.site_id = p.site_id AND c.path = {TARGET.format("p.final_url")} GROUP BY 1)
+    SELECT a.site_id, count(*) AS agents, any_value(h.n) AS n, any_value(h.hit) AS hit, any_value(h.types) AS types,
+      (SELECT bool_or(r.allow AND r.pattern NOT IN ('', '/')) FROM rules r WHERE r.site_id = a.site_id) AS content
+    FROM asked a LEFT JOIN hit h ON h.site_id = a.site_id WHERE a.named = {str(named).lower()} GROUP BY a.site_id"""
+    return rule_sql(rule_id, "pages groups agents", agg, fired="agents > 0", assessed="robots_ok AND robots_reason = 'ok'", passed="robots_reason IN ('absent_4xx', 'not_plausibly_robots')", breadth="CASE WHEN content THEN 'section' ELSE 'site' END", importance="'primary'", affected="coalesce(hit, 0)", examined="coalesce(n, 0)", types="types", urls="origin || '/robots.txt'")
+
+
+def _same_as() -> str:
+    social, platform = quoted(R.SOCIAL_HOSTS), quoted(R.PLATFORM_HANDLES)
+    absolute = r"regexp_matches(e, '^https?://\S+$', 'i')"
+    account = rf"list_filter(list_transform(list_filter(string_split(regexp_extract(e, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '')[1:3], lambda s: lower(regexp_replace(s, '^@+', ''))), lambda s: s IN {platform})[1]"
+    host = r"regexp_replace(lower(regexp_extract(e, '^[A-Za-z]+://([^/:?#]*)', 1)), '^(www\.)?(m\.)?(mobile\.)?', '')"
+    agg = f"""WITH x AS (SELECT p.site_id, p.page_seq, p.url, p.page_type, split_part(s.domain, '.', 1) AS own, unnest(p.nodes) AS x FROM fx_pages p JOIN fx_sites s ON s.site_id = p.site_id WHERE {OK}),
+    y AS (SELECT *, row_number() OVER () AS k, string_split(element_at(x.vals, 'sameAs')[1], ' | ') AS entries FROM x WHERE {ORG.format("x")} AND list_contains(x.fields, 'sameAs')),
+    z AS (SELECT site_id, page_seq, url, page_type, own, k, trim(unnest(entries)) AS e FROM y WHERE entries IS NOT NULL),
+    b AS (SELECT site_id, page_seq, url, page_type, k, NOT bool_or({absolute}) AS broken, bool_or({absolute}) AND bool_or({absolute} AND {host} IN {social} AND coalesce({account} <> own, false)) AS borrowed FROM z GROUP BY ALL),
+    p AS (SELECT site_id, page_seq, url, page_type, bool_or(broken) AS broken, bool_or(borrowed) AS borrowed FROM b GROUP BY ALL),
+    f AS (SELECT *, bool_or(broken) OVER (PARTITION BY site_id) AS any_broken FROM p)
+    SELECT p.site_id, count(*) FILTER (WHERE hits) AS hit, (SELECT count(*) FROM fx_pages q WHERE q.site_id = p.site_id AND {OK.replace("p.", "q.")}) AS n_ok, {types("hits")} AS types, {addresses("hits")} AS urls
+    FROM (SELECT *, CASE WHEN any_broken THEN broken ELSE borrowed END AS hits FROM f) p GROUP BY p.site_id"""
+    return rule_sql("IDM-002", "pages", agg, fired="hit > 0", assessed="hit IS NOT NULL", breadth="CASE WHEN list_contains(string_split(types, ','), 'home') OR hit * 2 >= n_ok THEN 'site' ELSE 'page' END", affected="hit", examined="n_ok", types="types", urls="urls")
+
+
+def _scripted() -> str:
+    """Pages whose text scripts build: of the whole site, else of sections by their first segment and what their hits share, else of page types."""
+    segments = f"list_filter(string_split({PATH.format('p.url')}, '/'), lambda s: s <> '')"
+    cols = lambda hits: f"count(*) FILTER (WHERE {hits}) AS hit, count(*) AS members, {types(hits)} AS types, bool_and(p.raw_len < 200) FILTER (WHERE {hits}) AS bare, {addresses(hits)} AS urls"
+    agg = f"""WITH c AS (SELECT p.*, {DEP} AS dep, lower(coalesce({segments}[1], '')) AS segment, list_transform({segments}[2:-2], lambda s: lower(s)) AS inn FROM fx_pages p WHERE {SEEN}),
+    t AS (SELECT site_id, {cols("p.dep")}, bool_or(p.dep AND p.page_type = 'home') AS home FROM c p GROUP BY 1),
+    w AS (SELECT *, hit >= 2 AND hit * 2 >= members AND (home OR contains(types, ',')) AS whole FROM t),
+    r AS (SELECT c.* FROM c JOIN w ON w.site_id = c.site_id AND NOT w.whole),
+    h AS (SELECT * FROM r WHERE dep AND segment <> ''),
+    k AS (SELECT site_id, segment, part, count(*) AS k FROM (SELECT site_id, segment, unnest(list_distinct(inn)) AS part FROM h) GROUP BY ALL),
+    shared AS (SELECT g.site_id, g.segment, coalesce(list(k.part) FILTER (WHERE k.k = g.n), CAST([] AS VARCHAR[])) AS parts FROM (SELECT site_id, segment, count(*) AS n FROM h GROUP BY ALL) g LEFT JOIN k ON k.site_id = g.site_id AND k.segment = g.segment GROUP BY 1, 2),
+    sec AS (SELECT p.site_id, p.segment, {cols("p.dep")} FROM r p JOIN shared s ON s.site_id = p.site_id AND s.segment = p.segment WHERE list_has_all(p.inn, s.parts) GROUP BY 1, 2 HAVING hit >= 2 AND hit * 2 >= members),
+    cov AS (SELECT DISTINCT site_id, unnest(string_split(urls, ' ')) AS url FROM sec),
+    l AS (SELECT r.* EXCLUDE (dep), r.dep AND v.url IS NULL AS dep FROM r LEFT JOIN cov v ON v.site_id = r.site_id AND v.url = r.url WHERE r.page_type IN {PRIMARY}),
+    kind AS (SELECT p.site_id, p.page_type, {cols("p.dep")} FROM l p GROUP BY 1, 2 HAVING hit >= 1 AND (p.page_type = 'home' OR (hit >= 2 AND hit * 2 >= members))),
+    g AS (SELECT site_id, 'site' AS breadth, hit, members, types, bare, urls FROM w WHERE whole UNION ALL SELECT site_id, 'section', hit, members, types, bare, urls FROM sec UNION ALL SELECT site_id, 'section', hit, members, types, bare, urls FROM kind)
+    SELECT w.site_id, w.members AS n, g.breadth, g.hit, g.members, g.types, g.bare, g.urls FROM w LEFT JOIN g ON g.site_id = w.site_id"""
+    return rule_sql("RND-001", "pages", agg, fired="hit IS NOT NULL", assessed="js_render AND coalesce(n, 0) >= 2", confidence="CASE WHEN bare THEN 'high' ELSE 'medium' END", breadth="breadth", importance=f"CASE WHEN list_has_any(string_split(types, ','), {list(R.PRIMARY_TYPES)}) THEN 'primary' ELSE 'secondary' END", affected="hit", examined="members", types="types", urls="urls")
+
+
 def any_node(condition: str) -> str:
     return f"len(list_filter(p.nodes, lambda x: coalesce({condition}, false))) > 0"
 
@@ -57,7 +137,7 @@ def _templates(rule_id: str, eligible: str, hit: str, sure: str, unsure: str) ->
   string_agg(url, ' ' ORDER BY page_seq) FILTER (WHERE eligible AND hits) AS urls, any_value(n_ok2) AS n_ok2
   FROM (SELECT *, count(*) OVER (PARTITION BY site_id) AS n_ok2 FROM flagged) WHERE primary_type GROUP BY 1, 2
   HAVING hit > 0 AND (kind = 'home' OR (hit >= 2 AND hit * 2 >= members))"""
-    body = f"WITH flagged AS ({with_flags}), fired AS ({fired}) {agg}"
+    body = f"WITH {header_tokens('SELECT site_id, page_seq, x_robots FROM fx_pages', 'site_id, page_seq')}, flagged AS ({with_flags}), fired AS ({fired}) {agg}"
     return rule_sql(rule_id, "pages", body, fired="types IS NOT NULL", assessed="coalesce(n_primary, 0) > 0", confidence=f"CASE WHEN hit >= 3 OR types = 'home' THEN '{sure}' ELSE '{unsure}' END", breadth="CASE WHEN contains(types, ',') THEN 'site' ELSE 'section' END", importance="'primary'", affected="hit", examined="members", types="types", urls="urls")
 
 
@@ -72,14 +152,13 @@ def _articles(rule_id: str, gate: str, hit: str) -> str:
 
 def oracle() -> dict[str, str]:
     """SQL by rule id."""
-    out = {}
+    out = {"ACC-001": _excluded("ACC-001", False), "ACC-008": _excluded("ACC-008", True), "IDM-002": _same_as(), "RND-001": _scripted()}
     out["ACC-002"] = rule_sql("ACC-002", "pages", _pages(f"count(*) AS n, {types('true')} AS types"), fired="robots_reason IN ('server_error', 'rate_limited')", assessed="robots_fetched AND robots_status IS NOT NULL", confidence="'low'", importance="'primary'", affected="coalesce(n, 0)", examined="coalesce(n, 0)", types="types", urls="origin || '/robots.txt'")
     meta = "list_transform(p.meta_robots, lambda x: replace(lower(trim(x)), ' ', ''))"
-    # the only header of the fixture scopes noindex and max-snippet to googlebot, after a scope that counts for nobody
-    header = "CASE WHEN p.x_robots IS NULL THEN CAST([] AS VARCHAR[]) ELSE ['noindex', 'max-snippet:0'] END"
-    noindex = f"list_has_any(list_concat({meta}, {header}), ['noindex', 'none'])"
+    noindex = f"list_has_any(list_concat({meta}, {in_force('p', R.INDEX_SCOPES)}), ['noindex', 'none'])"
+    nosnippet = f"list_has_any(list_concat({meta}, {in_force('p', R.SNIPPET_SCOPES)}), ['nosnippet', 'max-snippet:0'])"
     out["ACC-003"] = _templates("ACC-003", "p.canonical IS NULL OR coalesce(p.canonical_self, false)", noindex, "high", "medium")
-    out["ACC-004"] = _templates("ACC-004", f"NOT {noindex}", f"list_has_any(list_concat({meta}, {header}), ['nosnippet', 'max-snippet:0'])", "medium", "low")
+    out["ACC-004"] = _templates("ACC-004", f"NOT {noindex}", nosnippet, "medium", "low")
     aliases = "('/', '/index.html', '/index.php', '/home', '/default.aspx')"
     declaring = f"(p.canonical IS NOT NULL AND {PATH.format('p.final_url')} NOT IN {aliases})"
     folded = f"({declaring} AND NOT coalesce(p.canonical_self, false) AND ({HOST.format('p.canonical')} = s.domain OR ends_with({HOST.format('p.canonical')}, '.' || s.domain)) AND {PATH.format('p.canonical')} = '/')"
@@ -99,8 +178,9 @@ def oracle() -> dict[str, str]:
       WHERE b.agent IN ('GPTBot', 'ClaudeBot', 'PerplexityBot', 'OAI-SearchBot', 'CCBot') GROUP BY 1, 2),
     r AS (SELECT DISTINCT b.site_id, b.url, c.google FROM fx_probe b JOIN a ON a.site_id = b.site_id AND a.agent = b.agent AND a.refused JOIN c ON c.site_id = b.site_id AND c.url = b.url)
     SELECT c.site_id, count(DISTINCT c.url) AS n, count(DISTINCT r.url) AS hit, bool_and(coalesce(r.google IN {refused}, false)) FILTER (WHERE r.url IS NOT NULL) AS edge,
-      string_agg(DISTINCT r.url, ' ' ORDER BY r.url) AS urls FROM c LEFT JOIN r ON r.site_id = c.site_id GROUP BY c.site_id"""
-    out["ACC-006"] = rule_sql("ACC-006", "probe", agg, fired="hit > 0", assessed="coalesce(n, 0) > 0 AND NOT coalesce(edge, false)", confidence="'low'", breadth="CASE WHEN contains(urls, origin || '/') AND list_contains(string_split(urls, ' '), origin || '/') THEN 'site' ELSE 'section' END", importance="'primary'", affected="hit", examined="n", urls="urls")
+      string_agg(DISTINCT r.url, ' ' ORDER BY r.url) AS urls,
+      (SELECT string_agg(DISTINCT p.page_type, ',' ORDER BY p.page_type) FROM fx_pages p JOIN r t ON t.site_id = p.site_id AND t.url IN (p.url, p.final_url) WHERE p.site_id = c.site_id) AS types FROM c LEFT JOIN r ON r.site_id = c.site_id GROUP BY c.site_id"""
+    out["ACC-006"] = rule_sql("ACC-006", "probe pages", agg, fired="hit > 0", assessed="coalesce(n, 0) > 0 AND NOT coalesce(edge, false)", confidence="'low'", breadth="CASE WHEN contains(urls, origin || '/') AND list_contains(string_split(urls, ' '), origin || '/') THEN 'site' ELSE 'section' END", importance="'primary'", affected="hit", examined="n", types="types", urls="urls")
     page_html = f"({OK} AND {HTML})"
     cols = f"count(*) FILTER (WHERE {SEEN}) AS seen, count(*) FILTER (WHERE {page_html}) AS n, bool_or({page_html} AND p.page_type = 'home') AS home, bool_and(p.raw_len + p.hidden_len < 200) FILTER (WHERE {page_html}) AS thin, bool_and(coalesce(p.raw_hash = s.soft404_hash, false)) FILTER (WHERE {page_html}) AS shell, {types(page_html)} AS types, {addresses(page_html)} AS urls"
     out["RND-002"] = rule_sql("RND-002", "pages", _pages(cols), fired="thin", assessed="coalesce(seen, 0) = 0 AND coalesce(home, false)", confidence="CASE WHEN shell THEN 'high' ELSE 'medium' END", importance="'primary'", affected="n", examined="n", types="types", urls="urls")

@@ -146,7 +146,7 @@ def platform_account(entry: Column) -> Column:
 def directives(scopes: list[str]) -> Column:
     """Robots directives in force on a page: the meta tag's, and the header's without a scope or with one of ``scopes``."""
     meta = F.transform(F.coalesce("meta_robots", F.array().cast("array<string>")), lambda t: F.replace(F.lower(F.trim(t)), F.lit(" "), F.lit("")))
-    parts = F.filter(F.transform(F.split(F.coalesce("x_robots", F.lit("")), ","), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(F.coalesce("x_robots", F.lit("")), ","), lambda s: F.trim(s)), lambda s: s != "")
 
     def step(acc: Column, s: Column) -> Column:
         head = F.lower(F.trim(F.substring_index(s, ":", 1)))
@@ -389,7 +389,11 @@ def acc_006(ev: Evidence) -> DataFrame:
         .where("refused")
     )
     refused = refusing.groupBy("site_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"), F.array_sort(F.collect_set("agent")).alias("agents"))
-    rows = by_site(ev, comparable.groupBy("site_id").agg(F.count(F.lit(1)).alias("total"))).join(refused, "site_id", "left")
+    # pages are found by the address asked for or by the one that answered
+    named = [ev.pages.select("site_id", F.col(c).alias("url"), "page_type") for c in ("url", "final_url")]
+    touched = refusing.select("site_id", F.explode("at.url").alias("url")).distinct().join(named[0].union(named[1]), ["site_id", "url"])
+    types = touched.groupBy("site_id").agg(types_of(F.lit(True)).alias("types"))
+    rows = by_site(ev, comparable.groupBy("site_id").agg(F.count(F.lit(1)).alias("total"))).join(refused, "site_id", "left").join(types, "site_id", "left")
     addresses = F.transform("at", lambda x: x["url"])
     edge_defence = F.forall("at", lambda x: F.coalesce(x["google"].isin(REFUSALS), F.lit(False)))
     home = F.concat(F.regexp_replace("origin", "/+$", ""), F.lit("/"))
@@ -403,6 +407,7 @@ def acc_006(ev: Evidence) -> DataFrame:
         importance="primary",
         affected=F.size("at"),
         examined=F.col("total"),
+        types=F.coalesce("types", F.array().cast("array<string>")),
         refs=addresses,
         detail=F.concat(F.lit("refused: "), F.array_join("agents", ", ")),
     )
@@ -595,7 +600,7 @@ def idm_001(ev: Evidence) -> DataFrame:
 def idm_002(ev: Evidence) -> DataFrame:
     ok = ev.pages.where(is_2xx(F.col("status")))
     nodes = ok.select("site_id", "page_seq", "url", "page_type", F.explode("nodes").alias("x")).where(F.col("x.type").isin(ORG_TYPES) & F.array_contains("x.fields", "sameAs"))
-    entries = F.transform(F.split(F.try_element_at("x.vals", F.lit("sameAs")), r" \| "), F.trim)
+    entries = F.transform(F.split(F.try_element_at("x.vals", F.lit("sameAs")), r" \| "), lambda s: F.trim(s))
     own = F.split("domain", r"\.")[0]
     nodes = nodes.withColumn("entries", entries).where("entries is not null").join(ev.sites.select("site_id", own.alias("own")), "site_id")
     broken = ~F.exists("entries", lambda e: e.rlike(ABSOLUTE_URL))
