@@ -74,9 +74,12 @@ def aliases(pages: DataFrame) -> DataFrame:
 
     ``pages`` has site_id, page_seq, url, status, canonical and raw_hash.
     """
-    ok = pages.where("status between 200 and 299").select("site_id", "page_seq", "url", "canonical", "raw_hash")
-    names = ok.select("site_id", "raw_hash", "page_seq", "url", F.explode(F.array_distinct(F.filter(F.array("url", "canonical"), lambda x: x.isNotNull()))).alias("name"), "canonical")
-    # a link exists where the canonical of one is a name of the other
-    later = names.select("site_id", "raw_hash", F.col("page_seq").alias("k"), F.col("url").alias("u"), F.col("canonical").alias("c"), "name")
-    pairs = names.join(later, ["site_id", "raw_hash", "name"]).where((F.col("page_seq") < F.col("k")) & (F.col("canonical").eqNullSafe(F.col("name")) | F.col("c").eqNullSafe(F.col("name"))))
-    return pairs.groupBy("site_id", F.col("u").alias("url")).agg(F.min_by("url", "page_seq").alias("alias_of"))
+    ok = pages.where("status between 200 and 299 and raw_hash is not null").select("site_id", "raw_hash", "page_seq", "url", "canonical")
+    names = ok.select("*", F.explode(F.array_distinct(F.filter(F.array("url", "canonical"), lambda x: x.isNotNull()))).alias("name"))
+    page = F.struct("page_seq", "url")
+    points, lives = F.coalesce(F.col("canonical") == F.col("name"), F.lit(False)), F.col("url") == F.col("name")
+    # a link needs the canonical of one page: of all pages with a name only the first that points to it and the first that lives there count
+    first = names.groupBy("site_id", "raw_hash", "name").agg(F.min(F.when(points, page)).alias("pointing"), F.min(F.when(lives, page)).alias("living"))
+    earliest = F.when(points, F.least("pointing", "living")).otherwise(F.col("pointing"))
+    met = names.join(first, ["site_id", "raw_hash", "name"]).select("site_id", "page_seq", "url", earliest.alias("e")).where("e.page_seq < page_seq")
+    return met.groupBy("site_id", "url").agg(F.min("e").alias("e")).select("site_id", "url", F.col("e.url").alias("alias_of"))

@@ -209,6 +209,50 @@ def robots_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("applies", robots.matches(F.col("path"), F.col("pattern")))
 
 
+_TWINS = [
+    ("s", 0, "/", 200, None, "h"), ("s", 1, "/a", 200, "/", "h"), ("s", 2, "/b", 200, "/", "h"), ("s", 3, "/c", 200, "/", "other"), ("s", 4, "/d", 200, "/e", "h"), ("s", 5, "/e", 200, None, "h"), ("s", 6, "/f", 200, None, "h"),
+    ("s", 7, "/g", 404, "/", "h"), ("s", 8, "/i", 200, "/i", "h"), ("s", 9, "/j", 200, "/e", "h"), ("t", 0, "/a", 200, "/", "h"), ("t", 1, "/", 200, "/", "h"), ("t", 2, "/k", 200, "/", None), ("t", 3, "/l", 200, "/m", "x"), ("t", 4, "/m", 200, "/l", "x"),
+]
+
+
+def page_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that repeat an earlier one."""
+    return graph.aliases(spark.createDataFrame(_TWINS, "site_id string, page_seq int, url string, status int, canonical string, raw_hash string"))
+
+
+_STATEMENTS = [
+    ("Fern Ltd was founded in  1990.", "founded_year", "1990"), ("Fern, established 1990", "founded_year", "1991"), ("1990 was founded", "founded_year", "1990"), ("est. 1,990 of 1990", "founded_year", "1990"), ("The FERN  ltd.", "legal_name", "fern ltd"),
+    ("fernltd", "legal_name", "fern ltd"), ("", "legal_name", "x"), ("text", "legal_name", ""), (None, "legal_name", "x"), ("a.b(c", "tagline", "a.b(c"), ("aXb(c", "tagline", "a.b(c"),
+]
+
+
+def claim_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether texts state claims."""
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(_STATEMENTS)], "case_id int, text string, kind string, value string")
+    return rows.select("case_id", claims.asserts(F.col("text"), F.col("kind"), F.col("value")).alias("asserted"))
+
+
+_SOURCES = ["wikidata.org", "en.wikipedia.org", "notwikipedia.org", "x.com", "amazon.in", "dailynews.test", "news", "fern.test", "old.reddit.com", "web.archive.org", "timescale.test", "yelp.com"]
+
+
+def source_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What kind of source a domain is."""
+    rows = spark.createDataFrame([(d,) for d in _SOURCES], "domain string")
+    return rows.withColumn("origin_type", claims.origin_type(F.col("domain")))
+
+
+_DECLARED = [
+    ("home", 0.95, ["Product"]), ("other", 0.3, ["Product"]), ("product", 0.6, ["ItemList", "Product"]), ("product", 0.6, ["ItemList"]), ("article", 0.6, ["FAQPage", "NewsArticle"]), ("other", 0.3, ["Thing"]), ("doc", 0.6, []), ("doc", 0.6, None),
+    ("category", 0.6, ["CollectionPage", "AboutPage"]), ("other", 0.3, ["Report", "ProductGroup"]),
+]
+
+
+def declared_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page types after the types that pages declare."""
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(_DECLARED)], "case_id int, kind string, sure double, declared array<string>")
+    return rows.select("case_id", urls.refined_type(F.col("kind"), F.col("sure"), F.col("declared")).alias("t")).select("case_id", "t.page_type", "t.confidence")
+
+
 _HEADERS = [
     "noindex", "otherbot: noindex", "googlebot: noindex, nosnippet", "otherbot: noindex, nofollow, googlebot: none", "max-snippet: 0", "unavailable_after: 25 Jun 2030 15:00:00 PST, NoSnippet", "googlebot: max-snippet : 0, otherbot: nosnippet",
     "oai-searchbot: NOINDEX, max-image-preview: large", "googlebot:, noindex", " , ,nosnippet", "", "a: b: c, googlebot: x: y", "googlebot : noindex", None,
@@ -233,7 +277,7 @@ def robots_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TABLE = (
     page_strata, page_addresses, page_duplicates, page_headings, page_measurements, page_languages, page_links, page_sample, user_error_share, user_error_rollup, user_value_median,
     user_type_pivot, user_top_events, document_copies, document_strata, document_round_robin, severity_table, report_findings, reports_markdown, report_summary, claims_promoted,
-    claim_candidates, site_orphans, site_depths, robots_matches, header_directives, robots_decisions,
+    claim_candidates, site_orphans, site_depths, page_aliases, claim_assertions, source_types, declared_types, robots_matches, header_directives, robots_decisions,
 )
 
 
@@ -284,6 +328,12 @@ SELECT blocking, breadth, importance, confidence, effort, status, severity,
     WHEN r = 3 THEN 'P2' ELSE 'P3' END AS priority, status = 'risk' AND r = 1 AS impossible FROM t"""
 
 
+def _rows(values) -> str:
+    """Tuples as the rows of VALUES."""
+    literal = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in values)
+
+
 @functools.cache
 def oracle_sql() -> dict[str, str]:
     out = {
@@ -321,6 +371,22 @@ def oracle_sql() -> dict[str, str]:
         "site_depths": f"""WITH RECURSIVE {fixture.values_sql("pages", "edges")}, walk(site_id, url, depth) AS (SELECT site_id, url, 0 FROM fx_pages WHERE page_seq = 0
             UNION SELECT e.site_id, e.dst, depth + 1 FROM walk w JOIN fx_edges e ON e.site_id = w.site_id AND e.src = w.url JOIN fx_pages p ON p.site_id = e.site_id AND p.url = e.dst WHERE depth < 20)
             SELECT site_id, url, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY 1, 2""",
+        "page_aliases": f"""WITH p AS (SELECT * FROM (VALUES {_rows(_TWINS)}) AS t(site_id, page_seq, url, status, canonical, raw_hash) WHERE status BETWEEN 200 AND 299)
+            SELECT b.site_id, b.url, arg_min(a.url, a.page_seq) AS alias_of FROM p a JOIN p b ON a.site_id = b.site_id AND a.raw_hash = b.raw_hash AND a.page_seq < b.page_seq
+              AND (a.canonical IN (b.url, b.canonical) OR b.canonical IN (a.url, a.canonical)) GROUP BY 1, 2""",
+        "claim_assertions": rf"""WITH t AS (SELECT case_id, kind, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS body, lower(value) AS wanted FROM (VALUES {_rows((i, *r) for i, r in enumerate(_STATEMENTS))}) AS t(case_id, text, kind, value))
+            SELECT CAST(case_id AS INTEGER) AS case_id, coalesce(wanted <> '' AND body <> '' AND CASE WHEN kind = 'founded_year' THEN regexp_matches(body, '{claims.FOUNDING}\D{{0,40}}' || regexp_escape(wanted)) ELSE contains(body, wanted) END, false) AS asserted FROM t""",
+        "source_types": f"""SELECT domain, coalesce((SELECT k.kind FROM (VALUES {_rows((d, n) for n, ds in claims.SOURCE_TYPES.items() for d in ds.split())}) AS k(known, kind) WHERE domain = known OR ends_with(domain, '.' || known)),
+            CASE WHEN contains(domain, '.') AND regexp_matches(domain, '{"|".join(claims.PRESS_WORDS)}') THEN 'news' ELSE 'directory' END) AS origin_type FROM (VALUES {_rows((d,) for d in _SOURCES)}) AS s(domain)""",
+        "declared_types": f"""WITH c AS (SELECT CAST(case_id AS INTEGER) AS case_id, kind, CAST(sure AS DOUBLE) AS sure FROM (VALUES {_rows((i, *r[:2]) for i, r in enumerate(_DECLARED))}) AS c(case_id, kind, sure)),
+            d AS (SELECT case_id, k, mapped FROM (VALUES {_rows((i, k, t) for i, r in enumerate(_DECLARED) for k, t in enumerate(r[2] or []))}) AS d(case_id, k, name) JOIN (VALUES {_rows(urls.DECLARED_TYPES.items())}) AS m(name, mapped) USING (name)),
+            s AS (SELECT case_id, arg_min(mapped, CASE WHEN mapped IN ('product', 'article') THEN k ELSE k + 1000 END) AS chosen FROM d GROUP BY case_id)
+            SELECT c.case_id, CASE WHEN kind = 'home' OR chosen IS NULL THEN kind ELSE chosen END AS page_type,
+              CASE WHEN kind = 'home' OR chosen IS NULL THEN sure WHEN chosen = kind THEN 0.9::DOUBLE WHEN kind = 'other' THEN 0.8::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM c LEFT JOIN s USING (case_id)""",
+        "report_findings": f"SELECT site_id, id, rule_id, severity, priority, status, confidence, breadth, pages_affected, pages_examined, page_types, conditional_on FROM ({rule_sql.findings()})",
+        "report_summary": f"""WITH {fixture.values_sql("sites")}, f AS ({rule_sql.findings()}) SELECT s.site_id, count(*) FILTER (WHERE status <> 'proactive') AS total_findings,
+            {", ".join(f"count(*) FILTER (WHERE status <> 'proactive' AND severity = '{v}') AS {v}" for v in compose.SEVERITIES)}, count(*) FILTER (WHERE status = 'proactive') AS proactive
+            FROM fx_sites s LEFT JOIN f ON f.site_id = s.site_id GROUP BY s.site_id""",
         "header_directives": f"""WITH rows AS (SELECT * FROM (VALUES {", ".join(f"({i}, {'NULL' if h is None else repr(h)})" for i, h in enumerate(_HEADERS))}) AS t(case_id, x_robots)),
             {rule_sql.header_tokens("SELECT * FROM rows", "case_id")} SELECT CAST(r.case_id AS INTEGER) AS case_id, """
             + ", ".join(f"coalesce((SELECT string_agg(DISTINCT token, ',' ORDER BY token) FROM tokens t WHERE t.case_id = r.case_id AND (scope IS NULL OR scope IN {_WORDS(scopes)})), '') AS {name}" for scopes, name in ((R.INDEX_SCOPES, "indexing"), (R.SNIPPET_SCOPES, "snippets")))

@@ -226,3 +226,28 @@ def oracle() -> dict[str, str]:
     out["PRO-003"] = rule_sql("PRO-003", "pages claims", _pages(cols, OK), fired="NOT declares", assessed="url IS NOT NULL", confidence="CASE WHEN EXISTS (SELECT 1 FROM fx_claims c WHERE c.site_id = o.site_id AND kind = 'legal_name' AND ambiguity = 'high') THEN 'high' ELSE 'medium' END", affected="1", examined="n", types="kind", urls="url")
     out["PRO-004"] = _articles("PRO-004", "p.n_dates > 0", UNDATED)
     return out
+
+
+def findings() -> str:
+    """All findings of the fixture from the SQL of its rules: derived, one of each kind, arbitrated and in report order."""
+    from weftscan.plans import compose as K
+
+    rank = lambda c, order: f"list_position({list(order)}, {c})"
+    facts = ", ".join(f"({i}, '{r.rule_id}', '{r.skill}', '{r.category}', '{r.status}', {str(r.blocking).lower()}, '{r.effort}')" for i, r in enumerate(R.CATALOGUE.values()))
+    outcomes = " UNION ALL ".join(f"SELECT * FROM ({sql})" for sql in oracle().values())
+    absence, content = f"rule_id IN {quoted(sorted(K.ABSENCE_RULES))}", f"(skill IN {quoted(sorted(K.CONTENT_SKILLS))} AND category = 'discoverability')"
+    return f"""WITH facts AS (SELECT * FROM (VALUES {facts}) AS t(rule_seq, rule_id, skill, category, status, blocking, effort)),
+outcomes AS ({outcomes}),
+d AS (SELECT o.*, f.* EXCLUDE (rule_id), greatest(CASE WHEN blocking AND breadth = 'site' AND importance = 'primary' THEN 1 WHEN blocking AND breadth <> 'page' THEN 2
+    WHEN NOT blocking AND breadth = 'site' AND importance = 'primary' THEN 2 WHEN breadth <> 'page' THEN 3 ELSE 4 END,
+    CASE confidence WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, CASE status WHEN 'proactive' THEN 3 ELSE 1 END) AS r FROM outcomes o JOIN facts f ON f.rule_id = o.rule_id WHERE outcome = 'finding'),
+e AS (SELECT *, ['critical', 'high', 'medium', 'low'][r] AS severity, CASE WHEN status = 'proactive' THEN CASE effort WHEN 'high' THEN 'P3' ELSE 'P2' END WHEN r = 1 THEN 'P0'
+    WHEN r = 2 THEN CASE effort WHEN 'high' THEN 'P2' ELSE 'P1' END WHEN r = 3 THEN 'P2' ELSE 'P3' END AS priority FROM d WHERE NOT (status = 'risk' AND r = 1)),
+one AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY site_id, rule_id, page_types, list_sort(string_split(urls, ' ')) ORDER BY rule_seq, pages_affected DESC, breadth) = 1),
+up AS (SELECT site_id, list_sort(list(DISTINCT rule_id) FILTER (WHERE rule_id = 'RND-002' OR (rule_id = 'RND-001' AND breadth = 'site'))) AS empty,
+    string_agg(page_types, ',') FILTER (WHERE rule_id = 'RND-001' AND breadth <> 'site' AND page_types <> '') AS js_types, bool_or(rule_id = 'ACC-003' AND breadth = 'site') AS hidden FROM one GROUP BY site_id),
+c AS (SELECT one.*, list_concat(CASE WHEN {absence} THEN coalesce(empty, []) ELSE [] END,
+    CASE WHEN {absence} AND page_types <> '' AND list_has_any(string_split(page_types, ','), string_split(js_types, ',')) THEN ['RND-001'] ELSE [] END, CASE WHEN {content} AND hidden THEN ['ACC-003'] ELSE [] END) AS needs
+  FROM one JOIN up ON up.site_id = one.site_id)
+SELECT *, array_to_string(needs, ',') AS conditional_on, 'F-' || lpad(CAST(row_number() OVER (PARTITION BY site_id ORDER BY {rank("priority", K.PRIORITIES)}, status = 'proactive', len(needs) > 0,
+  {rank("severity", K.SEVERITIES)}, {rank("effort", K.EFFORTS)}, rule_seq, page_types, urls) AS VARCHAR), 3, '0') AS id FROM c"""
