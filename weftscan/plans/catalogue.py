@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftscan.functions import html, robots, urls
-from weftscan.operators import graph, sampling, shapes
+from weftscan.operators import crawl, graph, sampling, shapes
 from weftscan.plans import claims, compose, fixture, rule_sql
 from weftscan.plans import rules as R
 
@@ -253,6 +253,32 @@ def declared_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("case_id", urls.refined_type(F.col("kind"), F.col("sure"), F.col("declared")).alias("t")).select("case_id", "t.page_type", "t.confidence")
 
 
+_FRONTIER = [
+    ("fern.test", "/", "nav", True), ("fern.test", "/", "sitemap", True), ("fern.test", "/private/1", "nav", False), ("fern.test", "/x", "nav", None), ("moss.test", "/a", "linkgraph", True), ("moss.test", "/b", "sitemap", False),
+    ("cove.test", "/c", "seed", True),
+]
+
+
+def crawl_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was found, fetched, closed and failed on the fixture's sites."""
+    ev = fixture.evidence(spark)
+    frontier = spark.createDataFrame(_FRONTIER, "site_id string, url string, source string, allowed boolean")
+    return crawl.counters(ev.sites, frontier, ev.pages, ev.pages.where("status >= 400"))
+
+
+def shell_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites of the fixture that show only one shell."""
+    ev = fixture.evidence(spark)
+    return crawl.shell_sites(ev.sites, ev.pages)
+
+
+def probe_fetched_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When the fixture's probed addresses were fetched."""
+    ev = fixture.evidence(spark)
+    pages = ev.pages.withColumn("fetched_at", F.format_string("page %d", "page_seq"))
+    return crawl.fetched_at(ev.probe.select("site_id", "url").distinct(), pages, ev.sites)
+
+
 _HEADERS = [
     "noindex", "otherbot: noindex", "googlebot: noindex, nosnippet", "otherbot: noindex, nofollow, googlebot: none", "max-snippet: 0", "unavailable_after: 25 Jun 2030 15:00:00 PST, NoSnippet", "googlebot: max-snippet : 0, otherbot: nosnippet",
     "oai-searchbot: NOINDEX, max-image-preview: large", "googlebot:, noindex", " , ,nosnippet", "", "a: b: c, googlebot: x: y", "googlebot : noindex", None,
@@ -277,7 +303,7 @@ def robots_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TABLE = (
     page_strata, page_addresses, page_duplicates, page_headings, page_measurements, page_languages, page_links, page_sample, user_error_share, user_error_rollup, user_value_median,
     user_type_pivot, user_top_events, document_copies, document_strata, document_round_robin, severity_table, report_findings, reports_markdown, report_summary, claims_promoted,
-    claim_candidates, site_orphans, site_depths, page_aliases, claim_assertions, source_types, declared_types, robots_matches, header_directives, robots_decisions,
+    claim_candidates, site_orphans, site_depths, page_aliases, crawl_counters, shell_sites, probe_fetched_at, claim_assertions, source_types, declared_types, robots_matches, header_directives, robots_decisions,
 )
 
 
@@ -374,6 +400,15 @@ def oracle_sql() -> dict[str, str]:
         "page_aliases": f"""WITH p AS (SELECT * FROM (VALUES {_rows(_TWINS)}) AS t(site_id, page_seq, url, status, canonical, raw_hash) WHERE status BETWEEN 200 AND 299)
             SELECT b.site_id, b.url, arg_min(a.url, a.page_seq) AS alias_of FROM p a JOIN p b ON a.site_id = b.site_id AND a.raw_hash = b.raw_hash AND a.page_seq < b.page_seq
               AND (a.canonical IN (b.url, b.canonical) OR b.canonical IN (a.url, a.canonical)) GROUP BY 1, 2""",
+        "crawl_counters": f"""WITH {fixture.values_sql("sites", "pages")}, f AS (SELECT * FROM (VALUES {_rows(_FRONTIER)}) AS f(site_id, url, source, allowed))
+            SELECT s.site_id, (SELECT count(DISTINCT url) FROM f WHERE f.site_id = s.site_id) AS discovered, (SELECT count(*) FROM fx_pages p WHERE p.site_id = s.site_id) AS fetched,
+              (SELECT count(DISTINCT url) FROM f WHERE f.site_id = s.site_id AND NOT allowed) AS blocked_by_robots, (SELECT count(*) FROM fx_pages p WHERE p.site_id = s.site_id AND status >= 400) AS errors,
+              'stratified:' || coalesce((SELECT string_agg(w, '+' ORDER BY k) FROM (VALUES (1, 'sitemap'), (2, 'nav'), (3, 'linkgraph')) AS o(k, w) WHERE EXISTS (SELECT 1 FROM f WHERE f.site_id = s.site_id AND f.source = w)), 'none') AS strategy
+            FROM fx_sites s""",
+        "shell_sites": f"""WITH {fixture.values_sql("sites", "pages")} SELECT s.site_id, 'page-content' AS what, 'all ' || count(*) || ' pages repeat the answer to a path that cannot exist, and none was rendered' AS reason
+            FROM fx_sites s JOIN fx_pages p ON p.site_id = s.site_id WHERE p.status BETWEEN 200 AND 299 AND s.soft404_hash IS NOT NULL AND NOT s.js_render GROUP BY s.site_id HAVING count(*) FILTER (WHERE p.raw_hash IS DISTINCT FROM s.soft404_hash) = 0""",
+        "probe_fetched_at": f"""WITH {fixture.values_sql("sites", "pages", "probe")} SELECT DISTINCT b.site_id, b.url, coalesce((SELECT 'page ' || min(p.page_seq) FROM fx_pages p WHERE p.site_id = b.site_id AND b.url IN (p.url, p.final_url)), s.started_at) AS fetched_at
+            FROM fx_probe b JOIN fx_sites s ON s.site_id = b.site_id""",
         "claim_assertions": rf"""WITH t AS (SELECT case_id, kind, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS body, lower(value) AS wanted FROM (VALUES {_rows((i, *r) for i, r in enumerate(_STATEMENTS))}) AS t(case_id, text, kind, value))
             SELECT CAST(case_id AS INTEGER) AS case_id, coalesce(wanted <> '' AND body <> '' AND CASE WHEN kind = 'founded_year' THEN regexp_matches(body, '{claims.FOUNDING}\D{{0,40}}' || regexp_escape(wanted)) ELSE contains(body, wanted) END, false) AS asserted FROM t""",
         "source_types": f"""SELECT domain, coalesce((SELECT k.kind FROM (VALUES {_rows((d, n) for n, ds in claims.SOURCE_TYPES.items() for d in ds.split())}) AS k(known, kind) WHERE domain = known OR ends_with(domain, '.' || known)),

@@ -69,9 +69,9 @@ class Evidence:
             getattr(self, f.name).createOrReplaceTempView(prefix + f.name)
 
 
-def read_bundles(spark: SparkSession, path: str, text_dir: str | None = None) -> DataFrame:
-    """Bundles below ``path`` with a site_id (the resolved origin, else the input)."""
-    raw = spark.read.schema(BUNDLE).option("multiLine", True).json(path)
+def read_bundles(spark: SparkSession, path: str, text_dir: str | None = None, lines: bool = False) -> DataFrame:
+    """Bundles below ``path`` with a site_id (the resolved origin, else the input), one a file or one a line."""
+    raw = spark.read.schema(BUNDLE).option("multiLine", not lines).json(path)
     return raw.withColumn("site_id", F.coalesce("site.resolved_origin", "site.input"))
 
 
