@@ -154,12 +154,13 @@ def origin_type(domain: Column) -> Column:
 def external_hits(claims: DataFrame, documents: DataFrame, cap: int = 60) -> DataFrame:
     """Landed third-party ``documents`` (site_id, origin, url, text) against ``claims``: what each says, at most ``cap`` a site.
 
-    A join on site_id; documents of a site are few by the way they are landed.
+    truncated says that the site has more. A join on site_id; documents of a site are few by the way they are landed.
     """
     joined = claims.join(documents, "site_id")
     said = F.substring(one_line(window_around(F.col("text"), F.col("value"))), 1, 400)
     hits = joined.select("site_id", F.col("id").alias("claim_id"), "origin", "url", said.alias("asserted"), asserts(F.col("text"), F.col("kind"), F.col("value")).alias("matches")).where("asserted <> ''")
-    ranked = hits.withColumn("seq", F.row_number().over(Window.partitionBy("site_id").orderBy("claim_id", "origin", "url")))
+    site = Window.partitionBy("site_id")
+    ranked = hits.withColumn("seq", F.row_number().over(site.orderBy("claim_id", "origin", "url"))).withColumn("truncated", F.count(F.lit(1)).over(site) > cap)
     return ranked.where(F.col("seq") <= cap)
 
 
