@@ -30,7 +30,7 @@ from weftscan.llm.runs import whole_runs
 from weftscan.llm.store import materialize
 
 #: Tables, probes in each, lattice units for a unit of projected distance, and rows of a block.
-TABLES, PROBES, SCALE, BLOCK = 10, 2, 0.8, 8192
+TABLES, PROBES, SCALE, BLOCK = 10, 2, 0.8, 32768
 #: Cells of at most this many rows are compared many at once, of about this many rows together.
 SMALL, ROWS_AT_ONCE = 64, 20_000
 
@@ -98,6 +98,13 @@ def lattice_cells(unit: np.ndarray, labels: np.ndarray, tables: int, probes: int
     return home, probed
 
 
+def _keys_of_all(unit: np.ndarray, labels: np.ndarray, tables: int, probes: int, scale: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``lattice_cells`` for many rows, a few at a time: distances to all facets of many rows would be large."""
+    parts = [lattice_cells(unit[at : at + 4096], labels[at : at + 4096], tables, probes, scale, seed) for at in range(0, len(unit), 4096)]
+    home, probed = zip(*parts, strict=True)
+    return np.concatenate(home), np.concatenate(probed)
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
@@ -168,8 +175,8 @@ def _compare(rows: dict[str, np.ndarray], cosine: float, tables: int, probes: in
     label = np.arange(len(x))
     keys = None
     one = rows["p"] == rows["q"]
-    for at in range(0, left.size, 512):
-        own = left[at : at + 512]
+    for at in range(0, left.size, 128):
+        own = left[at : at + 128]
         near = x[own] @ x[right].T >= cosine - 1e-9
         near &= rows["home"][own][:, None] | rows["home"][right][None, :]
         if one:
@@ -184,7 +191,7 @@ def _compare(rows: dict[str, np.ndarray], cosine: float, tables: int, probes: in
             ii, jj = ii[exact], jj[exact]
             _joined(label, ii, jj)
             if keys is None:
-                keys = lattice_cells(x, rows["label"], tables, probes, scale, seed)
+                keys = _keys_of_all(x, rows["label"], tables, probes, scale, seed)
             here = _first_meeting(ii, jj, *keys) == rows["cell"]
             ii, jj = ii[here], jj[here]
             np.add.at(count, ii, rows["weight"][jj])
@@ -215,7 +222,7 @@ def _compare_small(rows: dict[str, np.ndarray], run: np.ndarray, cosine: float,
     if i.size:
         _joined(label, i, j)
         some, place = np.unique(np.concatenate([i, j]), return_inverse=True)
-        keys = lattice_cells(x[some], rows["label"][some], tables, probes, scale, seed)
+        keys = _keys_of_all(x[some], rows["label"][some], tables, probes, scale, seed)
         for at in range(0, i.size, 200_000):
             own = slice(at, at + 200_000)
             here = _first_meeting(place[: i.size][own], place[i.size :][own], *keys) == rows["cell"][i[own]]
@@ -273,7 +280,9 @@ def lattice_near_duplicates(
     repeated rows too; rows that share a vec_id are compared each by itself and are one node of
     the components; a null vec_id links with nothing; an empty table gives no rows; other columns are not read.
     """
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
+    # vectors of floats travel as floats, at half the bytes; every computation on them is in doubles
+    kind = "array<float>" if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(kind).alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)
     digests = [F.when(F.coalesce(sound, F.lit(False)), F.xxhash64(F.lit(k), "label", "v")).alias(f"d{k}") for k in (1, 2)]
