@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from weftscan.functions import html, robots, urls
 from weftscan.operators import crawl, graph, sampling, shapes
-from weftscan.plans import claims, compose, fixture, rule_sql
+from weftscan.plans import claims, compose, fixture, landing, rule_sql
 from weftscan.plans import rules as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +91,25 @@ def page_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.greedy_sample(frontier, 30)
 
 
+def landed_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct addresses of each site of the whole table, and the pages that only lead to one of them again."""
+    pages, lost = landing.page_table(table(spark, sf_dir, "pages"))
+    counts = pages.groupBy("site_id").agg(F.count(F.lit(1)).alias("kept")).join(lost, "site_id", "left").na.fill(0)
+    return counts.select("site_id", (F.col("kept") + F.col("repeated")).alias("addresses"), "redirected")
+
+
+def landed_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of every rule on the sites of the whole table of pages."""
+    ev, _ = landing.to_evidence(table(spark, sf_dir, "pages"), "2024-05-01T00:00:00Z")
+    return compose.run_rules(ev).groupBy("rule_id", "outcome").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("site_id").alias("sites"))
+
+
+def landed_degradations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the evidence of the whole table of pages lacks, by kind."""
+    _, lacks = landing.to_evidence(table(spark, sf_dir, "pages"), "2024-05-01T00:00:00Z")
+    return lacks.groupBy("what").agg(F.countDistinct("site_id").alias("sites"))
+
+
 # Operators on other tables
 
 
@@ -171,6 +190,16 @@ def reports_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compose.markdown(compose.assemble(fixture.evidence(spark)))
 
 
+def report_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that were not assessed on the fixture's sites, and why."""
+    return compose.gaps_of(compose.run_rules(fixture.evidence(spark)))
+
+
+def report_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What contradicts itself in the reports of the fixture's sites."""
+    return compose.report_violations(compose.assemble(fixture.evidence(spark)))
+
+
 def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = fixture.evidence(spark)
     return compose.summary_of(ev, compose.findings_of(ev))
@@ -301,8 +330,8 @@ def robots_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TABLE = (
-    page_strata, page_addresses, page_duplicates, page_headings, page_measurements, page_languages, page_links, page_sample, user_error_share, user_error_rollup, user_value_median,
-    user_type_pivot, user_top_events, document_copies, document_strata, document_round_robin, severity_table, report_findings, reports_markdown, report_summary, claims_promoted,
+    page_strata, page_addresses, page_duplicates, page_headings, page_measurements, page_languages, page_links, page_sample, landed_sites, landed_outcomes, landed_degradations, user_error_share, user_error_rollup, user_value_median,
+    user_type_pivot, user_top_events, document_copies, document_strata, document_round_robin, severity_table, report_findings, reports_markdown, report_gaps, report_problems, report_summary, claims_promoted,
     claim_candidates, site_orphans, site_depths, page_aliases, crawl_counters, shell_sites, probe_fetched_at, claim_assertions, source_types, declared_types, robots_matches, header_directives, robots_decisions,
 )
 
@@ -368,6 +397,7 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN starts_with(place, 'www.') THEN place[5:] ELSE 'www.' || place END AS twin, path || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END AS path_and_query,
             CASE WHEN len(segments) > 1 THEN segments[1] ELSE '' END AS section, CAST(len(segments) AS BIGINT) AS depth FROM dom""",
         "page_duplicates": f"WITH {_ADDRESS} SELECT normalised, min(page_id) AS page_id, count(*) AS copies FROM dom GROUP BY normalised",
+        "landed_sites": f"""WITH {_ADDRESS} SELECT scheme || '://' || place AS site_id, count(DISTINCT normalised) AS addresses, count(*) - count(DISTINCT normalised) AS redirected FROM dom GROUP BY 1""",
         "page_headings": r"""SELECT page_id, CAST(len(regexp_extract_all(html, '<h1[ >]')) AS BIGINT) AS n_h1, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
             CAST(len(regexp_extract_all(html, '<form[ >]')) AS BIGINT) AS forms FROM pages""",
         "page_languages": """SELECT regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, count(*) AS pages FROM pages GROUP BY 1""",
@@ -433,4 +463,9 @@ def oracle_sql() -> dict[str, str]:
             for i, (p, a, t) in enumerate(_ROBOTS)
         ) + ") AS t(case_id, path, allow, pattern, applies)",
     }
-    return out | {"rule_" + k.lower().replace("-", "_"): v for k, v in rule_sql.oracle().items()}
+    judged = {"rule_" + k.lower().replace("-", "_"): v for k, v in rule_sql.oracle().items()}
+    if len(judged) == len(R.CATALOGUE):
+        each = " UNION ALL ".join(f"SELECT site_id, rule_id FROM ({sql}) WHERE outcome = 'not_assessed'" for sql in judged.values())
+        out["report_gaps"] = f"SELECT site_id, rule_id, reason FROM ({each}) JOIN (VALUES {_rows(compose.NEEDS.items())}) AS n(rule_id, reason) USING (rule_id)"
+    out["report_problems"] = "SELECT '' AS site_id, '' AS problem WHERE false"
+    return out | judged

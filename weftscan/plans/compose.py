@@ -20,6 +20,16 @@ EFFORTS = ["low", "medium", "high"]
 ABSENCE_RULES = ["IDM-001", "ANS-001", "FRC-001"]
 CONTENT_SKILLS = ["render-and-extraction", "identity-and-markup", "answerability", "freshness-and-corroboration"]
 
+#: What was missing where a rule was not assessed.
+NEEDS = {
+    "ACC-001": "no robots file was read", "ACC-002": "no answer for the robots file was recorded", "ACC-003": "no page of a primary type answered", "ACC-004": "no page of a primary type answered",
+    "ACC-005": "fewer than two pages declare a canonical address", "ACC-006": "no address was probed that a defence at the edge did not answer", "ACC-007": "there are fewer than five pages, or the home page failed",
+    "ACC-008": "no robots file was read", "ACC-009": "no declared sitemap was read", "RND-001": "fewer than two pages were rendered", "RND-002": "there is no home page to judge, or rendered pages are judged instead",
+    "RND-003": "fewer than five pages with text were rendered", "IDM-001": "there is no home page that can be judged", "IDM-002": "no page has sameAs entries", "IDM-003": "no page has JSON-LD to judge",
+    "IDM-004": "no page has marked-up prices to judge", "ANS-001": "there are fewer than two long pages", "FRC-001": "there are fewer than two articles", "FRC-002": "no structured record was found for a founding year",
+    "ARR-001": "fewer than five pages were timed", "PRO-001": "llms.txt was not asked for", "PRO-002": "no claim is sure enough to ask about", "PRO-003": "no page describes an organization", "PRO-004": "there are fewer than two articles",
+}
+
 
 def rank(value: Column, order: list[str]) -> Column:
     return F.array_position(F.array(*map(F.lit, order)), value)
@@ -149,27 +159,103 @@ def summary_of(ev: Evidence, findings: DataFrame) -> DataFrame:
     return ev.sites.select("site_id").join(counts, "site_id", "left").na.fill(0)
 
 
-def assemble(ev: Evidence) -> DataFrame:
-    """One report row for each site: summary, ordered findings, passed and not assessed rules, withheld findings."""
+def gaps_of(outcomes: DataFrame) -> DataFrame:
+    """(site_id, rule_id, reason) where a rule was not assessed; a rule that did not run says why itself."""
+    known = F.create_map(*[F.lit(x) for pair in NEEDS.items() for x in pair])
+    reason = F.coalesce(F.nullif("detail", F.lit("")), F.try_element_at(known, F.col("rule_id")), F.lit("an observation it needs was not made"))
+    return outcomes.where("outcome = 'not_assessed'").select("site_id", "rule_id", reason.alias("reason"))
+
+
+def references_of(ev: Evidence, findings: DataFrame) -> DataFrame:
+    """(site_id, position, evidence): for each address of a finding, in order, what was seen there and when.
+
+    Pages come before the robots file and sitemaps, which have the time of the audit's start; an address that was
+    not fetched has no status.
+    """
+    timed = ev.pages if "fetched_at" in ev.pages.columns else ev.pages.withColumn("fetched_at", F.lit(None).cast("string"))
+    named = [timed.select("site_id", F.col(c).alias("url"), "page_seq", "status", "fetched_at") for c in ("url", "final_url")]
+    no_time = F.lit(None).cast("string").alias("fetched_at")
+    last = F.lit(2**62).alias("page_seq")
+    named.append(ev.sites.where("robots_status is not null").select("site_id", F.concat(F.regexp_replace("origin", "/+$", ""), F.lit("/robots.txt")), last, F.col("robots_status"), no_time))
+    named.append(ev.sitemaps.where("status is not null").select("site_id", "url", last, "status", no_time))
+    seen = reduce(DataFrame.union, named).where("url is not null").groupBy("site_id", "url").agg(F.min(F.struct("page_seq", "status", "fetched_at")).alias("s"))
+    asked = findings.select("site_id", "position", F.posexplode("urls").alias("k", "url"))
+    joined = asked.join(seen, ["site_id", "url"], "left").join(ev.sites.select("site_id", "started_at"), "site_id")
+    saw = F.when(F.col("s.status").isNotNull(), F.format_string("answered %d", "s.status")).when(F.col("s").isNotNull(), "gave no answer").otherwise("not fetched")
+    ref = F.struct("k", "url", F.col("s.status").alias("status"), F.coalesce("s.fetched_at", "started_at").alias("fetched_at"), saw.alias("observation"))
+    listed = joined.groupBy("site_id", "position").agg(F.array_sort(F.collect_list(ref)).alias("e"))
+    return listed.select("site_id", "position", F.transform("e", lambda r: r.dropFields("k")).alias("evidence"))
+
+
+def context_of(ev: Evidence, degradations: DataFrame) -> DataFrame:
+    """(site_id, run_context): when the audit began, what it could do, what it fetched, and what it lacks."""
+    counts = ev.pages.groupBy("site_id").agg(F.count(F.lit(1)).alias("fetched"), F.count_if(~R.is_2xx(F.col("status"))).alias("errors"))
+    lacks = degradations.groupBy("site_id").agg(F.array_sort(F.collect_set(F.struct("what", "reason"))).alias("lacks"))
+    rows = ev.sites.join(counts, "site_id", "left").join(lacks, "site_id", "left")
+    none = F.array().cast(lacks.schema["lacks"].dataType)
+    return rows.select(
+        "site_id",
+        F.struct(
+            "started_at", "js_render", "egress", F.col("attempted").alias("corroborated"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("fetched", "errors")], F.coalesce("lacks", none).alias("degradations")
+        ).alias("run_context"),
+    )
+
+
+def assemble(ev: Evidence, degradations: DataFrame | None = None) -> DataFrame:
+    """One report row for each site: summary, ordered findings with their evidence, passed and not assessed rules, run context.
+
+    ``degradations`` (site_id, what, reason) is what the evidence lacks. A finding that an impossible combination
+    withholds, and a rule that did not run, are added to it.
+    """
     outcomes = landed(run_rules(ev))
     facts = rule_table(ev)
     derived = derive(outcomes, facts)
     findings = landed(report_order(arbitrate(deduplicate(derived.where("violation is null")))))
-    item = F.struct("position", "id", "rule_id", "skill", "title", "severity", "priority", "status", "category", "symptom", "confidence", "breadth", "importance", "blocking", "effort", "fix", "pages_affected", "pages_examined", "page_types", "urls", "detail", "conditional_on")
-    listed = findings.groupBy("site_id").agg(F.array_sort(F.collect_list(item)).alias("findings"))
-    other = outcomes.groupBy("site_id").agg(
-        F.array_sort(F.collect_set(F.when(F.col("outcome") == "passed", F.col("rule_id")))).alias("checks_passed"),
-        F.array_sort(F.collect_set(F.when(F.col("outcome") == "not_assessed", F.col("rule_id")))).alias("not_assessed"),
-    )
+    with_refs = findings.join(references_of(ev, findings), ["site_id", "position"], "left")
+    none = F.array().cast("array<struct<url: string, status: int, fetched_at: string, observation: string>>")
+    with_refs = with_refs.withColumn("evidence", F.coalesce("evidence", none))
+    item = F.struct("position", "id", "rule_id", "skill", "title", "severity", "priority", "status", "category", "symptom", "confidence", "breadth", "importance", "blocking", "effort", "fix", "pages_affected", "pages_examined", "page_types", "urls", "evidence", "detail", "conditional_on")
+    listed = with_refs.groupBy("site_id").agg(F.array_sort(F.collect_list(item)).alias("findings"))
+    passed = outcomes.where("outcome = 'passed'").groupBy("site_id").agg(F.array_sort(F.collect_set("rule_id")).alias("checks_passed"))
+    gaps = gaps_of(outcomes)
+    open_ = gaps.groupBy("site_id").agg(F.array_sort(F.collect_set(F.struct("rule_id", "reason"))).alias("not_assessed"))
     withheld = derived.where("violation is not null").groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("rule_id", "violation"))).alias("withheld"))
+    own = [
+        derived.where("violation is not null").select("site_id", F.lit("diagnosis").alias("what"), F.concat("rule_id", F.lit(" was withheld: "), "violation").alias("reason")),
+        outcomes.where("outcome = 'not_assessed' and detail <> ''").select("site_id", F.lit("diagnosis").alias("what"), F.concat("rule_id", F.lit(": "), "detail").alias("reason")),
+    ]
+    lacks = reduce(DataFrame.unionByName, own if degradations is None else [degradations.select("site_id", "what", "reason"), *own])
     host = F.regexp_replace(F.regexp_extract("origin", r"^[a-z]+://([^/:]*)", 1), r"^www\.", "")
     base = ev.sites.select("site_id", host.alias("site"), F.col("started_at").alias("audited_at"))
-    rows = base.join(summary_of(ev, findings), "site_id").join(listed, "site_id", "left").join(other, "site_id", "left").join(withheld, "site_id", "left")
-    for name, kind in (("findings", listed.schema["findings"].dataType), ("withheld", withheld.schema["withheld"].dataType)):
-        rows = rows.withColumn(name, F.coalesce(name, F.array().cast(kind)))
+    rows = base.join(summary_of(ev, findings), "site_id").join(context_of(ev, lacks), "site_id")
+    for part in (listed, passed, open_, withheld):
+        rows = rows.join(part, "site_id", "left")
+        name = part.columns[1]
+        rows = rows.withColumn(name, F.coalesce(name, F.array().cast(part.schema[name].dataType)))
     return rows
 
 
+def report_violations(reports: DataFrame) -> DataFrame:
+    """(site_id, problem) for reports that contradict themselves."""
+    rules_in = F.concat(F.transform("findings", lambda f: f["rule_id"]), F.col("checks_passed"), F.transform("not_assessed", lambda g: g["rule_id"]), F.transform("withheld", lambda w: w["rule_id"]))
+    problems = F.filter("findings", lambda f: f["status"] != "proactive")
+    within = lambda field, names: F.forall("findings", lambda f: F.coalesce(f[field].isin(names), F.lit(False)))
+    checks = [
+        (F.col("total_findings") + F.col("proactive") == F.size("findings"), "the summary does not count its findings"),
+        (sum((F.col(s) for s in SEVERITIES), F.lit(0)) == F.size(problems), "the counts by severity do not add up"),
+        (F.forall("findings", lambda f: f["id"] == F.format_string("F-%03d", f["position"])), "identifiers do not follow positions"),
+        (F.transform("findings", lambda f: f["position"]) == F.transform("findings", lambda f, i: i + 1), "positions have gaps"),
+        (within("severity", SEVERITIES), "a severity is not in the enumeration"),
+        (within("priority", PRIORITIES), "a priority is not in the enumeration"),
+        (F.forall("findings", lambda f: F.size(f["evidence"]) == F.size(f["urls"])), "an address lacks its evidence"),
+        (F.forall("findings", lambda f: F.coalesce(f["pages_affected"] <= f["pages_examined"], F.lit(True))), "more pages are affected than were examined"),
+        (F.size(F.array_distinct(rules_in)) == F.lit(len(R.CATALOGUE)), "a rule has no outcome"),
+        (F.forall("not_assessed", lambda g: g["reason"] != ""), "a rule that was not assessed gives no reason"),
+    ]
+    found = F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(p)) for c, p in checks]), lambda p: p.isNotNull())
+    return reports.select("site_id", F.explode(found).alias("problem"))
+
+
 def markdown(reports: DataFrame) -> DataFrame:
     """(site_id, report) in Markdown. Observed text is data: it is put on one line."""
     line = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
@@ -179,7 +265,8 @@ def markdown(reports: DataFrame) -> DataFrame:
         F.format_string("%s of %s pages; confidence %s; effort %s", f["pages_affected"].cast("string"), f["pages_examined"].cast("string"), f["confidence"], f["effort"]),
         line(f["fix"]),
         F.when(f["detail"] != "", F.concat(F.lit("Observed: "), line(f["detail"]))),
-        F.transform(F.slice(f["urls"], 1, 10), lambda u: F.concat(F.lit("- "), line(u))),
+        F.nullif(F.concat_ws("\n", F.transform(F.slice(f["evidence"], 1, 10), lambda e: F.concat(F.lit("- "), line(e["url"]), F.lit(": "), e["observation"]))), F.lit("")),
+        F.when(F.size(f["evidence"]) > 10, F.format_string("- and %d more", F.size(f["evidence"]) - 10)),
         F.when(F.size(f["conditional_on"]) > 0, F.concat(F.lit("Depends on: "), F.array_join(f["conditional_on"], ", "))),
         F.lit(""),
     )
@@ -200,12 +287,17 @@ def markdown(reports: DataFrame) -> DataFrame:
         F.lit("## Passed\n"),
         names("checks_passed"),
         F.lit("\n## Not assessed\n"),
-        names("not_assessed"),
+        F.concat_ws("\n", F.transform("not_assessed", lambda g: F.concat(F.lit("- "), g["rule_id"], F.lit(": "), line(g["reason"])))),
+        F.lit("\n## What this audit lacks\n"),
+        F.when(F.size("run_context.degradations") == 0, F.lit("Nothing known.")).otherwise(F.concat_ws("\n", F.transform("run_context.degradations", lambda d: F.concat(F.lit("- "), d["what"], F.lit(": "), line(d["reason"]))))),
     )
     return reports.select("site_id", text.alias("report"))
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    """reports as JSON, one document a line, and their Markdown, below ``path``."""
+    """reports as JSON, one document a line, and their Markdown, below ``path``; reports that contradict themselves are an error."""
+    reports = landed(reports)
+    if wrong := report_violations(reports).limit(5).collect():
+        raise ValueError("; ".join(f"{r.site_id}: {r.problem}" for r in wrong))
     reports.write.mode("overwrite").json(f"{path}/json")
     markdown(reports).write.mode("overwrite").parquet(f"{path}/markdown")

@@ -6,28 +6,9 @@ from dataclasses import fields
 
 from pyspark.sql import SparkSession
 
+from weftscan.sources.bundle import TABLES as SCHEMAS
 from weftscan.sources.bundle import Evidence
 
-_NODES = "array<struct<type:string,valid:boolean,fields:array<string>,vals:map<string,string>,contradicts:boolean>>"
-SCHEMAS = {
-    "sites": "site_id string, domain string, origin string, started_at string, robots_fetched boolean, robots_status int, robots_ok boolean, robots_reason string, js_render boolean, egress boolean, attempted boolean, soft404_hash string",
-    "pages": f"""site_id string, page_seq int, url string, final_url string, status int, content_type string, page_type string, type_confidence double, canonical string,
-        canonical_self boolean, meta_robots array<string>, x_robots string, lang string, raw_len int, hidden_len int, raw_hash string, rendered boolean, rendered_len int,
-        delta double, words int, n_headings int, n_dates int, date_modified string, date_published string, ttfb double, connect double, microdata boolean,
-        raw_text string, rendered_text string, nodes {_NODES}, headings array<struct<level:int,text:string>>""",
-    "groups": "site_id string, seq int, user_agent string, allow array<string>, disallow array<string>",
-    "agents": "site_id string, agent string, verdict string",
-    "declared": "site_id string, seq int, url string",
-    "sitemaps": "site_id string, url string, status int, parse_ok boolean",
-    "probe": "site_id string, url string, agent string, status int",
-    "well_known": "site_id string, path string, status int, present boolean",
-    "claims": "site_id string, seq int, id string, kind string, value string, confidence string, ambiguity string",
-    "hits": "site_id string, seq int, claim_id string, origin string, asserted string, matches boolean",
-    "candidates": "site_id string, seq int, id string, kind string, value_raw string, value_normalized string, source_url string, locator string, extraction_method string, observed_count int",
-    "edges": "site_id string, src string, dst string",
-}
-
-
 def node(kind: str, valid: bool = True, contradicts: bool = False, **values: str) -> dict:
     vals = {k.replace("__", "."): v for k, v in values.items()}
     return {"type": kind, "valid": valid, "fields": sorted(vals), "vals": vals, "contradicts": contradicts}
