@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftscan.llm import byte_bpe, chat, lattice, minhash, packing, quality, sharding, token_counts, token_files, toxicity
+from weftscan.llm import byte_bpe, chat, conversation_repair, exact_dedup, importance, lattice, minhash, packing, quality, sharding, token_counts, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,19 @@ def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damaged_and_repaired(_table(spark, sf_dir, "conversations"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), longest=1, buckets=10_000, percent=10, least_words=20, seed=2024)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 _QUERIES = (
     op1_token_counts,
     op2_toxicity,
@@ -78,6 +91,9 @@ _QUERIES = (
     op8_packing,
     op9_hilbert_shards,
     op10_quality_cascade,
+    op11_conversation_repair,
+    op12_exact_dedup,
+    op13_importance_resampling,
 )
 
 #: Links between all pairs of a label by cosine in double precision, and their components.
@@ -131,4 +147,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_lattice_near_duplicates": LATTICE_SQL, "op5_minhash_near_duplicates": MINHASH_SQL, "op10_quality_cascade": quality.QUALITY_SQL}
+    return {"op4_lattice_near_duplicates": LATTICE_SQL, "op5_minhash_near_duplicates": MINHASH_SQL, "op10_quality_cascade": quality.QUALITY_SQL, "op12_exact_dedup": exact_dedup.EXACT_SQL}
