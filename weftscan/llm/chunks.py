@@ -69,14 +69,15 @@ class ChunkEncoder:
     returns to the young one, so common chunks stay and memory is bounded.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], split: Callable[[str], list[str]], entries: int = MEMO_ENTRIES):
-        self._encode_many, self._split, self._entries = encode_many, split, entries
+    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], split: Callable[[str], list[str]], entries: int = MEMO_ENTRIES, whole: tuple[str, ...] = ()):
+        """``whole`` are strings whose texts are one chunk each."""
+        self._encode_many, self._split, self._entries, self._whole = encode_many, split, entries, whole
         self._memo: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = self._split
-        chunks = [split(t) if t else [] for t in texts]
+        split, whole = self._split, self._whole
+        chunks = [([t] if any(w in t for w in whole) else split(t)) if t else [] for t in texts]
         new = set().union(*chunks).difference(self._memo)
         if new:
             self._learn(new)
@@ -96,7 +97,7 @@ class ChunkEncoder:
         ended, whole = [], set()
         for c in new.difference(known):
             # a stop or comma after a letter is a pre-token of its own; a dotted capital I ends in a mark when lower-cased
-            if c[-1] in ".," and len(c) > 1 and c[-2] < "\u0250" and c[-2] != "\u0130" and c[-2].isalpha() and self._split is not whole_text:
+            if c[-1] in ".," and len(c) > 1 and c[-2] < "\u0250" and c[-2] != "\u0130" and c[-2].isalpha() and self._split is not whole_text and not any(w in c for w in self._whole):
                 ended.append(c)
                 whole.update((c[:-1], c[-1]))
             else:
@@ -125,9 +126,9 @@ def byte_alphabet() -> list[str]:
 def library_encoder(path: str) -> ChunkEncoder:
     """A memoised encoder over the tokenizers library, one for each worker and file.
 
-    Strings of special tokens are ordinary text. What follows holds for the two kinds of normalizer and pre-tokenizer
-    that are known here: one keeps white space (byte-level), one drops it (word ends). Files with any others are
-    encoded by the library, text by text.
+    Strings of special tokens in a text become those tokens, as the library has it: such a text is encoded by it alone. What
+    follows holds for the two kinds of normalizer and pre-tokenizer that are known here: one keeps white space (byte-level), one
+    drops it (word ends). Files with any others are encoded by the library, text by text.
 
     A new chunk of letters below U+0250 is one pre-token, normal as it is but for its case, and goes
     straight to the library's model. Other new chunks go to the library in one call, joined by a pre-token that is one token and stays
@@ -141,10 +142,10 @@ def library_encoder(path: str) -> ChunkEncoder:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     written = json.loads(tokenizer.to_str())
     kind = (written["normalizer"], written["pre_tokenizer"])
-    plain = all(t["special"] for t in written["added_tokens"])
+    plain = all(t["special"] and not t["normalized"] for t in written["added_tokens"])
+    special = tuple(t["content"] for t in written["added_tokens"])
     if not plain or kind not in (_DROPS_SPACE, _KEEPS_SPACE):
         return ChunkEncoder(lambda texts: [pack_ids(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts], whole_text)
     keeps_space = kind == _KEEPS_SPACE
@@ -162,6 +163,9 @@ def library_encoder(path: str) -> ChunkEncoder:
     def encode_many(chunks: list[str]) -> list[bytes]:
         got, rest = {}, []
         for c in chunks:
+            if any(w in c for w in special):
+                got[c] = pack_ids(tokenizer.encode(c, add_special_tokens=False).ids)
+                continue
             word = c[1:] if keeps_space and c[0] == " " else c
             if word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word)) and len(word) <= 1000:
                 got[c] = by_model(c)
@@ -177,4 +181,4 @@ def library_encoder(path: str) -> ChunkEncoder:
                 at = end + 1
         return [got[c] for c in chunks]
 
-    return ChunkEncoder(encode_many, split_leading_space if keeps_space else split_dropping_space)
+    return ChunkEncoder(encode_many, split_leading_space if keeps_space else split_dropping_space, whole=special)
