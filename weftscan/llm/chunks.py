@@ -69,20 +69,21 @@ class ChunkEncoder:
     returns to the young one, so common chunks stay and memory is bounded.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], split: Callable[[str], list[str]], entries: int = MEMO_ENTRIES, whole: tuple[str, ...] = ()):
-        """``whole`` are strings whose texts are one chunk each."""
-        self._encode_many, self._split, self._entries, self._whole = encode_many, split, entries, whole
+    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]], split: Callable[[str], list[str]], entries: int = MEMO_ENTRIES, special: tuple[str, ...] = (), encode_whole: Callable[[str], bytes] | None = None):
+        """Texts that hold a string of ``special`` are not cut and go to ``encode_whole``."""
+        self._encode_many, self._split, self._entries, self._special, self._encode_whole = encode_many, split, entries, special, encode_whole
         self._memo: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split, whole = self._split, self._whole
-        chunks = [([t] if any(w in t for w in whole) else split(t)) if t else [] for t in texts]
+        split = self._split
+        alone = {k: self._encode_whole(t) for s in self._special for k, t in enumerate(texts) if t and s in t}
+        chunks = [split(t) if t and k not in alone else [] for k, t in enumerate(texts)]
         new = set().union(*chunks).difference(self._memo)
         if new:
             self._learn(new)
         get = self._memo.__getitem__
-        out = [b"".join(map(get, c)) for c in chunks]
+        out = [alone[k] if k in alone else b"".join(map(get, c)) for k, c in enumerate(chunks)]
         for c in new:
             if len(c) > MEMO_CHUNK_CHARS:
                 del self._memo[c]
@@ -97,7 +98,7 @@ class ChunkEncoder:
         ended, whole = [], set()
         for c in new.difference(known):
             # a stop or comma after a letter is a pre-token of its own; a dotted capital I ends in a mark when lower-cased
-            if c[-1] in ".," and len(c) > 1 and c[-2] < "\u0250" and c[-2] != "\u0130" and c[-2].isalpha() and self._split is not whole_text and not any(w in c for w in self._whole):
+            if c[-1] in ".," and len(c) > 1 and c[-2] < "\u0250" and c[-2] != "\u0130" and c[-2].isalpha() and self._split is not whole_text:
                 ended.append(c)
                 whole.update((c[:-1], c[-1]))
             else:
@@ -163,9 +164,6 @@ def library_encoder(path: str) -> ChunkEncoder:
     def encode_many(chunks: list[str]) -> list[bytes]:
         got, rest = {}, []
         for c in chunks:
-            if any(w in c for w in special):
-                got[c] = pack_ids(tokenizer.encode(c, add_special_tokens=False).ids)
-                continue
             word = c[1:] if keeps_space and c[0] == " " else c
             if word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word)) and len(word) <= 1000:
                 got[c] = by_model(c)
@@ -181,4 +179,4 @@ def library_encoder(path: str) -> ChunkEncoder:
                 at = end + 1
         return [got[c] for c in chunks]
 
-    return ChunkEncoder(encode_many, split_leading_space if keeps_space else split_dropping_space, whole=special)
+    return ChunkEncoder(encode_many, split_leading_space if keeps_space else split_dropping_space, special=special, encode_whole=lambda t: pack_ids(tokenizer.encode(t, add_special_tokens=False).ids))
