@@ -1,15 +1,15 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
 Each rule is a predicate over a document that says "reject". Its cost and selectivity are
-measured on a sample, and rules are tried in the order of rejections per cost, so that
+estimated on a sample, the cost as the steps that it takes there and not by a clock, so a table gives one order
+in every run. Rules are tried in the order of rejections per cost, so that
 a document is usually rejected by something cheap. The order is that of the branches of one
 CASE expression, which evaluates no branch after the first that holds, nor the counts that only such branches
-need. A document's verdict does not depend on the order, so the sample (and its timing) never changes a result.
+need. A document's verdict does not depend on the order, so the sample never changes a result.
 """
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -48,14 +48,14 @@ def duplicate_lines(text: Column) -> Column:
 def repeated_words(words: Column, window: int = WINDOW_WORDS) -> Column:
     """Words inside windows of ``window`` words that occur at least twice in the text.
 
-    Windows are compared by 64-bit hashes. Only texts where some hash repeats sort their
+    Each word is hashed once, and the hash of a window is that of its words' hashes. Only texts where some hash repeats sort their
     windows; equal neighbours in that order are the repeats. The words that they cover are counted
     in order of position: each window adds what reaches beyond the window before it.
     """
     n = F.size(words)
 
     def covered(w: Column) -> Column:
-        hashes = F.transform(F.sequence(F.lit(1), F.size(w) - window + 1), lambda i: F.xxhash64(F.slice(w, i, window)))
+        hashes = let(F.transform(w, lambda x: F.xxhash64(x)), lambda one: F.transform(F.sequence(F.lit(0), F.size(one) - window), lambda i: F.xxhash64(*[F.get(one, i + k) for k in range(window)])))
         return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), from_hashes(h)).otherwise(F.lit(0)))
 
     def from_hashes(h: Column) -> Column:
@@ -98,14 +98,15 @@ def text_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` is true for documents to drop; null counts as false."""
+    """``rejects`` is true for documents to drop; null counts as false. ``steps`` is about how many characters or words it looks at in a document."""
 
     name: str
     rejects: Column
+    steps: Column | None = None
 
 
 def base_rule() -> Rule:
-    return Rule("base", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
+    return Rule("base", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")), F.length("text") + 2 * WINDOW_WORDS * F.col("n_words"))
 
 
 def default_rules() -> list[Rule]:
@@ -119,12 +120,13 @@ def default_rules() -> list[Rule]:
     capitals = F.length(F.regexp_replace(t, "[^\\p{Lu}]+", ""))
     small = F.length(F.regexp_replace(t, "[^\\p{Ll}]+", ""))
     lines = F.length(t) - F.length(F.translate(t, "\n", "")) + 1
+    chars, words = F.length(t), F.col("n_words")
     return [
-        Rule("symbols", 10 * F.col("n_symbols") > F.col("n_words")),
-        Rule("duplicate_lines", (F.col("n_dup_lines") >= 3) & (10 * F.col("n_dup_lines") > 3 * lines)),
-        Rule("stutter", let(words_of(t), lambda w: 2 * F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))) > F.size(w))),
-        Rule("word_length", (F.col("word_chars") > 15 * F.col("n_words")) | (F.col("word_chars") < 2 * F.col("n_words"))),
-        Rule("shouting", (capitals + small >= 40) & (capitals > small)),
+        Rule("symbols", 10 * F.col("n_symbols") > F.col("n_words"), 2 * chars),
+        Rule("duplicate_lines", (F.col("n_dup_lines") >= 3) & (10 * F.col("n_dup_lines") > 3 * lines), 3 * chars),
+        Rule("stutter", let(words_of(t), lambda w: 2 * F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))) > F.size(w)), chars + 2 * words),
+        Rule("word_length", (F.col("word_chars") > 15 * F.col("n_words")) | (F.col("word_chars") < 2 * F.col("n_words")), 2 * chars),
+        Rule("shouting", (capitals + small >= 40) & (capitals > small), 4 * chars),
     ]
 
 
@@ -133,33 +135,26 @@ SAMPLE_TEXT_BYTES = 65_536
 
 
 def sample_of(docs: DataFrame, sample_rows: int) -> DataFrame:
-    """At most ``sample_rows`` rows of a sample by hash of the text, as a small table in the shared folder.
+    """The texts of at most ``sample_rows`` rows of a sample by hash of the text, as a small table in the shared folder.
 
-    Rows are taken from as few partitions as give enough of them, so a large table is not read for it.
+    Rows are taken from as few partitions as give enough of them, so a large table is not read for it. No other column passes through the driver.
     """
-    text = F.col("text").cast("string")
-    drawn = docs.where((F.octet_length(text) <= SAMPLE_TEXT_BYTES) & (F.pmod(F.xxhash64(F.lit(11), text), F.lit(4)) == 0))
-    return materialize(docs.sparkSession.createDataFrame(drawn.take(sample_rows), docs.schema).coalesce(1))
+    text = F.col("text").cast("string").alias("text")
+    drawn = docs.select(text).where((F.octet_length("text") <= SAMPLE_TEXT_BYTES) & (F.pmod(F.xxhash64(F.lit(11), "text"), F.lit(4)) == 0))
+    return materialize(docs.sparkSession.createDataFrame(drawn.take(sample_rows), "text string").coalesce(1))
 
 
 def cascade_order(docs: DataFrame, rules: list[Rule], sample_rows: int = 2000) -> list[Rule]:
-    """``rules`` by rejections per cost, both measured on at most ``sample_rows`` rows of ``docs`` (with a text).
+    """``rules`` by rejections per step, both counted in one pass over the texts of at most ``sample_rows`` rows of ``docs``.
 
-    The cost of a rule is the time of a pass over the sample that counts only what the rule needs,
-    beyond a pass that counts nothing; the driver receives one count for each rule. Equal ratios keep the given order.
+    A rule reads the text and the columns of ``text_counts``; without ``steps`` it is taken to look at each character once.
+    Equal ratios keep the given order.
     """
     counted = text_counts(sample_of(docs, sample_rows))
-
-    def timed(column: Column) -> tuple[float, int]:
-        began = time.perf_counter()
-        hits = counted.agg(F.count_if(column)).first()[0]
-        return time.perf_counter() - began, hits
-
-    timed(F.length("text") >= 0)
-    idle, rows = timed(F.length("text") >= 0)
-    measured = [timed(r.rejects) for r in rules]
-    per_cost = [hits / max(rows, 1) / max(seconds - idle, 1e-3) for seconds, hits in measured]
-    return [rules[k] for k in sorted(range(len(rules)), key=lambda k: -per_cost[k])]
+    steps = [F.length("text") if r.steps is None else r.steps for r in rules]
+    found = counted.agg(*[F.count_if(r.rejects) for r in rules], *[F.sum(x.cast("double")) for x in steps]).first()
+    per_step = [found[k] / max(found[len(rules) + k] or 0.0, 1.0) for k in range(len(rules))]
+    return [rules[k] for k in sorted(range(len(rules)), key=lambda k: -per_step[k])]
 
 
 def verdict_of(ordered: list[Rule]) -> Column:

@@ -5,6 +5,9 @@ Hilbert curve, and the documents in that order are cut into runs with counts at
 one apart. A shard then covers a compact region in all dimensions at once, so minima and
 maxima kept for each file rule out most files for a filter on any of them.
 
+Rows with equal texts are one group. A group has the cell of its first row, whatever the metadata of the others, so that it stands
+together in the order; only where a cut between two shards falls into a group, or a shard is smaller than it, is it divided.
+
 No step sorts the corpus. The table is read once, for a narrow copy without texts. A cell is spread over lanes by a
 hash of the text, as many as its count needs, and a lane that one text makes too large is spread again by row.
 An aggregation counts rows by (cell, lane), and a running sum over those counts gives the rank at which each lane
@@ -102,6 +105,18 @@ def quantised(rows: DataFrame, dimensions: list[str], bits: int) -> DataFrame:
     return rows.withColumns(out)
 
 
+def _grouped(rows: DataFrame, axes: list[str]) -> DataFrame:
+    """``rows`` in which those with equal texts have the cell of the first of them.
+
+    Only groups that metadata would divide are joined, one row for each; their rows are found by aggregation, so copies are counted before they move.
+    """
+    group = ["_text", "size"]
+    cell = F.struct(*axes)
+    first = F.min_by(cell, F.struct("doc_id", "_id")).alias("_first")
+    apart = rows.groupBy(*group).agg(first, F.min(cell).alias("_least"), F.max(cell).alias("_most")).where("_least <> _most").select(*group, "_first")
+    return rows.join(apart, group, "left").withColumns({a: F.coalesce(F.col("_first")[a], F.col(a)) for a in axes}).drop("_first")
+
+
 def hilbert_shards(
     docs: DataFrame,
     shards: int = SHARDS,
@@ -118,8 +133,8 @@ def hilbert_shards(
 
     Defined cases: a null text has 16 bytes of size and the checksum of the empty text; nulls in
     a dimension share its first cell; a null doc_id is ordered first in its lane among equal texts; equal rows are
-    numbered one after the other in any order; law "rows" lets a run end between equal texts, which otherwise stay
-    together where their metadata do; with fewer rows than shards the last shards are
+    numbered one after the other in any order; equal texts have the cell of the one with the least doc_id and stand together, and
+    law "rows" divides those that a cut falls between; with fewer rows than shards the last shards are
     empty; an empty table gives no rows; clashing columns of ``docs`` are not read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -128,13 +143,14 @@ def hilbert_shards(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+        F.xxhash64(text).alias("_text"),
         *own,
     )
     used = [d for d in dimensions if d == "size" or d in own]
     rows = materialize(rows.withColumn("_id", F.monotonically_increasing_id()))
     axes = [f"_q{k}" for k in range(len(used))]
-    cells = materialize(quantised(rows, used, bits).select("doc_id", "size", "text_crc32", "_id", *axes))
-    by_text = F.pmod(F.xxhash64("text_crc32", "size"), F.col("_lanes"))
+    cells = materialize(_grouped(quantised(rows, used, bits), axes).select("doc_id", "size", "text_crc32", "_text", "_id", *axes))
+    by_text = F.pmod(F.col("_text"), F.col("_lanes"))
     wide = cells.groupBy(*axes).agg(F.ceil(F.count(F.lit(1)) / lane_rows).alias("_lanes"))
     cells = cells.join(wide, axes).withColumn("_lane", by_text).drop("_lanes")
     # one text, or few, can fill a lane: its rows are dealt again, evenly
@@ -156,7 +172,7 @@ def hilbert_shards(
     inside = Window.partitionBy("curve").orderBy("_lane")
     placed = curve.withColumn("_inside", F.sum("_n").over(inside) - F.col("_n")).join(starts, "curve")
     placed = placed.select(*axes, "_lane", "curve", "_total", (F.col("_before") + F.col("_inside")).alias("_first"))
-    numbered = cells.withColumn("_r", F.row_number().over(Window.partitionBy(*axes, "_lane").orderBy("text_crc32", "size", "doc_id", "_id")))
+    numbered = cells.withColumn("_r", F.row_number().over(Window.partitionBy(*axes, "_lane").orderBy("text_crc32", "size", "_text", "doc_id", "_id")))
     ranked = numbered.join(placed, [*axes, "_lane"]).withColumn("_rank", F.col("_first") + F.col("_r") - 1)
     # the first _total % shards shards have one row more than the others
     small, more = F.floor(F.col("_total") / shards), F.col("_total") % shards
@@ -173,3 +189,17 @@ def hilbert_shards(
         F.lit(None).cast("int").alias("grown_shard"),
         "curve",
     )
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, dimensions: tuple[str, ...] = ("source", "lang", "size"), bits: int = BITS) -> None:
+    """``docs``, whose doc_id tell rows apart, as Parquet below ``path``: a folder shard=n for each shard, its rows in order of slot.
+
+    A shard is a compact region of the dimensions, so the minima and maxima in its files rule it out for most filters. A null doc_id, or one that
+    rows share, is an error, as its rows could not be told apart.
+    """
+    placed = materialize(hilbert_shards(docs, shards, dimensions, bits).select("doc_id", "shard", "slot"))
+    unclear = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
+    if not unclear.isEmpty():
+        raise ValueError("rows without a doc_id of their own cannot be written to shards")
+    joined = docs.drop("shard", "slot").withColumn("doc_id", F.col("doc_id").cast("long")).join(placed, "doc_id")
+    joined.repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)

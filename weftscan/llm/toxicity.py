@@ -234,14 +234,15 @@ def train(
     e_value: float = 0.1,
     tail: float = 1e-4,
     least_segments: int = 50,
+    model_features: int = 2_000_000,
 ) -> ToxicityModel:
     """Fit on ``labelled`` (doc_id, text, toxic 0 or 1), whose number of rows the caller bounds.
 
     Three quarters of the rows, by a hash of doc_id, give token counts; the others fit the law and the
     curve. lambda comes from the scores of clean tokens, to which a share ``tail`` of positive ones is added as a prior, and K from the number of
     segments in the highest twentieth of clean rows; below ``least_segments`` of them K is ``k``. The driver receives
-    histograms summed over all rows, and a number for each row. The model keeps all tokens and stems that tell something beyond their prior;
-    the rows bound what is sent to workers. Without rows of both classes every text scores
+    histograms summed over all rows, and a number for each row. The model keeps all tokens and stems that tell something beyond their prior,
+    at most ``model_features`` of them (about 100 bytes each, so 200 MB where it is sent): if there are more, those that tell most. Without rows of both classes every text scores
     below ``cut_score``.
     """
     part = F.pmod(F.xxhash64("doc_id"), F.lit(4))
@@ -254,6 +255,9 @@ def train(
     gain = F.col("n1") * F.log(share / parent) + F.col("n0") * F.log((1 - share) / (1 - parent))
     odds = F.log(share / (1 - share)) - F.lit(math.log(base / (1 - base)))
     told = _shares(counts, base, prior).select("feature", odds.alias("odds"), gain.alias("gain")).where(F.col("gain") >= 1.0)
+    told = materialize(told)
+    if told.count() > model_features:
+        told = told.orderBy(F.desc("gain"), "feature").limit(model_features)
     top = told.select("feature", "odds").collect()
     model = ToxicityModel({r.feature: max(-clip, min(clip, r.odds)) - drift for r in top}, -drift, 1.0, k, 1.0, math.log(cut_score / (1 - cut_score)) - 3.0)
     held = known.where(part == 0)
@@ -359,8 +363,11 @@ def held_out(doc_id: Column) -> Column:
 def train_on_labels(docs: DataFrame, labels: DataFrame, label_rows: int = 40_000, **options) -> ToxicityModel:
     """``train`` on the labels of ``docs`` that are not held out, at most ``label_rows`` of them: those with the smallest hashes.
 
-    The bound makes the labels small enough to send to every task, so texts are read where they are.
+    The bound makes the labels small enough to send to every task, so texts are read where they are. Of rows that share a
+    doc_id one text is learned from, the least, so the bound holds for rows as well.
     """
     known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = materialize(known.orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(label_rows))
-    return train(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), **options)
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    once = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return train(materialize(once.select("doc_id", "text", "toxic")), **options)
