@@ -15,7 +15,7 @@ import struct
 from collections.abc import Callable, Iterable
 
 #: Entries of one generation of a memo, about 200 bytes each; a worker holds two generations.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 500_000
 #: Longer chunks are encoded each time they occur.
 MEMO_CHUNK_CHARS = 64
 
