@@ -111,8 +111,11 @@ class ChunkEncoder:
                 del memo[c]
 
 
+_PACKS = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
 def pack_ids(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _PACKS[len(ids)](*ids) if len(ids) < len(_PACKS) else struct.pack(f"<{len(ids)}I", *ids)
 
 
 def byte_alphabet() -> list[str]:
