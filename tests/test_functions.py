@@ -159,9 +159,38 @@ def test_values_are_capped_shortest_first():
     import json
 
     nodes = html.jsonld([json.dumps({"@type": "T", "a": "x" * 4000, "b": "y" * 200, "c": "z"})], "")
+    assert html.afford(nodes, 4096) == (2, 3)
     assert set(nodes[0]["vals"]) == {"b", "c"} and nodes[0]["fields"] == ["a", "b", "c"]
 
 
+def test_every_cut_is_marked_and_can_be_lifted():
+    import json
+
+    script = json.dumps({"@type": "T", "a": "x" * 4000, "b": "y" * 200, "c": "z"})
+    page = lambda days: f"<body><script type='application/ld+json'>{script}</script>" + "".join(f"<p>{d + 1} May {1990 + d}</p>" for d in range(days)) + "</body>"
+    cut, whole = html.parse_page(page(21), "https://a.test/"), html.parse_page(page(21), "https://a.test/", whole=True)
+    assert cut["truncated"] == ["dates: 20 of 21", "values: 2 of 3"] and len(cut["visible_dates"]) == 20 and {k for k, _ in cut["nodes"][0]["vals"]} == {"b", "c"}
+    assert whole["truncated"] == [] and len(whole["visible_dates"]) == 21 and {k for k, _ in whole["nodes"][0]["vals"]} == {"a", "b", "c"}
+    assert html.parse_page(page(20), "https://a.test/")["truncated"] == ["values: 2 of 3"]
+
+
+@pytest.mark.parametrize(
+    ("written", "days"),
+    [
+        ("3rd May, 2020 and May 4th 2021", ["2020-05-03", "2021-05-04"]), ("on 2020/1/9, 12.11.2019, 11/13/2018 and 13/11/2017", ["2020-01-09", "2019-11-12", "2018-11-13", "2017-11-13"]), ("31 February 2020, 1.2.3.2020, Sept. 5, 2022", ["2022-09-05"]),
+        ("2020-02-30 2020-02-28 2020-02-28", ["2020-02-28"]), ("0/5/2024 45 May 2020 5 Mayor 2020", []), ("5 DEC. 1999", ["1999-12-05"]),
+    ],
+)
+def test_written_dates(written, days):
+    assert html.shown_dates(written, []) == days
+
+
+def test_excerpts_end_before_a_word(spark):
+    rows = spark.createDataFrame([("a b\n c", 5), ("word and more", 8), ("unbroken", 4), (" \n ", 3), (None, 3)], "t string, n int")
+    got = [rows.where(f"n = {n}").select(html.excerpt(F.col("t"), n)).first()[0] for n in (5, 8, 4)]
+    assert got == ["a b c", "word", "unbr"]
+
+
 def test_parse_pages_once_in_arrow(spark):
     df = html.page_evidence(html.parse_pages(spark.createDataFrame([(1, "https://a.test/blog/x", PAGE), (2, None, None)], "page_id long, url string, html string")))
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -6,8 +6,9 @@ import random
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from weftscan.functions import urls
+from weftscan.functions import robots, urls
 from weftscan.operators import graph, probes, sampling, shapes
+from weftscan.plans import catalogue
 from weftscan.streaming import landing
 
 
@@ -92,6 +93,8 @@ def test_probes(spark):
     assert rows_of(targets) == [("s", "h", 0), ("s", "q", 1)]
     closed = spark.createDataFrame([("s", "h", "B", False)], "site_id string, url string, agent string, allowed boolean")
     assert rows_of(probes.probe_plan(targets, ["A", "B"], closed)) == [("s", "h", "A"), ("s", "q", "A"), ("s", "q", "B")]
+    assert rows_of(probes.probe_plan(targets, ["A", "B"], closed, 2)) == [("s", "h", "A"), ("s", "q", "A")] and probes.probe_plan(targets, ["A", "B"], closed, None).count() == 3
+    assert rows_of(probes.probe_cuts(targets, ["A", "B"], closed, 2)) == [("s", "probe", 2, 3)] and probes.probe_cuts(targets, ["A", "B"], closed).count() == 0
     tries = spark.createDataFrame([("s", "u", 1, "ab"), ("s", "u", 2, "xy"), ("s", "v", 1, "a"), ("s", "v", 2, "bcd")], "site_id string, url string, attempt int, html string")
     assert rows_of(probes.best_render(tries)) == [("s", "u", 1, "ab"), ("s", "v", 2, "bcd")]
     assert len(spark.range(1).select(probes.probe_path(F.lit("a.test"), 1)).first()[0]) == 17
@@ -120,3 +123,69 @@ def test_scans_read_only_what_is_needed(spark):
     assert "ReadSchema: struct<user_id:bigint,event_type:string>" in plan
     plan = q["page_strata"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<url:string>" in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_page_links_counts_every_edge(spark, tmp_path):
+    links = "".join(f"<a href='/p{k}'>x</a>" for k in range(5001))
+    rows = [(1, "https://a.test/", f"<body>{links}</body>"), (2, "https://a.test/p1", "<body><a href='/p2'>x</a><a href='/p2'>y</a></body>"), (3, "https://b.test/", "<body><a href='/p1'>x</a></body>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert rows_of(catalogue.page_links(spark, str(tmp_path))) == [("a.test", 5002, 2, 5001), ("b.test", 1, 1, 1)]
+
+
+def _medians(values):
+    import statistics
+
+    return {k: statistics.median(v) if v else None for k, v in values.items()}
+
+
+def test_exact_medians_of_groups_of_any_size(spark):
+    rng = random.Random(11)
+    values = {
+        "hot": [round(rng.expovariate(0.01), 2) for _ in range(3001)], "even": [float(v) for v in range(1000)], "equal": [7.5] * 900, "two": [1.0] * 450 + [2.0] * 450, "wide": [10.0 ** rng.randrange(-300, 300) for _ in range(700)],
+        "near": [0.1 + k * 2**-56 for k in range(500)], "huge": [1.7e308, -1.7e308] * 200 + [5.0] * 3, "ends": [float("inf")] * 120 + [float("-inf")] * 120 + [1.0, 2.0], "small": [3.0, 1.0], "none": [],
+    }
+    rows = [(k, v) for k, vs in values.items() for v in vs] + [("none", None), ("hot", None)] + [(None, float(k)) for k in range(999)]
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "k string, v double")
+    want = _medians(values) | {None: 499.0}
+    for held, buckets in ((20, 64), (100, 512), (10**6, 8)):
+        got = {r.k: r.median for r in shapes.exact_median(table, ["k"], F.col("v"), held, buckets).collect()}
+        assert got == want, (held, buckets)
+    verdicts = {r.k: (r.n, r.median, r.over, r.verdict) for r in shapes.median_against(table, ["k"], F.col("v"), 6.0, 5, held=20).collect()}
+    assert verdicts["equal"] == (900, 7.5, 900, "above") and verdicts["none"] == (0, None, 0, "not_assessed") and verdicts[None][:2] == (999, 499.0)
+    assert shapes.exact_median(table.where("false"), ["k"], F.col("v")).count() == 0
+
+
+def test_greedy_picks_equal_the_greedy_order(spark):
+    rng = random.Random(12)
+    for limit in (None, 1, 7, 40):
+        rows = [(g, f"u{k}", rng.choice("abcde"[: g + 2]), rng.choice(["", "x", "y", "z"][: g + 1]), rng.randrange(1000) * 100 + k) for g in range(4) for k in range(rng.randrange(1, 60))]
+        table = spark.createDataFrame(rows, "g int, url string, kind string, section string, key int")
+        got = {}
+        for r in sampling.greedy_picks(table, ["g"], "kind", ["section"], [F.col("key")], limit).orderBy("g", "pick").collect():
+            got.setdefault(r.g, []).append(r.url)
+        assert got == {g: sampling.greedy_order([(u, k, s, key) for h, u, k, s, key in rows if h == g], limit) for g in {r[0] for r in rows}}
+
+
+def test_samples_cut_groups_before_they_are_dealt_out(spark, capsys):
+    table = spark.createDataFrame([(1, "u", "a", "s", 1)], "g int, url string, kind string, section string, key int")
+    for df in (sampling.greedy_picks(table, ["g"], "kind", ["section"], [F.col("key")], 5), sampling.round_robin(table, ["kind"], ["section"], [F.col("key")], 5)):
+        capsys.readouterr()
+        df.explain()
+        plan = capsys.readouterr().out
+        assert plan.count("WindowGroupLimit") >= 3 and "Python" not in plan and "Pandas" not in plan
+
+
+def test_rules_that_apply_are_found_by_their_prefixes(spark):
+    rng = random.Random(13)
+    piece = lambda: rng.choice(["/", "a", "b", "*", "$", "%2b", "%2B", "é", "?q=", ".php", "[x]", "/a"])
+    rules = [(f"s{k % 3}", rng.choice(["x", "y"]), rng.random() < 0.5, "/" * rng.randrange(2) + "".join(piece() for _ in range(rng.randrange(0, 5)))) for k in range(200)] + [("s0", "x", True, None), ("s0", "x", True, "")]
+    paths = [(f"s{k % 4}", "/" + "".join(piece() for _ in range(rng.randrange(0, 6))).replace("*", "c")) for k in range(150)] + [("s1", "/robots.txt"), ("s0", None)]
+    r = spark.createDataFrame(rules, "site_id string, agent string, allow boolean, pattern string")
+    p = spark.createDataFrame(paths, "site_id string, path string").distinct()
+    got = rows_of(robots.applying(p, r).select("site_id", "agent", "path", "allow", "pattern"))
+    want = rows_of(p.join(r.distinct(), "site_id").where(robots.matches(F.col("path"), F.col("pattern"))).select("site_id", "agent", "path", "allow", "pattern"))
+    assert got == want and len(got) > 100
+    decided = robots.decide(p, r)
+    assert decided.count() == p.join(r.select("site_id", "agent").distinct(), "site_id").count()
+    assert {d.allowed for d in decided.where("path = '/robots.txt'").collect()} == {True}

@@ -92,7 +92,7 @@ def test_failing_rule_is_not_assessed(spark, monkeypatch):
 
 
 def test_severity_table(spark):
-    rows = catalogue.severity_table(spark, "").collect()
+    rows = catalogue.severity_table(spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 324
     assert {(r.status, r.confidence) for r in rows if r.severity == "critical"} == {("found", "high"), ("risk", "high")}
     assert all(r.impossible == (r.status == "risk" and r.severity == "critical") for r in rows)

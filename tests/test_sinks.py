@@ -55,3 +55,16 @@ def test_crawl_rows_without_a_match(spark):
     assert {(r.site_id, r.url): r.fetched_at for r in crawl.fetched_at(asked, pages, sites).collect()} == {("a", "u"): "t1", ("a", "v"): "t1", ("a", "none"): "t0", ("b", "u"): "t0", ("e", "u"): None}
     nothing = spark.createDataFrame([], "site_id string, url string, source string, allowed boolean")
     assert {tuple(r)[1:] for r in crawl.counters(sites, nothing, pages.where("false"), pages.where("false")).collect()} == {(0, 0, 0, 0, "stratified:none")}
+
+
+def test_texts_by_hash_are_joined_where_they_lie(spark, capsys):
+    pages = spark.createDataFrame([(k, f"text {k % 40}" if k % 7 else None) for k in range(300)], "page_seq int, text string")
+    sinks.save_texts(pages, "page_texts_by_hash", 8)
+    asked = pages.withColumn("raw_hash", F.sha2(F.col("text").cast("binary"), 256)).select("page_seq", "raw_hash")
+    joined = sinks.with_texts(asked, "page_texts_by_hash", "raw_hash", "raw_text")
+    assert sorted((r.page_seq, r.raw_text or "") for r in joined.collect()) == sorted((r.page_seq, r.text or "") for r in pages.collect())
+    capsys.readouterr()
+    joined.explain()
+    plan = capsys.readouterr().out.split("+- == Initial Plan ==")[-1]
+    assert plan.count("Exchange") == 1 and "SortMergeJoin" in plan
+    spark.sql("DROP TABLE page_texts_by_hash")

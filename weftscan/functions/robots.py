@@ -111,15 +111,40 @@ def governing_rules(groups: DataFrame, agents: DataFrame) -> DataFrame:
     return both.select("site_id", "agent", "named", F.explode_outer("rules").alias("r")).select("site_id", "agent", "named", "r.allow", "r.pattern")
 
 
+def literal_prefix(pattern: Column) -> Column:
+    """What every path that a normal pattern applies to begins with: the pattern up to its first wildcard or final anchor."""
+    return F.regexp_replace(F.substring_index(pattern, "*", 1), r"\$\z", "")
+
+
+def applying(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """(site_id, agent, path, allow, pattern, normal) for each rule that applies to a path of its site and agent.
+
+    ``paths`` has (site_id, path), ``rules`` (site_id, agent, allow, pattern). Rules are kept by their literal prefixes, as the nodes of a trie
+    are; a path looks up only those of its own prefixes that are as long as some rule's prefix at its site, so it meets the rules
+    on its way and no others. What follows a wildcard is then verified. A rule with a wildcard in front is on every path's way.
+    """
+    normal = normal_pattern(F.regexp_replace("pattern", r"\$\z", ""))
+    held = rules.where("pattern <> ''").withColumn("normal", F.concat(normal, F.when(F.col("pattern").endswith("$"), "$").otherwise("")))
+    held = held.select("site_id", "agent", "allow", "pattern", "normal", literal_prefix(F.col("normal")).alias("prefix")).distinct()
+    lengths = held.groupBy("site_id").agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    known = paths.select("site_id", "path", normal_pattern(F.col("path")).alias("told")).join(lengths, "site_id")
+    way = F.transform(F.filter("lengths", lambda n: n <= F.length("told")), lambda n: F.substring(F.col("told"), F.lit(1), n))
+    met = known.select("site_id", "path", "told", F.explode(way).alias("prefix")).join(held, ["site_id", "prefix"])
+    wild, anchored = F.col("normal").contains("*"), F.col("normal").endswith("$")
+    fits = F.when(wild, matches(F.col("path"), F.col("pattern"))).when(anchored, F.col("told") == F.col("prefix")).otherwise(True)
+    return met.where(fits).select("site_id", "agent", "path", "allow", "pattern", "normal")
+
+
 def decide(paths: DataFrame, rules: DataFrame, octets: bool = True) -> DataFrame:
     """(site_id, agent, path, allowed): the longest matching rule wins, allow on a tie, and no match allows.
 
     ``paths`` has (site_id, path); ``rules`` are those of ``governing_rules``. Every agent with governing groups is
     asked about every path of its site.
     """
-    asked = paths.select("site_id", "path").distinct().join(rules.select("site_id", "agent").distinct(), "site_id")
-    length = F.octet_length(normal_pattern(F.col("pattern"))) if octets else F.length("pattern")
-    hit = asked.join(rules.where("pattern <> ''"), ["site_id", "agent"]).where(matches(F.col("path"), F.col("pattern")))
+    places = paths.select("site_id", "path").distinct()
+    asked = places.join(rules.select("site_id", "agent").distinct(), "site_id")
+    length = F.octet_length(F.col("normal")) if octets else F.length("pattern")
+    hit = applying(places, rules)
     best = hit.groupBy("site_id", "agent", "path").agg(F.max_by("allow", F.struct(length.alias("n"), F.col("allow").alias("a"))).alias("best"))
     joined = asked.join(best, ["site_id", "agent", "path"], "left")
     return joined.select("site_id", "agent", "path", ((F.col("path") == "/robots.txt") | F.coalesce("best", F.lit(True))).alias("allowed"))

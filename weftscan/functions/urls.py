@@ -107,8 +107,8 @@ def registrable_domain(host_name: Column) -> Column:
 def twin_netloc(value: Column) -> Column:
     """``www.`` added or removed; null for IPs and single labels."""
     name = F.substring_index(value, ":", 1)
-    port = F.substring(value, F.length(name) + 1, 10)
-    twin = F.when(name.startswith("www."), F.substring(name, 5, 255)).otherwise(F.concat(F.lit("www."), name))
+    port = F.substring(value, F.length(name) + 1, F.length(value))
+    twin = F.when(name.startswith("www."), F.substring(name, F.lit(5), F.length(name))).otherwise(F.concat(F.lit("www."), name))
     return F.when(~is_ip(name) & name.contains("."), F.concat(twin, port))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,22 +49,22 @@ def orphans(pages: DataFrame, edges: DataFrame) -> DataFrame:
     return pages.where("page_seq > 0").select("site_id", "url").join(reached, ["site_id", "url"], "left_anti")
 
 
-def depths(pages: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
+def depths(pages: DataFrame, edges: DataFrame) -> DataFrame:
     """(site_id, url, depth) of pages reached from the first page of each site, breadth first for all sites at once.
 
-    Each round is a join of the last layer with the edges; what it finds is written to the shared folder.
+    Each round is a join of the last layer with the edges, until nothing new is found; what it finds is written to the shared folder.
     """
     members = pages.select("site_id", F.col("url").alias("dst")).distinct()
     inner = edges.join(members, ["site_id", "dst"], "left_semi").select("site_id", "src", "dst").distinct()
-    layer = pages.where("page_seq = 0").select("site_id", "url", F.lit(0).alias("depth"))
+    layer = pages.where("page_seq = 0").select("site_id", "url", F.lit(0).alias("depth")).distinct()
     seen = layer
-    for level in range(1, most + 1):
+    for level in itertools.count(1):
         near = layer.select("site_id", F.col("url").alias("src")).join(inner, ["site_id", "src"]).select("site_id", F.col("dst").alias("url")).distinct()
         layer = landed(near.join(seen.select("site_id", "url"), ["site_id", "url"], "left_anti").withColumn("depth", F.lit(level)))
         if layer.isEmpty():
-            break
-        seen = seen.unionByName(layer)
-    return seen
+            return seen
+        # many short layers would make a long plan
+        seen = seen.unionByName(layer) if level % 20 else landed(seen.unionByName(layer))
 
 
 def max_depth(pages: DataFrame, edges: DataFrame) -> DataFrame:

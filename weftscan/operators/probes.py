@@ -40,15 +40,26 @@ def probe_targets(pages: DataFrame) -> DataFrame:
     return home.unionByName(deep.withColumn("target_seq", F.lit(1)))
 
 
-def probe_plan(targets: DataFrame, agents: list[str], allowed: DataFrame) -> DataFrame:
-    """(site_id, url, agent) to request: each target under each identity that policy allows, at most sixteen for each site.
+def _free(targets: DataFrame, agents: list[str], allowed: DataFrame) -> DataFrame:
+    asked = targets.select("*", F.posexplode(F.array(*map(F.lit, agents))).alias("agent_seq", "agent"))
+    return asked.join(allowed.where("not allowed").select("site_id", "url", "agent"), ["site_id", "url", "agent"], "left_anti")
+
+
+def probe_plan(targets: DataFrame, agents: list[str], allowed: DataFrame, most: int | None = MOST_ROWS) -> DataFrame:
+    """(site_id, url, agent) to request: each target under each identity that policy allows, the first ``most`` of each site (None: all).
 
     ``allowed`` has (site_id, url, agent, allowed); identities without a row there are free to ask.
     """
-    asked = targets.select("*", F.posexplode(F.array(*map(F.lit, agents))).alias("agent_seq", "agent"))
-    free = asked.join(allowed.where("not allowed").select("site_id", "url", "agent"), ["site_id", "url", "agent"], "left_anti")
-    ranked = free.withColumn("k", F.row_number().over(Window.partitionBy("site_id").orderBy("target_seq", "agent_seq")))
-    return ranked.where(F.col("k") <= MOST_ROWS).select("site_id", "url", "agent")
+    free = _free(targets, agents, allowed)
+    if most is not None:
+        free = free.withColumn("k", F.row_number().over(Window.partitionBy("site_id").orderBy("target_seq", "agent_seq"))).where(F.col("k") <= most)
+    return free.select("site_id", "url", "agent")
+
+
+def probe_cuts(targets: DataFrame, agents: list[str], allowed: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+    """(site_id, what, kept, total) of sites whose plan of ``most`` requests leaves some out."""
+    counts = _free(targets, agents, allowed).groupBy("site_id").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") > most)
+    return counts.select("site_id", F.lit("probe").alias("what"), F.lit(most).alias("kept"), "total")
 
 
 def best_render(attempts: DataFrame) -> DataFrame:

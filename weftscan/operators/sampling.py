@@ -5,11 +5,11 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftscan.functions import urls
+from weftscan.operators import shapes
 
 
 def sample_key():
@@ -18,16 +18,22 @@ def sample_key():
     return [urls.query(u) != "", F.length(urls.path(u)) - F.length(F.replace(urls.path(u), F.lit("/"), F.lit(""))), F.length(u), u]
 
 
+def _within(rows: DataFrame, name: str, by: list[str], order: list, limit: int | None) -> DataFrame:
+    """``rows`` with their place in groups from 1 on; those beyond ``limit`` go, and Spark cuts them before it deals groups out."""
+    numbered = rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return numbered if limit is None else numbered.where(F.col(name) <= limit)
+
+
 def round_robin(rows: DataFrame, strata: list[str], sections: list[str], order: list, limit: int | None = None, group: list[str] | None = None) -> DataFrame:
     """Rows in turns: one of each stratum, in it one of each section, in a section by ``order``; pick is the place in a group.
 
-    A window form of stratified sampling for any number of rows. It deals evenly but does not weigh what is left of a stratum.
+    It deals evenly but does not weigh what is left of a stratum. A row among the first of its group is among as many first ones of
+    its stratum and of its section, so with a limit each step leaves no more than that of a group.
     """
     group = group or []
-    inside = rows.withColumn("_a", F.row_number().over(Window.partitionBy(*group, *strata, *sections).orderBy(*order)))
-    turn = inside.withColumn("_b", F.row_number().over(Window.partitionBy(*group, *strata).orderBy("_a", *sections)))
-    ranked = turn.withColumn("pick", F.row_number().over(Window.partitionBy(*group).orderBy("_b", *strata)))
-    return (ranked if limit is None else ranked.where(F.col("pick") <= limit)).drop("_a", "_b")
+    inside = _within(rows, "_a", [*group, *strata, *sections], order, limit)
+    turn = _within(inside, "_b", [*group, *strata], ["_a", *sections], limit)
+    return _within(turn, "pick", group, ["_b", *strata], limit).drop("_a", "_b")
 
 
 def greedy_order(rows: list[tuple], limit: int | None = None) -> list[str]:
@@ -59,31 +65,28 @@ def greedy_order(rows: list[tuple], limit: int | None = None) -> list[str]:
     return out
 
 
-def greedy_sample(frontier: DataFrame, limit: int) -> DataFrame:
-    """(site_id, url, page_type, pick): the exact greedy sample of ``limit`` addresses of each site.
+def greedy_picks(rows: DataFrame, group: list[str], stratum: str, sections: list[str], order: list[Column], limit: int | None = None) -> DataFrame:
+    """``rows`` with pick, the place of ``greedy_order`` in each group, for groups of any size; with a limit only so many.
 
-    ``frontier`` has site_id and url. Only what can be picked goes to Python: of each section, its first ``limit`` addresses,
-    and the sizes of strata and sections. A site is one group there.
+    A stratum is filled in rounds: in round t each stratum with more than t rows gives one, those with most left first. All of them have given
+    t by then, so most left is most rows, and what a stratum gives when follows from the numbers of rows alone. The same
+    holds for sections in a stratum. Sizes are counted by partial aggregation; of the rows themselves only the first ``limit`` of a
+    section, a stratum and a group go on. Rows that ``order`` does not tell apart are picked in any order.
     """
+    cell = [*group, stratum, *sections]
+    sizes = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_in_section"))
+    strata = sizes.groupBy(*group, stratum).agg(F.sum("_in_section").alias("_in_stratum"))
+    inside = _within(rows, "_j", cell, order, limit)
+    inside = shapes.met(inside, shapes.met(sizes, strata, [*group, stratum]), cell)
+    turn = _within(inside, "_t", [*group, stratum], ["_j", F.desc("_in_section"), *sections], limit)
+    return _within(turn, "pick", group, ["_t", F.desc("_in_stratum"), stratum], limit).drop("_j", "_t", "_in_section", "_in_stratum")
+
+
+def greedy_sample(frontier: DataFrame, limit: int) -> DataFrame:
+    """(site_id, url, page_type, pick): the exact greedy sample of ``limit`` addresses of each site of ``frontier`` (site_id, url)."""
     typed = frontier.select("site_id", "url", urls.page_type(F.col("url"))["page_type"].alias("page_type"), urls.section_of(F.col("url")).alias("s"))
     keyed = typed.select("site_id", "url", "page_type", F.lower("s.section").alias("section"), F.col("s.depth").alias("depth"))
-    cell = Window.partitionBy("site_id", "page_type", "section", "depth")
-    ranked = keyed.withColumn("k", F.row_number().over(cell.orderBy(*sample_key()))).where(F.col("k") <= limit)
-    sizes = keyed.groupBy("site_id", "page_type", "section", "depth").agg(F.count(F.lit(1)).alias("size"))
-    sent = ranked.join(sizes, ["site_id", "page_type", "section", "depth"])
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for r in pdf.rename(columns={"size": "left"}).sort_values("k").itertuples():
-            rows.append((r.url, r.page_type, (r.section, r.depth), r.k))
-            if r.k == limit:
-                # what is beyond the limit is never picked but counts as left
-                rows += [("", r.page_type, (r.section, r.depth), limit + j) for j in range(1, r.left - limit + 1)]
-        kinds = dict(zip(pdf["url"], pdf["page_type"], strict=True))
-        order = greedy_order(rows, limit)
-        return pd.DataFrame({"site_id": pdf["site_id"].iloc[0], "url": order, "page_type": [kinds[u] for u in order], "pick": range(1, len(order) + 1)})
-
-    return sent.groupBy("site_id").applyInPandas(pick, "site_id string, url string, page_type string, pick int")
+    return greedy_picks(keyed, ["site_id"], "page_type", ["section", "depth"], sample_key(), limit).select("site_id", "url", "page_type", "pick")
 
 
 def render_order(pages: DataFrame) -> DataFrame:

@@ -87,17 +87,24 @@ def observations(pages: DataFrame) -> DataFrame:
     return clean.where((F.col("value_normalized") != "") & (F.length("value_raw") <= 200))
 
 
-def candidates(observed: DataFrame, cap: int = 200) -> DataFrame:
+def _first(rows: DataFrame, order: list, limit: int | None, beyond: str) -> DataFrame:
+    """``rows`` of each site numbered by ``order`` (seq), the first ``limit`` of them (None: all), and in the column ``beyond`` how many more there are."""
+    ranked = rows.withColumn("seq", F.row_number().over(Window.partitionBy("site_id").orderBy(*order)))
+    if limit is None:
+        return ranked.withColumn(beyond, F.lit(0).cast("long"))
+    more = rows.groupBy("site_id").agg(F.greatest(F.count(F.lit(1)) - limit, F.lit(0).cast("long")).alias(beyond))
+    return ranked.where(F.col("seq") <= limit).join(more, "site_id")
+
+
+def candidates(observed: DataFrame, cap: int | None = 200) -> DataFrame:
     """One row for each site, kind and value: where it was first seen, how often, and an id in order of kind and count.
 
-    At most ``cap`` rows for each site; the column dropped says how many there were beyond.
+    At most ``cap`` rows for each site (None: all); the column dropped says how many there were beyond.
     """
     first = F.min(F.struct("page_seq", "step", "at", "value_raw", "source_url", "locator", "extraction_method"))
     grouped = observed.groupBy("site_id", "kind", "value_normalized").agg(F.count(F.lit(1)).alias("observed_count"), first.alias("f"))
-    site = Window.partitionBy("site_id")
-    ranked = grouped.withColumn("seq", F.row_number().over(site.orderBy("kind", F.desc("observed_count"), "value_normalized"))).withColumn("n", F.count(F.lit(1)).over(site))
-    return ranked.where(F.col("seq") <= cap).select(
-        "site_id", "seq", F.format_string("CC-%03d", "seq").alias("id"), "kind", "f.value_raw", "value_normalized", "f.source_url", "f.locator", "f.extraction_method", "observed_count", F.greatest(F.col("n") - cap, F.lit(0)).alias("dropped")
+    return _first(grouped, ["kind", F.desc("observed_count"), "value_normalized"], cap, "dropped").select(
+        "site_id", "seq", F.format_string("CC-%03d", "seq").alias("id"), "kind", "f.value_raw", "value_normalized", "f.source_url", "f.locator", "f.extraction_method", "observed_count", "dropped"
     )
 
 
@@ -108,8 +115,8 @@ def ambiguity(kind: Column, value: Column) -> Column:
     return F.when(kind != "legal_name", "low").when((F.size(words) == 0) | (lone & (F.length(F.get(words, F.lit(0))) <= 5)), "high").when(lone, "medium").otherwise("low")
 
 
-def promote(found: DataFrame, limit: int = 12) -> DataFrame:
-    """Claims worth checking: at most ``limit`` for each site, legal names first, marked-up ones before others."""
+def promote(found: DataFrame, limit: int | None = 12) -> DataFrame:
+    """Claims worth checking, legal names first, marked-up ones before others: the first ``limit`` of each site (None: all); beyond says how many more there are."""
     kept = found.where(F.col("kind").isin(CORROBORABLE))
     marked = F.col("extraction_method") == "jsonld"
     grouped = kept.groupBy("site_id", "kind", "value_normalized").agg(F.bool_or(marked).alias("marked"), F.sum("observed_count").alias("total"), F.array_sort(F.collect_set("id")).alias("from_candidates"))
@@ -117,10 +124,9 @@ def promote(found: DataFrame, limit: int = 12) -> DataFrame:
     confidence = (
         F.when((F.col("kind") == "founded_year") & ~F.col("marked"), "low").when(F.col("marked") & repeated, "high").when(F.col("marked") | repeated, "medium").otherwise("low")
     )
-    order = Window.partitionBy("site_id").orderBy(F.col("kind") != "legal_name", ~F.col("marked"), F.desc("total"), "kind", "value_normalized")
-    ranked = grouped.withColumn("seq", F.row_number().over(order)).where(F.col("seq") <= limit)
-    return ranked.select(
-        "site_id", "seq", F.format_string("C-%03d", "seq").alias("id"), "from_candidates", "kind", F.col("value_normalized").alias("value"), confidence.alias("confidence"), ambiguity(F.col("kind"), F.col("value_normalized")).alias("ambiguity")
+    order = [F.col("kind") != "legal_name", ~F.col("marked"), F.desc("total"), "kind", "value_normalized"]
+    return _first(grouped, order, limit, "beyond").select(
+        "site_id", "seq", F.format_string("C-%03d", "seq").alias("id"), "from_candidates", "kind", F.col("value_normalized").alias("value"), confidence.alias("confidence"), ambiguity(F.col("kind"), F.col("value_normalized")).alias("ambiguity"), "beyond"
     )
 
 
@@ -151,17 +157,15 @@ def origin_type(domain: Column) -> Column:
     return kind.when(press & words, "news").otherwise("directory")
 
 
-def external_hits(claims: DataFrame, documents: DataFrame, cap: int = 60) -> DataFrame:
-    """Landed third-party ``documents`` (site_id, origin, url, text) against ``claims``: what each says, at most ``cap`` a site.
+def external_hits(claims: DataFrame, documents: DataFrame, cap: int | None = 60) -> DataFrame:
+    """Landed third-party ``documents`` (site_id, origin, url, text) against ``claims``: what each says, the first ``cap`` of a site (None: all).
 
-    truncated says that the site has more. A join on site_id; documents of a site are few by the way they are landed.
+    beyond says how many more there are. A join on site_id; documents of a site are few by the way they are landed.
     """
     joined = claims.join(documents, "site_id")
     said = F.substring(one_line(window_around(F.col("text"), F.col("value"))), 1, 400)
     hits = joined.select("site_id", F.col("id").alias("claim_id"), "origin", "url", said.alias("asserted"), asserts(F.col("text"), F.col("kind"), F.col("value")).alias("matches")).where("asserted <> ''")
-    site = Window.partitionBy("site_id")
-    ranked = hits.withColumn("seq", F.row_number().over(site.orderBy("claim_id", "origin", "url"))).withColumn("truncated", F.count(F.lit(1)).over(site) > cap)
-    return ranked.where(F.col("seq") <= cap)
+    return _first(hits, ["claim_id", "origin", "url"], cap, "beyond")
 
 
 def structured_hits(claims: DataFrame, entities: DataFrame) -> DataFrame:
@@ -178,11 +182,10 @@ def structured_hits(claims: DataFrame, entities: DataFrame) -> DataFrame:
     return joined.where(said.isNotNull() & (said != "")).select("site_id", F.col("id").alias("claim_id"), F.lit("wikidata.org").alias("origin"), "url", said.alias("asserted"), matches.alias("matches"))
 
 
-def declared_profiles(pages: DataFrame, limit: int = 8) -> DataFrame:
-    """(site_id, seq, profile): the first distinct absolute addresses in sameAs over a site's pages."""
+def declared_profiles(pages: DataFrame, limit: int | None = 8) -> DataFrame:
+    """(site_id, seq, profile, beyond): the first distinct absolute addresses in sameAs over a site's pages (None: all), and how many more there are."""
     nodes = pages.select("site_id", "page_seq", F.posexplode("nodes").alias("i", "x"))
     same = nodes.select("site_id", "page_seq", "i", F.explode(F.map_entries("x.vals")).alias("e")).where(F.regexp_replace("e.key", r"\..*$", "") == "sameAs")
     each = same.select("site_id", "page_seq", "i", F.posexplode(F.split("e.value", r" \| ")).alias("j", "p")).select("site_id", "page_seq", "i", "j", F.trim("p").alias("profile"))
     first = each.where(F.col("profile").rlike(r"(?i)^https?://")).groupBy("site_id", "profile").agg(F.min(F.struct("page_seq", "i", "j")).alias("at"))
-    ranked = first.withColumn("seq", F.row_number().over(Window.partitionBy("site_id").orderBy("at")))
-    return ranked.where(F.col("seq") <= limit).select("site_id", "seq", "profile")
+    return _first(first, ["at"], limit, "beyond").select("site_id", "seq", "profile", "beyond")

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
+from datetime import UTC, datetime
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +35,14 @@ NEEDS = {
 }
 
 
+#: Words of reports that a reader may not know.
+GLOSSARY = {
+    "canonical address": "the address that a page names as its proper one", "crawler": "a program that reads pages for a search engine or an assistant", "JSON-LD": "facts in a page's source, written for programs", "llms.txt": "a file that points assistants to a site's key pages",
+    "noindex": "a page's request to be left out of search results", "robots": "the file that says which programs may read which addresses", "sameAs": "the property that lists an organization's other profiles", "sitemap": "a file that lists a site's addresses",
+    "snippet": "the lines of a page that search results show",
+}
+
+
 def rank(value: Column, order: list[str]) -> Column:
     return F.array_position(F.array(*map(F.lit, order)), value)
 
@@ -75,11 +87,46 @@ def run_rules(ev: Evidence, only: Iterable[str] | None = None) -> DataFrame:
         try:
             parts.append(rule.judge(ev))
         except AnalysisException as error:
-            failed = R.judged(ev.sites, rule_id, F.lit(False), assessed=F.lit(False))
-            parts.append(failed.withColumn("detail", F.lit(f"the rule did not run: {str(error).splitlines()[0][:200]}")))
+            parts.append(_not_run(ev, rule_id, error))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _not_run(ev: Evidence, rule_id: str, error: Exception) -> DataFrame:
+    """Outcomes of a rule that could not be run: not assessed at any site, and why."""
+    why = (str(getattr(error, "java_exception", None) or error).splitlines() or [type(error).__name__])[0][:200]
+    return R.judged(ev.sites, rule_id, F.lit(False), assessed=F.lit(False)).withColumn("detail", F.lit(f"the rule did not run: {why}"))
+
+
+def run_rules_apart(ev: Evidence, only: Iterable[str] | None = None, at_once: int = 4) -> DataFrame:
+    """The outcomes of all rules, written; a rule that fails while it runs takes no other with it.
+
+    Each skill is a job of its own, ``at_once`` of them at a time. Where one fails, its rules are run again one by one, and those that fail
+    again are not assessed at every site, with the error as detail.
+    """
+    wanted = R.CATALOGUE if only is None else {k: R.CATALOGUE[k] for k in only}
+    skills: dict[str, list[str]] = {}
+    for rule_id, rule in wanted.items():
+        skills.setdefault(rule.skill, []).append(rule_id)
+
+    def attempt(ids: list[str]) -> DataFrame | Exception:
+        try:
+            return landed(reduce(DataFrame.unionByName, [wanted[k].judge(ev) for k in ids]))
+        except (PySparkException, Py4JJavaError) as error:
+            return error
+
+    def run(ids: list[str]) -> list[DataFrame]:
+        whole = attempt(ids)
+        if isinstance(whole, DataFrame):
+            return [whole]
+        each = {k: whole if len(ids) == 1 else attempt([k]) for k in ids}
+        return [rows if isinstance(rows, DataFrame) else _not_run(ev, k, rows) for k, rows in each.items()]
+
+    with ThreadPoolExecutor(at_once) as pool:
+        session = ev.sites.sparkSession
+        parts = [pool.submit(inheritable_thread_target(session)(run), ids) for ids in skills.values()]
+        return reduce(DataFrame.unionByName, [rows for part in parts for rows in part.result()])
+
+
 def rule_table(ev: Evidence) -> DataFrame:
     """The catalogue as rows; order is the order of registration."""
     rows = [(i, r.rule_id, r.skill, r.title, r.fix, r.status, r.blocking, r.effort, r.category, list(r.symptom)) for i, r in enumerate(R.CATALOGUE.values())]
@@ -146,7 +193,7 @@ def report_order(findings: DataFrame) -> DataFrame:
 
 def findings_of(ev: Evidence, outcomes: DataFrame | None = None) -> DataFrame:
     """All findings of all sites, derived, deduplicated, arbitrated and ordered; impossible combinations are left out."""
-    derived = derive(outcomes if outcomes is not None else landed(run_rules(ev)), rule_table(ev)).where("violation is null")
+    derived = derive(outcomes if outcomes is not None else run_rules_apart(ev), rule_table(ev)).where("violation is null")
     return report_order(arbitrate(deduplicate(derived)))
 
 
@@ -187,8 +234,13 @@ def references_of(ev: Evidence, findings: DataFrame) -> DataFrame:
     return listed.select("site_id", "position", F.transform("e", lambda r: r.dropFields("k")).alias("evidence"))
 
 
-def context_of(ev: Evidence, degradations: DataFrame) -> DataFrame:
-    """(site_id, run_context): when the audit began, what it could do, what it fetched, and what it lacks."""
+def context_of(ev: Evidence, degradations: DataFrame, completed_at: str | None = None) -> DataFrame:
+    """(site_id, run_context): when the audit began and ended and how long it took, what it could do, what it fetched, and what it lacks.
+
+    Without ``completed_at`` it ended now; a start that is no time gives no elapsed seconds.
+    """
+    ended = completed_at or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    seconds = F.lit(ended).try_cast("timestamp").cast("long") - F.col("started_at").try_cast("timestamp").cast("long")
     counts = ev.pages.groupBy("site_id").agg(F.count(F.lit(1)).alias("fetched"), F.count_if(~R.is_2xx(F.col("status"))).alias("errors"))
     lacks = degradations.groupBy("site_id").agg(F.array_sort(F.collect_set(F.struct("what", "reason"))).alias("lacks"))
     rows = ev.sites.join(counts, "site_id", "left").join(lacks, "site_id", "left")
@@ -196,18 +248,18 @@ def context_of(ev: Evidence, degradations: DataFrame) -> DataFrame:
     return rows.select(
         "site_id",
         F.struct(
-            "started_at", "js_render", "egress", F.col("attempted").alias("corroborated"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("fetched", "errors")], F.coalesce("lacks", none).alias("degradations")
+            "started_at", F.lit(ended).alias("completed_at"), seconds.alias("elapsed_s"), "js_render", "egress", F.col("attempted").alias("corroborated"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("fetched", "errors")], F.coalesce("lacks", none).alias("degradations")
         ).alias("run_context"),
     )
 
 
-def assemble(ev: Evidence, degradations: DataFrame | None = None) -> DataFrame:
+def assemble(ev: Evidence, degradations: DataFrame | None = None, completed_at: str | None = None) -> DataFrame:
     """One report row for each site: summary, ordered findings with their evidence, passed and not assessed rules, run context.
 
     ``degradations`` (site_id, what, reason) is what the evidence lacks. A finding that an impossible combination
     withholds, and a rule that did not run, are added to it.
     """
-    outcomes = landed(run_rules(ev))
+    outcomes = run_rules_apart(ev)
     facts = rule_table(ev)
     derived = derive(outcomes, facts)
     findings = landed(report_order(arbitrate(deduplicate(derived.where("violation is null")))))
@@ -227,7 +279,7 @@ def assemble(ev: Evidence, degradations: DataFrame | None = None) -> DataFrame:
     lacks = reduce(DataFrame.unionByName, own if degradations is None else [degradations.select("site_id", "what", "reason"), *own])
     host = F.regexp_replace(F.regexp_extract("origin", r"^[a-z]+://([^/:]*)", 1), r"^www\.", "")
     base = ev.sites.select("site_id", host.alias("site"), F.col("started_at").alias("audited_at"))
-    rows = base.join(summary_of(ev, findings), "site_id").join(context_of(ev, lacks), "site_id")
+    rows = base.join(summary_of(ev, findings), "site_id").join(context_of(ev, lacks, completed_at), "site_id")
     for part in (listed, passed, open_, withheld):
         rows = rows.join(part, "site_id", "left")
         name = part.columns[1]
@@ -291,7 +343,15 @@ def markdown(reports: DataFrame) -> DataFrame:
         F.lit("\n## What this audit lacks\n"),
         F.when(F.size("run_context.degradations") == 0, F.lit("Nothing known.")).otherwise(F.concat_ws("\n", F.transform("run_context.degradations", lambda d: F.concat(F.lit("- "), d["what"], F.lit(": "), line(d["reason"]))))),
     )
-    return reports.select("site_id", text.alias("report"))
+    terms = F.array(*[F.struct(F.lit(k).alias("term"), F.lit(f"- {k}: {v}").alias("line")) for k, v in GLOSSARY.items()])
+    said = reports.select("site_id", text.alias("report"))
+    met = F.transform(F.filter(terms, lambda t: F.lower("report").contains(F.lower(t["term"]))), lambda t: t["line"])
+    return said.withColumn("report", F.when(F.size(met) > 0, F.concat("report", F.lit("\n\n## Terms\n\n"), F.concat_ws("\n", met))).otherwise(F.col("report")))
+
+
+def page_rows(ev: Evidence) -> DataFrame:
+    """The pages that an audit read, a row each: address, answer, type, sizes of text before and after scripts, words and time to the first byte."""
+    return ev.pages.select("site_id", "page_seq", "url", "status", "page_type", F.col("raw_len").alias("text_chars"), F.col("rendered_len").alias("rendered_chars"), "words", "n_headings", "ttfb")
 
 
 def write_reports(reports: DataFrame, path: str) -> None:

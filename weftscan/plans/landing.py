@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from weftscan.functions import html, robots, urls
 from weftscan.operators import crawl, graph, probes, shapes
 from weftscan.plans import claims
 from weftscan.sources.bundle import TABLES, Evidence
-from weftscan.sources.shared import landed
+from weftscan.sources.shared import landed, landed_counting
 
 #: Columns of responses that may be absent, with their types.
 OPTIONAL = {
@@ -24,18 +25,20 @@ def site_of(url: Column) -> Column:
     return F.concat(F.lower(F.regexp_extract(url, r"^([A-Za-z]+)://", 1)), F.lit("://"), urls.netloc(url))
 
 
-def page_table(responses: DataFrame, order: str = "page_id") -> tuple[DataFrame, DataFrame]:
+def page_table(responses: DataFrame, order: str = "page_id", log: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """(pages, dropped) of landed responses with url, html, ``order`` (a whole number, unique) and any of ``OPTIONAL``.
 
     Each page is parsed once, where it is read, and is known by its final address: of pages with one final address the first
     by ``order`` is kept, and a page that repeats an earlier one under a canonical address both share goes as well. dropped has
     (site_id, redirected, repeated) for sites that lost pages. page_seq is ``order`` counted from the first page of the
     site, with gaps. A row without a usable address is no page; a null status is taken as 200, and a null content type as
-    HTML, as landed tables often leave them out.
+    HTML, as landed tables often leave them out. A row without a number of its ``order`` is no page either. ``log`` receives what was observed while pages were
+    read: pages, errors (answers that are no success), truncated (pages of which something was cut) and the seconds it took.
     """
+    began = time.monotonic()
     given = responses.select("url", "html", F.col(order).cast("long").alias("_order"), *[(F.col(c) if c in responses.columns else F.lit(None)).cast(t).alias(c) for c, t in OPTIONAL.items()])
     final = urls.normalise(F.coalesce("final_url", "url"))
-    named = given.withColumns({"url": urls.normalise(F.col("url")), "final_url": final}).where("url is not null and final_url is not null").withColumn("site_id", site_of(F.col("final_url")))
+    named = given.withColumns({"url": urls.normalise(F.col("url")), "final_url": final}).where("url is not null and final_url is not null and _order is not null").withColumn("site_id", site_of(F.col("final_url")))
     # addresses are aggregated without the documents, which move once, to meet the numbers of those that are kept
     first = named.groupBy("site_id", "final_url").agg(F.min("_order").alias("_order"), F.count(F.lit(1)).alias("copies"))
     start = first.groupBy("site_id").agg(F.min("_order").alias("_start"), F.sum(F.col("copies") - 1).alias("redirected"))
@@ -79,7 +82,10 @@ def page_table(responses: DataFrame, order: str = "page_id") -> tuple[DataFrame,
         p("targets").alias("targets"),
         p("truncated").alias("truncated"),
     )
-    pages = landed(pages)
+    failed = ~F.coalesce(F.col("status").between(200, 299), F.lit(False))
+    pages, seen = landed_counting(pages, pages=F.count(F.lit(1)), errors=F.count_if(failed), truncated=F.count_if(F.size("truncated") > 0))
+    if log is not None:
+        log |= seen | {"seconds": round(time.monotonic() - began, 3)}
     again = landed(graph.aliases(pages.where("not rendered").select("site_id", "page_seq", "url", "status", "canonical", "raw_hash")))
     repeated = again.groupBy("site_id").agg(F.count(F.lit(1)).alias("repeated"))
     lost = start.select("site_id", "redirected").join(repeated, "site_id", "left").na.fill(0).where("redirected + repeated > 0")
@@ -93,7 +99,7 @@ def _both(kept: DataFrame) -> DataFrame:
     return html.page_evidence(seen.withColumnRenamed("_raw", "parsed"))
 
 
-def to_evidence(responses: DataFrame, started_at: str, policies: DataFrame | None = None, order: str = "page_id", edge_cap: int | None = None, **tables: DataFrame) -> tuple[Evidence, DataFrame]:
+def to_evidence(responses: DataFrame, started_at: str, policies: DataFrame | None = None, order: str = "page_id", edge_cap: int | None = None, log: dict | None = None, **tables: DataFrame) -> tuple[Evidence, DataFrame]:
     """Evidence of landed ``responses`` (see ``page_table``), and (site_id, what, reason) of what it lacks.
 
     ``policies`` has (site_id, status, body) of /robots.txt; without a row there a site's policy was not asked for. ``tables`` are
@@ -101,7 +107,7 @@ def to_evidence(responses: DataFrame, started_at: str, policies: DataFrame | Non
     rules on them are not assessed. Sites are those with a page. An empty table of responses gives empty tables.
     """
     spark = responses.sparkSession
-    pages, lost = page_table(responses, order)
+    pages, lost = page_table(responses, order, log)
     can_render = "rendered_html" in responses.columns
     found = pages.groupBy("site_id").agg(F.count(F.lit(1)).alias("n"))
     asked = policies if policies is not None else spark.createDataFrame([], "site_id string, status int, body string")
@@ -136,7 +142,7 @@ def to_evidence(responses: DataFrame, started_at: str, policies: DataFrame | Non
         groups=groups.select("site_id", "seq", F.explode("g.agents").alias("user_agent"), patterns(True).alias("allow"), patterns(False).alias("disallow")),
         agents=robots.verdicts(asked.select("site_id", "status", "body")),
         declared=policy.where("robots_reason = 'ok'").select("site_id", F.posexplode("parsed.sitemaps").alias("seq", "url")),
-        claims=claims.promote(named).drop("from_candidates"),
+        claims=claims.promote(named).drop("from_candidates", "beyond"),
         candidates=named.drop("dropped"),
         edges=edges,
     )

@@ -1,9 +1,11 @@
-"""SQL for the rules over the literal fixture, to hold the DataFrame queries against."""
+"""SQL for the rules over any evidence that is given as common table expressions fx_<table>, to hold the DataFrame queries against."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from weftscan.plans import rules as R
-from weftscan.plans.fixture import values_sql
 
 OK = "coalesce(p.status BETWEEN 200 AND 299, false)"
 BAD = "coalesce(p.status IN (404, 410) OR p.status BETWEEN 500 AND 599, false)"
@@ -24,7 +26,7 @@ def types(hit: str) -> str:
 
 
 def addresses(hit: str) -> str:
-    return f"coalesce(array_to_string(list(p.url ORDER BY p.page_seq) FILTER (WHERE {hit}), ' '), '')"
+    return f"coalesce(array_to_string((list(p.url ORDER BY p.page_seq, p.url) FILTER (WHERE {hit}))[1:{R.MOST_REFS}], ' '), '')"
 
 
 def quoted(words: list[str]) -> str:
@@ -55,7 +57,7 @@ asked AS (SELECT DISTINCT a.site_id, a.agent, EXISTS (SELECT 1 FROM lines l WHER
 own AS (SELECT a.site_id, a.agent, l.allow, l.disallow FROM asked a JOIN lines l ON l.site_id = a.site_id AND CASE WHEN a.named THEN l.token = lower(a.agent) ELSE trim(l.user_agent) = '*' END),
 rules AS (SELECT site_id, agent, true AS allow, unnest(allow) AS pattern FROM own UNION ALL SELECT site_id, agent, false, unnest(disallow) FROM own),
 paths AS (SELECT DISTINCT site_id, {TARGET.format("final_url")} AS path FROM fx_pages),
-held AS (SELECT o.site_id, o.agent, p.path, r.allow, length(r.pattern) AS n FROM (SELECT DISTINCT site_id, agent FROM own) o JOIN paths p ON p.site_id = o.site_id LEFT JOIN rules r ON r.site_id = o.site_id
+held AS (SELECT o.site_id, o.agent, p.path, r.allow, r.pattern, length(r.pattern) AS n FROM (SELECT DISTINCT site_id, agent FROM own) o JOIN paths p ON p.site_id = o.site_id LEFT JOIN rules r ON r.site_id = o.site_id
   AND r.agent = o.agent AND r.pattern <> '' AND regexp_matches(p.path, '^' || replace(regexp_escape(rtrim(r.pattern, '$')), '\*', '.*') || CASE WHEN ends_with(r.pattern, '$') THEN '$' ELSE '' END)),
 decided AS (SELECT site_id, agent, path, path = '/robots.txt' OR coalesce(arg_max(allow, n * 2 + allow::INT), true) AS allowed FROM held GROUP BY 1, 2, 3)"""
 
@@ -76,7 +78,7 @@ def _same_as() -> str:
     absolute = r"regexp_matches(e, '^https?://\S+$', 'i')"
     account = rf"list_filter(list_transform(list_filter(string_split(regexp_extract(e, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '')[1:3], lambda s: lower(regexp_replace(s, '^@+', ''))), lambda s: s IN {platform})[1]"
     host = r"regexp_replace(lower(regexp_extract(e, '^[A-Za-z]+://([^/:?#]*)', 1)), '^(www\.)?(m\.)?(mobile\.)?', '')"
-    agg = f"""WITH x AS (SELECT p.site_id, p.page_seq, p.url, p.page_type, split_part(s.domain, '.', 1) AS own, unnest(p.nodes) AS x FROM fx_pages p JOIN fx_sites s ON s.site_id = p.site_id WHERE {OK}),
+    agg = f"""WITH x AS (SELECT p.site_id, p.page_seq, p.url, p.page_type, coalesce(split_part(s.domain, '.', 1), '') AS own, unnest(p.nodes) AS x FROM fx_pages p JOIN fx_sites s ON s.site_id = p.site_id WHERE {OK}),
     y AS (SELECT *, row_number() OVER () AS k, string_split(element_at(x.vals, 'sameAs')[1], ' | ') AS entries FROM x WHERE {ORG.format("x")} AND list_contains(x.fields, 'sameAs')),
     z AS (SELECT site_id, page_seq, url, page_type, own, k, trim(unnest(entries)) AS e FROM y WHERE entries IS NOT NULL),
     b AS (SELECT site_id, page_seq, url, page_type, k, NOT bool_or({absolute}) AS broken, bool_or({absolute}) AND bool_or({absolute} AND {host} IN {social} AND coalesce({account} <> own, false)) AS borrowed FROM z GROUP BY ALL),
@@ -99,7 +101,7 @@ def _scripted() -> str:
     k AS (SELECT site_id, segment, part, count(*) AS k FROM (SELECT site_id, segment, unnest(list_distinct(inn)) AS part FROM h) GROUP BY ALL),
     shared AS (SELECT g.site_id, g.segment, coalesce(list(k.part) FILTER (WHERE k.k = g.n), CAST([] AS VARCHAR[])) AS parts FROM (SELECT site_id, segment, count(*) AS n FROM h GROUP BY ALL) g LEFT JOIN k ON k.site_id = g.site_id AND k.segment = g.segment GROUP BY 1, 2),
     sec AS (SELECT p.site_id, p.segment, {cols("p.dep")} FROM r p JOIN shared s ON s.site_id = p.site_id AND s.segment = p.segment WHERE list_has_all(p.inn, s.parts) GROUP BY 1, 2 HAVING hit >= 2 AND hit * 2 >= members),
-    cov AS (SELECT DISTINCT site_id, unnest(string_split(urls, ' ')) AS url FROM sec),
+    cov AS (SELECT DISTINCT p.site_id, p.url FROM r p JOIN shared s ON s.site_id = p.site_id AND s.segment = p.segment JOIN sec ON sec.site_id = p.site_id AND sec.segment = p.segment WHERE p.dep AND list_has_all(p.inn, s.parts)),
     l AS (SELECT r.* EXCLUDE (dep), r.dep AND v.url IS NULL AS dep FROM r LEFT JOIN cov v ON v.site_id = r.site_id AND v.url = r.url WHERE r.page_type IN {PRIMARY}),
     kind AS (SELECT p.site_id, p.page_type, {cols("p.dep")} FROM l p GROUP BY 1, 2 HAVING hit >= 1 AND (p.page_type = 'home' OR (hit >= 2 AND hit * 2 >= members))),
     g AS (SELECT site_id, 'site' AS breadth, hit, members, types, bare, urls FROM w WHERE whole UNION ALL SELECT site_id, 'section', hit, members, types, bare, urls FROM sec UNION ALL SELECT site_id, 'section', hit, members, types, bare, urls FROM kind)
@@ -108,13 +110,13 @@ def _scripted() -> str:
 
 
 def any_node(condition: str) -> str:
-    return f"len(list_filter(p.nodes, lambda x: coalesce({condition}, false))) > 0"
+    return f"(coalesce(len(list_filter(p.nodes, lambda x: coalesce({condition}, false))), 0) > 0)"
 
 
 def rule_sql(rule_id: str, tables: str, agg: str, *, fired: str, assessed: str = "true", passed: str = "false", confidence: str = "'high'", breadth: str = "'site'", importance: str = "'secondary'", affected: str = "0", examined: str = "0", types: str = "''", urls: str = "''") -> str:
-    """The outcome of a rule for each site, from a query ``agg`` over fixture tables with a row or more for each site_id."""
+    """The outcome of a rule for each site, from a query ``agg`` over evidence tables with a row or more for each site_id. The names between @ stand for their expressions."""
     found = "outcome = 'finding'"
-    return f"""WITH {values_sql("sites", *tables.split())},
+    return f"""WITH @sites {tables}@,
 agg AS ({agg}),
 j AS (SELECT s.*, agg.* EXCLUDE (site_id) FROM fx_sites s LEFT JOIN agg ON agg.site_id = s.site_id),
 o AS (SELECT *, CASE WHEN coalesce({passed}, false) THEN 'passed' WHEN NOT coalesce({assessed}, false) THEN 'not_assessed'
@@ -127,14 +129,14 @@ SELECT site_id, '{rule_id}' AS rule_id, outcome, CASE WHEN {found} THEN {confide
 
 def _templates(rule_id: str, eligible: str, hit: str, sure: str, unsure: str) -> str:
     agg = f"""SELECT p.site_id, any_value(n_primary) AS n_primary, string_agg(DISTINCT kind, ',' ORDER BY kind) AS types, sum(hit) AS hit, sum(members) AS members,
-  string_agg(urls, ' ' ORDER BY kind) AS urls FROM (
+  array_to_string(list_transform(list_sort(flatten(list(urls)))[1:{R.MOST_REFS}], lambda x: x.u), ' ') AS urls FROM (
     SELECT b.site_id, n_primary, kind, hit, members, urls, CASE WHEN merged THEN '' ELSE kind END AS g FROM (
       SELECT site_id, count(*) FILTER (WHERE primary_type) AS n_primary, count(*) AS n_ok FROM flagged GROUP BY site_id) b
     LEFT JOIN (SELECT f.*, count(*) OVER (PARTITION BY site_id) >= 2 AND sum(hit) OVER (PARTITION BY site_id) * 2 >= n_ok2 AS merged FROM fired f) f USING (site_id)) p
   GROUP BY p.site_id, g"""
     with_flags = f"""SELECT p.*, p.page_type IN {PRIMARY} AS primary_type, ({eligible}) AS eligible, ({hit}) AS hits FROM fx_pages p WHERE {OK}"""
     fired = """SELECT site_id, page_type AS kind, count(*) FILTER (WHERE eligible) AS members, count(*) FILTER (WHERE eligible AND hits) AS hit,
-  string_agg(url, ' ' ORDER BY page_seq) FILTER (WHERE eligible AND hits) AS urls, any_value(n_ok2) AS n_ok2
+  list({'k': page_seq, 'u': url} ORDER BY page_seq, url) FILTER (WHERE eligible AND hits) AS urls, any_value(n_ok2) AS n_ok2
   FROM (SELECT *, count(*) OVER (PARTITION BY site_id) AS n_ok2 FROM flagged) WHERE primary_type GROUP BY 1, 2
   HAVING hit > 0 AND (kind = 'home' OR (hit >= 2 AND hit * 2 >= members))"""
     body = f"WITH {header_tokens('SELECT site_id, page_seq, x_robots FROM fx_pages', 'site_id, page_seq')}, flagged AS ({with_flags}), fired AS ({fired}) {agg}"
@@ -150,8 +152,17 @@ def _articles(rule_id: str, gate: str, hit: str) -> str:
     return rule_sql(rule_id, "pages", _pages(f"count(*) AS n, count(*) FILTER (WHERE {hit}) AS hit, {addresses(hit)} AS urls", where), fired="hit >= 2 AND hit * 2 >= n", assessed="coalesce(n, 0) >= 2", confidence="'medium'", breadth="'section'", affected="hit", examined="n", types="'article'", urls="urls")
 
 
-def oracle() -> dict[str, str]:
-    """SQL by rule id."""
+def with_tables(sql: str, ctes: Callable[..., str]) -> str:
+    """``sql`` with the expressions that ``ctes`` gives for the names between @."""
+    return re.sub("@([a-z_ ]+)@", lambda m: ctes(*m[1].split()), sql)
+
+
+def oracle(ctes: Callable[..., str]) -> dict[str, str]:
+    """SQL by rule id over the evidence that ``ctes`` writes."""
+    return {rule_id: with_tables(sql, ctes) for rule_id, sql in _oracle().items()}
+
+
+def _oracle() -> dict[str, str]:
     out = {"ACC-001": _excluded("ACC-001", False), "ACC-008": _excluded("ACC-008", True), "IDM-002": _same_as(), "RND-001": _scripted()}
     out["ACC-002"] = rule_sql("ACC-002", "pages", _pages(f"count(*) AS n, {types('true')} AS types"), fired="robots_reason IN ('server_error', 'rate_limited')", assessed="robots_fetched AND robots_status IS NOT NULL", confidence="'low'", importance="'primary'", affected="coalesce(n, 0)", examined="coalesce(n, 0)", types="types", urls="origin || '/robots.txt'")
     meta = "list_transform(p.meta_robots, lambda x: replace(lower(trim(x)), ' ', ''))"
@@ -161,14 +172,14 @@ def oracle() -> dict[str, str]:
     out["ACC-004"] = _templates("ACC-004", f"NOT {noindex}", nosnippet, "medium", "low")
     aliases = "('/', '/index.html', '/index.php', '/home', '/default.aspx')"
     declaring = f"(p.canonical IS NOT NULL AND {PATH.format('p.final_url')} NOT IN {aliases})"
-    folded = f"({declaring} AND NOT coalesce(p.canonical_self, false) AND ({HOST.format('p.canonical')} = s.domain OR ends_with({HOST.format('p.canonical')}, '.' || s.domain)) AND {PATH.format('p.canonical')} = '/')"
+    folded = f"({declaring} AND NOT coalesce(p.canonical_self, false) AND ({HOST.format('p.canonical')} = coalesce(s.domain, {HOST.format('s.origin')}) OR ends_with({HOST.format('p.canonical')}, '.' || coalesce(s.domain, {HOST.format('s.origin')}))) AND {PATH.format('p.canonical')} = '/')"
     cols = f"count(*) AS n_ok, count(*) FILTER (WHERE {declaring}) AS declaring, count(*) FILTER (WHERE {folded}) AS hit, count(DISTINCT {PATH.format('p.final_url')}) FILTER (WHERE {folded}) AS paths, count(*) FILTER (WHERE {folded} AND p.page_type IN {PRIMARY}) AS n_primary, {types(folded)} AS types, {addresses(folded)} AS urls"
     out["ACC-005"] = rule_sql("ACC-005", "pages", _pages(cols, OK), fired="paths >= 2 AND hit * 2 >= declaring", assessed="coalesce(declaring, 0) >= 2", confidence="CASE WHEN hit >= 3 THEN 'high' ELSE 'medium' END", breadth="CASE WHEN hit * 2 >= n_ok THEN 'site' ELSE 'section' END", importance="CASE WHEN n_primary > 0 THEN 'primary' ELSE 'secondary' END", affected="hit", examined="declaring", types="types", urls="urls")
     root = f"({HOST.format('p.final_url')} = {HOST.format('s.origin')} AND {PATH.format('p.final_url')} IN {aliases})"
     cols = f"count(*) AS n, bool_or({OK} AND (p.page_type = 'home' OR {root})) AS home, count(*) FILTER (WHERE {BAD}) AS bad, count(*) FILTER (WHERE {BAD} AND p.status >= 500) AS bad5, {addresses(BAD)} AS urls"
     out["ACC-007"] = rule_sql("ACC-007", "pages", _pages(cols), fired="bad >= 2 AND bad * 10 >= n", assessed="coalesce(n, 0) >= 5 AND coalesce(home, false)", confidence="CASE WHEN bad5 > 0 THEN 'medium' ELSE 'high' END", breadth="CASE WHEN bad * 2 >= n THEN 'site' WHEN bad * 4 >= n THEN 'section' ELSE 'page' END", affected="bad", examined="n", urls="urls")
     bad = "(m.status IN (404, 410) OR m.status BETWEEN 500 AND 599 OR (m.status BETWEEN 200 AND 299 AND NOT coalesce(m.parse_ok, false)))"
-    agg = f"SELECT d.site_id, count(*) AS n, count(*) FILTER (WHERE {bad}) AS bad, count(*) FILTER (WHERE {bad} AND m.status >= 500) AS bad5, string_agg(d.url, ' ' ORDER BY d.seq) FILTER (WHERE {bad}) AS urls FROM fx_declared d JOIN fx_sites s ON s.site_id = d.site_id AND s.robots_ok JOIN fx_sitemaps m ON m.site_id = d.site_id AND m.url = d.url WHERE m.status IS NOT NULL AND m.status NOT IN (401, 403, 429) GROUP BY d.site_id"
+    agg = f"SELECT d.site_id, count(*) AS n, count(*) FILTER (WHERE {bad}) AS bad, count(*) FILTER (WHERE {bad} AND m.status >= 500) AS bad5, array_to_string((list(d.url ORDER BY d.seq, d.url) FILTER (WHERE {bad}))[1:{R.MOST_REFS}], ' ') AS urls FROM fx_declared d JOIN fx_sites s ON s.site_id = d.site_id AND s.robots_ok JOIN fx_sitemaps m ON m.site_id = d.site_id AND m.url = d.url WHERE m.status IS NOT NULL AND m.status NOT IN (401, 403, 429) GROUP BY d.site_id"
     out["ACC-009"] = rule_sql("ACC-009", "declared sitemaps", agg, fired="bad > 0", assessed="coalesce(n, 0) > 0", confidence="CASE WHEN bad5 > 0 THEN 'medium' ELSE 'high' END", breadth="CASE WHEN bad = n THEN 'site' ELSE 'section' END", affected="bad", examined="n", urls="urls")
     refused = "(401, 403, 404, 406, 410, 451)"
     agg = f"""WITH u AS (SELECT site_id, url, max(status) FILTER (WHERE agent = 'browser-ua') AS browser, max(status) FILTER (WHERE agent = 'Googlebot') AS google,
@@ -178,9 +189,9 @@ def oracle() -> dict[str, str]:
       WHERE b.agent IN ('GPTBot', 'ClaudeBot', 'PerplexityBot', 'OAI-SearchBot', 'CCBot') GROUP BY 1, 2),
     r AS (SELECT DISTINCT b.site_id, b.url, c.google FROM fx_probe b JOIN a ON a.site_id = b.site_id AND a.agent = b.agent AND a.refused JOIN c ON c.site_id = b.site_id AND c.url = b.url)
     SELECT c.site_id, count(DISTINCT c.url) AS n, count(DISTINCT r.url) AS hit, bool_and(coalesce(r.google IN {refused}, false)) FILTER (WHERE r.url IS NOT NULL) AS edge,
-      string_agg(DISTINCT r.url, ' ' ORDER BY r.url) AS urls,
-      (SELECT string_agg(DISTINCT p.page_type, ',' ORDER BY p.page_type) FROM fx_pages p JOIN r t ON t.site_id = p.site_id AND t.url IN (p.url, p.final_url) WHERE p.site_id = c.site_id) AS types FROM c LEFT JOIN r ON r.site_id = c.site_id GROUP BY c.site_id"""
-    out["ACC-006"] = rule_sql("ACC-006", "probe pages", agg, fired="hit > 0", assessed="coalesce(n, 0) > 0 AND NOT coalesce(edge, false)", confidence="'low'", breadth="CASE WHEN contains(urls, origin || '/') AND list_contains(string_split(urls, ' '), origin || '/') THEN 'site' ELSE 'section' END", importance="'primary'", affected="hit", examined="n", types="types", urls="urls")
+      array_to_string(list_sort(list(DISTINCT r.url))[1:{R.MOST_REFS}], ' ') AS urls, bool_or(r.url = s.origin || '/') AS at_home,
+      (SELECT string_agg(DISTINCT p.page_type, ',' ORDER BY p.page_type) FROM fx_pages p JOIN r t ON t.site_id = p.site_id AND t.url IN (p.url, p.final_url) WHERE p.site_id = c.site_id) AS types FROM c JOIN fx_sites s ON s.site_id = c.site_id LEFT JOIN r ON r.site_id = c.site_id GROUP BY c.site_id"""
+    out["ACC-006"] = rule_sql("ACC-006", "probe pages", agg, fired="hit > 0", assessed="coalesce(n, 0) > 0 AND NOT coalesce(edge, false)", confidence="'low'", breadth="CASE WHEN at_home THEN 'site' ELSE 'section' END", importance="'primary'", affected="hit", examined="n", types="types", urls="urls")
     page_html = f"({OK} AND {HTML})"
     cols = f"count(*) FILTER (WHERE {SEEN}) AS seen, count(*) FILTER (WHERE {page_html}) AS n, bool_or({page_html} AND p.page_type = 'home') AS home, bool_and(p.raw_len + p.hidden_len < 200) FILTER (WHERE {page_html}) AS thin, bool_and(coalesce(p.raw_hash = s.soft404_hash, false)) FILTER (WHERE {page_html}) AS shell, {types(page_html)} AS types, {addresses(page_html)} AS urls"
     out["RND-002"] = rule_sql("RND-002", "pages", _pages(cols), fired="thin", assessed="coalesce(seen, 0) = 0 AND coalesce(home, false)", confidence="CASE WHEN shell THEN 'high' ELSE 'medium' END", importance="'primary'", affected="n", examined="n", types="types", urls="urls")
@@ -204,7 +215,7 @@ def oracle() -> dict[str, str]:
     news = any_node("x.type IN ('NewsArticle', 'ReportageNewsArticle', 'LiveBlogPosting')")
     long_where = f"{OK} AND p.page_type IN ('article', 'doc') AND p.words >= 1500 AND NOT {news}"
     agg = f"""WITH l AS (SELECT p.*, count(*) OVER (PARTITION BY p.site_id) AS n_long FROM fx_pages p WHERE {long_where}),
-    k AS (SELECT site_id, page_type, any_value(n_long) AS n_long, count(*) AS n, count(*) FILTER (WHERE n_headings < 3) AS hit, string_agg(url, ' ' ORDER BY page_seq) FILTER (WHERE n_headings < 3) AS urls FROM l GROUP BY 1, 2)
+    k AS (SELECT site_id, page_type, any_value(n_long) AS n_long, count(*) AS n, count(*) FILTER (WHERE n_headings < 3) AS hit, array_to_string((list(url ORDER BY page_seq, url) FILTER (WHERE n_headings < 3))[1:{R.MOST_REFS}], ' ') AS urls FROM l GROUP BY 1, 2)
     SELECT site_id, n_long, page_type, n, hit, urls FROM k WHERE hit >= 2 AND hit * 2 >= n
     UNION ALL SELECT site_id, max(n_long), NULL, NULL, NULL, NULL FROM k GROUP BY site_id HAVING NOT bool_or(hit >= 2 AND hit * 2 >= n)"""
     out["ANS-001"] = rule_sql("ANS-001", "pages", agg, fired="hit IS NOT NULL", assessed="coalesce(n_long, 0) >= 2", confidence="'medium'", breadth="'section'", affected="hit", examined="n", types="page_type", urls="urls")
@@ -228,15 +239,18 @@ def oracle() -> dict[str, str]:
     return out
 
 
-def findings() -> str:
-    """All findings of the fixture from the SQL of its rules: derived, one of each kind, arbitrated and in report order."""
+def findings(ctes: Callable[..., str]) -> str:
+    """All findings from the SQL of the rules: derived, one of each kind, arbitrated and in report order."""
     from weftscan.plans import compose as K
 
     rank = lambda c, order: f"list_position({list(order)}, {c})"
     facts = ", ".join(f"({i}, '{r.rule_id}', '{r.skill}', '{r.category}', '{r.status}', {str(r.blocking).lower()}, '{r.effort}')" for i, r in enumerate(R.CATALOGUE.values()))
-    outcomes = " UNION ALL ".join(f"SELECT * FROM ({sql})" for sql in oracle().values())
+    bare = {k: re.sub("@([a-z_ ]+)@,\\n", "", sql) for k, sql in _oracle().items()}
+    tables = sorted({t for sql in _oracle().values() for m in re.findall("@([a-z_ ]+)@", sql) for t in m.split()})
+    outcomes = " UNION ALL ".join(f"SELECT * FROM ({sql})" for sql in bare.values())
     absence, content = f"rule_id IN {quoted(sorted(K.ABSENCE_RULES))}", f"(skill IN {quoted(sorted(K.CONTENT_SKILLS))} AND category = 'discoverability')"
-    return f"""WITH facts AS (SELECT * FROM (VALUES {facts}) AS t(rule_seq, rule_id, skill, category, status, blocking, effort)),
+    return f"""WITH {ctes(*tables)},
+facts AS (SELECT * FROM (VALUES {facts}) AS t(rule_seq, rule_id, skill, category, status, blocking, effort)),
 outcomes AS ({outcomes}),
 d AS (SELECT o.*, f.* EXCLUDE (rule_id), greatest(CASE WHEN blocking AND breadth = 'site' AND importance = 'primary' THEN 1 WHEN blocking AND breadth <> 'page' THEN 2
     WHEN NOT blocking AND breadth = 'site' AND importance = 'primary' THEN 2 WHEN breadth <> 'page' THEN 3 ELSE 4 END,

@@ -3,7 +3,8 @@
 Every rule gives each site exactly one outcome (not_assessed, passed, or finding), save that a rule
 over page templates may give a finding for each template. An observation that was not
 made is decided before the predicate and is never a pass. All aggregations are by site_id,
-so a job over many sites is a few hash aggregations on one key; nothing is collected.
+so a job over many sites is a few hash aggregations on one key; nothing is collected. A finding counts every page it affects
+and names the first of them only, so a site of any size is a few rows.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftscan.functions import robots, urls
+from weftscan.operators import shapes
 from weftscan.sources.bundle import Evidence
 
 # Thresholds, agent lists and vocabularies that rules compare with.
@@ -28,6 +30,7 @@ COLON_DIRECTIVES = ["max-snippet", "max-image-preview", "max-video-preview", "un
 REFUSALS, CLIENT_REFUSALS = [401, 403, 404, 406, 410, 451], [401, 403, 429]
 ROOT_ALIASES = ["/", "/index.html", "/index.php", "/home", "/default.aspx"]
 JS_DELTA, JS_MIN_GAIN, EMPTY_TEXT = 0.8, 200, 200
+MOST_REFS = 10
 LONG_WORDS, FEW_HEADINGS, SURE_ARTICLE, POOR_MS = 1500, 3, 0.8, 1800
 NEWS_TYPES = ["NewsArticle", "ReportageNewsArticle", "LiveBlogPosting"]
 COMMERCE_TYPES = ["Product", "ProductGroup", "IndividualProduct", "Offer", "AggregateOffer"]
@@ -168,9 +171,16 @@ def has_any(tokens: Column, names: list[str]) -> Column:
 # Shared aggregates and outcome rows
 
 
-def urls_in_order(hit: Column) -> Column:
-    """The addresses of pages that satisfy ``hit``, in page order."""
-    return F.transform(F.array_sort(F.collect_list(F.when(hit, F.struct("page_seq", "url")))), lambda x: x["url"])
+def first_refs(rows: DataFrame, hit: Column, *by: str, order: str = "page_seq", name: str = "refs") -> DataFrame:
+    """(site_id, by, refs): the first addresses of rows that satisfy ``hit``, by ``order``; Spark cuts groups to so many rows before it deals them out."""
+    first = Window.partitionBy("site_id", *by).orderBy("at", "url")
+    kept = rows.where(hit).select("site_id", *by, F.col(order).alias("at"), "url").withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= MOST_REFS)
+    return kept.groupBy("site_id", *by).agg(F.array_sort(F.collect_list(F.struct("at", "url"))).alias(name))
+
+
+def with_refs(counts: DataFrame, rows: DataFrame, hit: Column, *by: str, order: str = "page_seq") -> DataFrame:
+    """``counts`` with urls: the first addresses of ``rows`` that satisfy ``hit``; null where there is none."""
+    return counts.join(first_refs(rows, hit, *by, order=order), ["site_id", *by], "left").withColumn("urls", F.col("refs.url")).drop("refs")
 
 
 def types_of(hit: Column) -> Column:
@@ -301,16 +311,17 @@ def _templates(ev: Evidence, rule_id: str, eligible: Column, hit: Column, sure:
     by_type = (
         ok.where("primary")
         .groupBy("site_id", "page_type")
-        .agg(F.count_if("eligible").alias("members"), F.count_if(both).alias("affected"), urls_in_order(both).alias("urls"))
+        .agg(F.count_if("eligible").alias("members"), F.count_if(both).alias("affected"))
         .where((F.col("affected") > 0) & ((F.col("page_type") == "home") | ((F.col("affected") >= 2) & (F.col("affected") * 2 >= F.col("members")))))
     )
-    fired = by_type.join(site.select("site_id", "n_ok"), "site_id")
+    named = first_refs(ok.where("primary"), both, "page_type")
+    fired = by_type.join(site.select("site_id", "n_ok"), "site_id").join(named, ["site_id", "page_type"], "left")
     total = fired.groupBy("site_id").agg(((F.count(F.lit(1)) >= 2) & (F.sum("affected") * 2 >= F.first("n_ok"))).alias("merged"))
     grouped = (
         fired.join(total, "site_id")
         .withColumn("g", F.when(F.col("merged"), "").otherwise(F.col("page_type")))
         .groupBy("site_id", "g")
-        .agg(F.array_sort(F.collect_set("page_type")).alias("types"), F.sum("affected").alias("affected"), F.sum("members").alias("members"), F.flatten(F.collect_list("urls")).alias("urls"))
+        .agg(F.array_sort(F.collect_set("page_type")).alias("types"), F.sum("affected").alias("affected"), F.sum("members").alias("members"), F.slice(F.array_sort(F.flatten(F.collect_list("refs"))), 1, MOST_REFS)["url"].alias("urls"))
     )
     rows = by_site(ev, site).join(grouped, "site_id", "left")
     strong = (F.col("affected") >= 3) | (F.array_join("types", ",") == "home")
@@ -355,10 +366,9 @@ def acc_005(ev: Evidence) -> DataFrame:
         F.count_if("hit").alias("hit"),
         F.countDistinct(F.when(F.col("hit"), urls.path(F.col("final_url")))).alias("paths"),
         types_of(F.col("hit")).alias("types"),
-        urls_in_order(F.col("hit")).alias("urls"),
     )
     return judged(
-        by_site(ev, counts),
+        by_site(ev, with_refs(counts, flagged, F.col("hit"))),
         "ACC-005",
         (F.col("paths") >= 2) & (F.col("hit") * 2 >= F.col("declaring")),
         assessed=n("declaring") >= 2,
@@ -381,34 +391,30 @@ def acc_006(ev: Evidence) -> DataFrame:
         F.count_if(probed).alias("n_named"),
     )
     comparable = per_url.where(is_2xx(F.col("browser")) & (F.col("n_named") > 0))
-    refusing = (
-        ev.probe.where(probed)
-        .join(comparable.select("site_id", "url", "google"), ["site_id", "url"])
-        .groupBy("site_id", "agent")
-        .agg(F.bool_and(F.coalesce(F.col("status").isin(REFUSALS), F.lit(False))).alias("refused"), F.collect_set(F.struct("url", "google")).alias("at"))
-        .where("refused")
-    )
-    refused = refusing.groupBy("site_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"), F.array_sort(F.collect_set("agent")).alias("agents"))
-    # pages are found by the address asked for or by the one that answered
-    named = [ev.pages.select("site_id", F.col(c).alias("url"), "page_type") for c in ("url", "final_url")]
-    touched = refusing.select("site_id", F.explode("at.url").alias("url")).distinct().join(named[0].union(named[1]), ["site_id", "url"])
-    types = touched.groupBy("site_id").agg(types_of(F.lit(True)).alias("types"))
-    rows = by_site(ev, comparable.groupBy("site_id").agg(F.count(F.lit(1)).alias("total"))).join(refused, "site_id", "left").join(types, "site_id", "left")
-    addresses = F.transform("at", lambda x: x["url"])
-    edge_defence = F.forall("at", lambda x: F.coalesce(x["google"].isin(REFUSALS), F.lit(False)))
+    named = ev.probe.where(probed).join(comparable.select("site_id", "url", "google"), ["site_id", "url"])
+    always = named.groupBy("site_id", "agent").agg(F.bool_and(F.coalesce(F.col("status").isin(REFUSALS), F.lit(False))).alias("refused")).where("refused").select("site_id", "agent")
     home = F.concat(F.regexp_replace("origin", "/+$", ""), F.lit("/"))
+    refusing = named.join(always, ["site_id", "agent"], "left_semi").select("site_id", "url", "google").distinct().join(ev.sites.select("site_id", home.alias("home")), "site_id")
+    behind = F.coalesce(F.col("google").isin(REFUSALS), F.lit(False))
+    places = refusing.groupBy("site_id").agg(F.count(F.lit(1)).alias("hit"), F.bool_and(behind).alias("edge"), F.bool_or(F.col("url") == F.col("home")).alias("at_home"))
+    agents = always.groupBy("site_id").agg(F.array_sort(F.collect_set("agent")).alias("agents"))
+    # pages are found by the address asked for or by the one that answered
+    pages = [ev.pages.select("site_id", F.col(c).alias("url"), "page_type") for c in ("url", "final_url")]
+    types = pages[0].union(pages[1]).join(refusing.select("site_id", "url"), ["site_id", "url"], "left_semi").groupBy("site_id").agg(types_of(F.lit(True)).alias("types"))
+    total = comparable.groupBy("site_id").agg(F.count(F.lit(1)).alias("total"))
+    rows = by_site(ev, total).join(with_refs(places, refusing, F.lit(True), order="url"), "site_id", "left").join(agents, "site_id", "left").join(types, "site_id", "left")
     return judged(
         rows,
         "ACC-006",
         F.col("agents").isNotNull(),
-        assessed=(n("total") > 0) & ~F.coalesce(edge_defence, F.lit(False)),
+        assessed=(n("total") > 0) & ~F.coalesce("edge", F.lit(False)),
         confidence="low",
-        breadth=F.when(F.array_contains(addresses, home), "site").otherwise("section"),
+        breadth=F.when(F.col("at_home"), "site").otherwise("section"),
         importance="primary",
-        affected=F.size("at"),
+        affected=F.col("hit"),
         examined=F.col("total"),
         types=F.coalesce("types", F.array().cast("array<string>")),
-        refs=addresses,
+        refs=F.col("urls"),
         detail=F.concat(F.lit("refused: "), F.array_join("agents", ", ")),
     )
 
@@ -420,10 +426,10 @@ def acc_007(ev: Evidence) -> DataFrame:
     home_ok = is_2xx(F.col("status")) & ((F.col("page_type") == "home") | root)
     bad = is_error(F.col("status"))
     counts = pages.groupBy("site_id").agg(
-        F.count(F.lit(1)).alias("total"), F.bool_or(home_ok).alias("home_ok"), F.count_if(bad).alias("bad"), F.count_if(bad & (F.col("status") >= 500)).alias("bad_5xx"), urls_in_order(bad).alias("urls")
+        F.count(F.lit(1)).alias("total"), F.bool_or(home_ok).alias("home_ok"), F.count_if(bad).alias("bad"), F.count_if(bad & (F.col("status") >= 500)).alias("bad_5xx")
     )
     return judged(
-        by_site(ev, counts),
+        by_site(ev, with_refs(counts, pages, bad)),
         "ACC-007",
         (F.col("bad") >= 2) & (F.col("bad") * 10 >= F.col("total")),
         assessed=(n("total") >= 5) & F.coalesce("home_ok", F.lit(False)),
@@ -445,14 +451,10 @@ def acc_009(ev: Evidence) -> DataFrame:
     records = ev.sitemaps.where(F.col("status").isNotNull() & ~F.col("status").isin(CLIENT_REFUSALS))
     declared = ev.declared.join(ev.sites.where("robots_ok").select("site_id"), "site_id")
     bad = is_error(F.col("status")) | (is_2xx(F.col("status")) & ~F.coalesce("parse_ok", F.lit(False)))
-    counts = declared.join(records, ["site_id", "url"]).groupBy("site_id").agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(bad).alias("bad"),
-        F.count_if(bad & (F.col("status") >= 500)).alias("bad_5xx"),
-        F.transform(F.array_sort(F.collect_list(F.when(bad, F.struct("seq", "url")))), lambda x: x["url"]).alias("urls"),
-    )
+    answered = declared.join(records, ["site_id", "url"])
+    counts = answered.groupBy("site_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(bad).alias("bad"), F.count_if(bad & (F.col("status") >= 500)).alias("bad_5xx"))
     return judged(
-        by_site(ev, counts),
+        by_site(ev, with_refs(counts, answered, bad, order="seq")),
         "ACC-009",
         F.col("bad") > 0,
         assessed=n("total") > 0,
@@ -475,14 +477,14 @@ def rnd_001(ev: Evidence) -> DataFrame:
     dep = F.col("dep")
 
     def scope(rows: DataFrame, *by: str) -> DataFrame:
-        return rows.groupBy("site_id", *by).agg(
+        counts = rows.groupBy("site_id", *by).agg(
             F.count_if("dep").alias("hit"),
             F.count_if("member").alias("members"),
             types_of(dep).alias("types"),
             F.bool_and(F.when(dep, F.col("raw_len") < EMPTY_TEXT)).alias("bare"),
             F.bool_or(dep & (F.col("page_type") == "home")).alias("home"),
-            urls_in_order(dep).alias("urls"),
         )
+        return with_refs(counts, rows, dep, *by)
 
     all_pages = scope(pages.withColumn("member", F.lit(True)))
     whole = (F.col("hit") >= 2) & (F.col("hit") * 2 >= F.col("members")) & (F.col("home") | (F.size("types") >= 2))
@@ -497,7 +499,7 @@ def rnd_001(ev: Evidence) -> DataFrame:
     in_section = rest.join(shared, ["site_id", "segment"]).withColumn("member", F.size(F.array_except("shared", "inner")) == 0).where("member")
     enough = (F.col("hit") >= 2) & (F.col("hit") * 2 >= F.col("members"))
     sections = scope(in_section, "segment").where(enough)
-    covered = sections.select("site_id", F.explode("urls").alias("url")).distinct()
+    covered = in_section.where("dep").join(sections.select("site_id", "segment"), ["site_id", "segment"], "left_semi").select("site_id", "url").distinct()
     left = rest.where(F.col("page_type").isin(PRIMARY_TYPES)).join(covered.withColumn("covered", F.lit(True)), ["site_id", "url"], "left")
     left = left.withColumn("member", F.lit(True)).withColumn("dep", F.col("dep") & F.col("covered").isNull())
     kinds = scope(left.withColumn("kind", F.col("page_type")), "kind").where((F.col("hit") >= 1) & ((F.col("kind") == "home") | enough))
@@ -530,10 +532,9 @@ def rnd_002(ev: Evidence) -> DataFrame:
         F.bool_and(F.when(html, server_text() < EMPTY_TEXT)).alias("thin"),
         F.bool_and(F.when(html, F.coalesce(F.col("raw_hash") == F.col("soft404_hash"), F.lit(False)))).alias("shell"),
         types_of(html).alias("types"),
-        urls_in_order(html).alias("urls"),
     )
     return judged(
-        by_site(ev, counts),
+        by_site(ev, with_refs(counts, pages, html)),
         "RND-002",
         F.col("thin"),
         assessed=(n("comparable") == 0) & F.coalesce("home", F.lit(False)),
@@ -553,9 +554,9 @@ def rnd_003(ev: Evidence) -> DataFrame:
     structured = F.exists("nodes", lambda x: has_any(x["fields"], PRICE_FIELDS))
     in_server = F.col("raw_text").rlike(PRICE_BEFORE) | F.col("raw_text").rlike(PRICE_AFTER)
     hit = ~in_server & F.col("rendered_text").rlike(PRICE_BEFORE) & ~F.coalesce(structured, F.lit(False))
-    counts = eligible.groupBy("site_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(hit).alias("hit"), urls_in_order(hit).alias("urls"))
+    counts = eligible.groupBy("site_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(hit).alias("hit"))
     return judged(
-        by_site(ev, counts),
+        by_site(ev, with_refs(counts, eligible, hit)),
         "RND-003",
         F.col("hit") >= 0.6 * F.col("total"),
         assessed=F.col("js_render") & (n("total") >= 5),
@@ -609,8 +610,10 @@ def idm_002(ev: Evidence) -> DataFrame:
     counts = per_page.groupBy("site_id").agg(
         F.count_if("broken").alias("n_broken"),
         F.count_if("borrowed").alias("n_borrowed"),
-        *[f(F.col(c)).alias(f"{c}_{k}") for c in ("broken", "borrowed") for k, f in (("types", types_of), ("urls", urls_in_order))],
+        *[types_of(F.col(c)).alias(f"{c}_types") for c in ("broken", "borrowed")],
     )
+    for c in ("broken", "borrowed"):
+        counts = with_refs(counts, per_page, F.col(c)).withColumnRenamed("urls", f"{c}_urls")
     total = ok.groupBy("site_id").agg(F.count(F.lit(1)).alias("n_ok"))
     first = F.col("n_broken") > 0
     pick = lambda what: F.when(first, F.col(f"broken_{what}")).otherwise(F.col(f"borrowed_{what}"))
@@ -634,7 +637,8 @@ def _over_nodes(ev: Evidence, gate: Callable[[Column], Column] | None, hit: Call
     ok = ev.pages.where(is_2xx(F.col("status")))
     gated = F.coalesce(F.size("nodes") > 0 if gate is None else F.exists("nodes", gate), F.lit(False))
     hits = F.coalesce(F.exists("nodes", hit), F.lit(False))
-    return by_site(ev, ok.groupBy("site_id").agg(F.count(F.lit(1)).alias("n_ok"), F.count_if(gated).alias("gated"), F.count_if(hits).alias("hit"), types_of(hits).alias("types"), urls_in_order(hits).alias("urls")))
+    counts = ok.groupBy("site_id").agg(F.count(F.lit(1)).alias("n_ok"), F.count_if(gated).alias("gated"), F.count_if(hits).alias("hit"), types_of(hits).alias("types"))
+    return by_site(ev, with_refs(counts, ok, hits))
 
 
 @rule("IDM-003", "identity-and-markup", "JSON-LD blocks do not parse", "Write JSON-LD with a JSON serializer.")
@@ -667,8 +671,8 @@ def idm_004(ev: Evidence) -> DataFrame:
 
 def _share(rows: DataFrame, hit: Column, *by: str) -> DataFrame:
     """Counts by group, and whether at least two and at least half of a group hit."""
-    counts = rows.groupBy("site_id", *by).agg(F.count(F.lit(1)).alias("total"), F.count_if(hit).alias("hit"), urls_in_order(hit).alias("urls"))
-    return counts.withColumn("fires", (F.col("hit") >= 2) & (F.col("hit") * 2 >= F.col("total")))
+    counts = rows.groupBy("site_id", *by).agg(F.count(F.lit(1)).alias("total"), F.count_if(hit).alias("hit"))
+    return with_refs(counts, rows, hit, *by).withColumn("fires", (F.col("hit") >= 2) & (F.col("hit") * 2 >= F.col("total")))
 
 
 @rule("ANS-001", "answerability", "Long pages have hardly any headings", "Divide long pages by descriptive headings.", status="proactive", effort="medium", symptom=("invisible",))
@@ -720,10 +724,11 @@ def arr_001(ev: Evidence) -> DataFrame:
     ms = F.col("ttfb") - F.coalesce("connect", F.lit(0.0))
     timed = ev.pages.where(is_2xx(F.col("status")) & F.col("ttfb").isNotNull()).withColumn("ms", ms)
     slow = F.col("ms") > POOR_MS
-    slowest = F.slice(F.array_sort(F.collect_list(F.when(slow, F.struct((-F.col("ms")).alias("k"), "url")))), 1, 10)
-    counts = timed.groupBy("site_id").agg(F.count(F.lit(1)).alias("total"), F.median("ms").alias("median"), F.count_if(slow).alias("slow"), types_of(slow).alias("types"), slowest.alias("worst"))
+    counts = timed.groupBy("site_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(slow).alias("slow"), types_of(slow).alias("types"))
+    counts = counts.join(shapes.exact_median(timed, ["site_id"], F.col("ms")), "site_id", "left")
+    slowest = first_refs(timed.withColumn("fast", -F.col("ms")), slow, order="fast")
     return judged(
-        by_site(ev, counts),
+        by_site(ev, counts.join(slowest, "site_id", "left")),
         "ARR-001",
         F.col("median") > POOR_MS,
         assessed=n("total") >= 5,
@@ -731,7 +736,7 @@ def arr_001(ev: Evidence) -> DataFrame:
         affected=F.col("slow"),
         examined=F.col("total"),
         types=F.col("types"),
-        refs=F.reverse(F.transform("worst", lambda x: x["url"])),
+        refs=F.reverse(F.col("refs.url")),
         detail=F.format_string("median %.0f ms", F.col("median")),
     )
 

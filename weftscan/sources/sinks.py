@@ -22,6 +22,17 @@ def write_texts(pages: DataFrame, path: str) -> None:
     texts_by_content(pages).sortWithinPartitions("text_hash").write.mode("overwrite").parquet(path)
 
 
+def save_texts(pages: DataFrame, table: str, buckets: int = 64) -> None:
+    """The texts of pages, addressed by content, as a table in ``buckets`` buckets of their hash: joins by hash read each bucket where it lies."""
+    texts_by_content(pages).repartition(buckets, "text_hash").write.mode("overwrite").bucketBy(buckets, "text_hash").sortBy("text_hash").saveAsTable(table)
+
+
+def with_texts(pages: DataFrame, table: str, hash_column: str, name: str = "text") -> DataFrame:
+    """``pages`` with the texts of ``save_texts`` by hash; null where there is none. Only pages are dealt out, into the buckets that the texts lie in."""
+    texts = pages.sparkSession.table(table).select(F.col("text_hash").alias(hash_column), F.col("text").alias(name))
+    return pages.join(texts.hint("merge"), hash_column, "left")
+
+
 def write_findings(findings: DataFrame, path: str) -> None:
     """Findings as JSON lines, a folder for each skill."""
     findings.write.mode("overwrite").partitionBy("skill").json(path)

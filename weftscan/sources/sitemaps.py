@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import xml.etree.ElementTree as ET
 import zlib
 from collections.abc import Iterator
@@ -79,21 +80,25 @@ def read_sitemaps(landed: DataFrame) -> DataFrame:
     return landed.select("site_id", "url", "body", "content_type", "truncated").mapInPandas(run, "site_id string, url string, " + PARSED)
 
 
-def follow_indexes(declared: DataFrame, parsed: DataFrame, limit: int = 10) -> DataFrame:
-    """(site_id, url, kind, locations, ...) of sitemaps reached from ``declared`` (site_id, url), at most ``limit`` for each site.
+def follow_indexes(declared: DataFrame, parsed: DataFrame, limit: int | None = 10) -> DataFrame:
+    """(site_id, url, kind, locations, ..., beyond) of sitemaps reached from ``declared`` (site_id, url), the nearest ``limit`` of each site (None: all).
 
-    Each round follows the indexes found by the last one; ten files bound the rounds.
+    Each round follows the indexes found by the last one, until nothing new is found; beyond says how many more files of the site were reached.
     """
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
-    reached = declared.select("site_id", "url", F.lit(0).alias("level")).distinct()
-    last = reached
-    for level in range(1, limit):
+    from weftscan.sources.shared import landed
+
+    reached = last = landed(declared.select("site_id", "url", F.lit(0).alias("level")).distinct())
+    for level in itertools.count(1):
         opened = parsed.where("kind = 'index'").join(last.select("site_id", "url"), ["site_id", "url"])
-        last = opened.select("site_id", F.explode("locations").alias("url")).distinct().join(reached, ["site_id", "url"], "left_anti").withColumn("level", F.lit(level))
+        last = landed(opened.select("site_id", F.explode("locations").alias("url")).distinct().join(reached, ["site_id", "url"], "left_anti").withColumn("level", F.lit(level)))
         if last.isEmpty():
             break
-        reached = reached.unionByName(last)
+        reached = reached.unionByName(last) if level % 20 else landed(reached.unionByName(last))
+    if limit is None:
+        return reached.drop("level").withColumn("beyond", F.lit(0).cast("long")).join(parsed, ["site_id", "url"])
     ranked = reached.withColumn("k", F.row_number().over(Window.partitionBy("site_id").orderBy("level", "url"))).where(F.col("k") <= limit)
-    return ranked.drop("k", "level").join(parsed, ["site_id", "url"])
+    more = reached.groupBy("site_id").agg(F.greatest(F.count(F.lit(1)) - limit, F.lit(0).cast("long")).alias("beyond"))
+    return ranked.drop("k", "level").join(more, "site_id").join(parsed, ["site_id", "url"])
