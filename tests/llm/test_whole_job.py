@@ -4,7 +4,6 @@ import random
 
 import corpus_pipeline
 from weftscan.llm import chat, toxicity
-from weftscan.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,13 +39,6 @@ def test_partial_and_trimmed_quotes_link(spark):
     assert len(got) == len(rows)
 
 
-def test_page_links_counts_every_edge(spark, tmp_path):
-    links = "".join(f"<a href='/p{k}'>x</a>" for k in range(5001))
-    rows = [(1, "https://a.test/", f"<body>{links}</body>"), (2, "https://a.test/p1", "<body><a href='/p2'>x</a><a href='/p2'>y</a></body>"), (3, "https://b.test/", "<body><a href='/p1'>x</a></body>")]
-    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    assert sorted(map(tuple, catalogue.page_links(spark, str(tmp_path)).collect())) == [("a.test", 5002, 2, 5001), ("b.test", 1, 1, 1)]
-
-
 def test_near_duplicate_stage_keeps_rows_without_id_and_one_of_copies(spark):
     long = " ".join(f"w{k}" for k in range(60))
     rows = [(None, "no id", "x"), (None, "no id either", "x"), (None, "no id", "x"), (None, None, "x"), (1, long, "x"), (1, long, "x"), (2, long + " end", "x"), (3, "one text", "x"), (3, "another text here", "x"), (4, None, "x"), (4, None, "x"), (5, "alone", "x")]
