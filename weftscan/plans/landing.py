@@ -110,7 +110,7 @@ def to_evidence(responses: DataFrame, started_at: str, policies: DataFrame | Non
     pages, lost = page_table(responses, order, log)
     can_render = "rendered_html" in responses.columns
     found = pages.groupBy("site_id").agg(F.count(F.lit(1)).alias("n"))
-    asked = policies if policies is not None else spark.createDataFrame([], "site_id string, status int, body string")
+    asked = landed(policies.select("site_id", F.col("status").cast("int").alias("status"), F.col("body").cast("string").alias("body"))) if policies is not None else spark.createDataFrame([], "site_id string, status int, body string")
     policy = landed(asked.select("site_id", F.col("status").cast("int").alias("robots_status"), robots.parse_reason(F.col("status"), F.col("body")).alias("robots_reason"), robots.parse_robots(F.col("body")).alias("parsed")))
     host = urls.host(F.col("site_id"))
     sites = landed(
@@ -139,10 +139,10 @@ def to_evidence(responses: DataFrame, started_at: str, policies: DataFrame | Non
         **(empty | tables),
         sites=sites,
         pages=pages,
-        groups=groups.select("site_id", "seq", F.explode("g.agents").alias("user_agent"), patterns(True).alias("allow"), patterns(False).alias("disallow")),
-        agents=robots.verdicts(asked.select("site_id", "status", "body")),
+        groups=landed(groups.select("site_id", "seq", F.explode("g.agents").alias("user_agent"), patterns(True).alias("allow"), patterns(False).alias("disallow"))),
+        agents=landed(robots.verdicts(asked)),
         declared=policy.where("robots_reason = 'ok'").select("site_id", F.posexplode("parsed.sitemaps").alias("seq", "url")),
-        claims=claims.promote(named).drop("from_candidates", "beyond"),
+        claims=landed(claims.promote(named).drop("from_candidates", "beyond")),
         candidates=named.drop("dropped"),
         edges=edges,
     )
