@@ -87,13 +87,9 @@ def text_counts(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all long)."""
     text = F.col("text").cast("string")
     plain = drop_clashes(docs, ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
-    counts = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
-    both = "_counts"
-    while both in {c.lower() for c in plain.columns}:
-        both += "_"
-    return plain.withColumns({both: counts, "word_chars": word_chars(text), "n_symbols": symbol_count(text), "n_dup_lines": duplicate_lines(text)}).withColumns(
-        {"n_words": F.col(both)["n_words"], "n_repeat_words": F.col(both)["n_repeat_words"]}
-    ).drop(both)
+    # apart from each other, so that a rule over the number of words looks for no repeats
+    counts = {"n_words": F.size(words_of(text)).cast("long"), "n_repeat_words": let(words_of(text), lambda w: repeated_words(w)), "word_chars": word_chars(text), "n_symbols": symbol_count(text), "n_dup_lines": duplicate_lines(text)}
+    return plain.withColumns(counts)
 
 
 @dataclass(frozen=True)
