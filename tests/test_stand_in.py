@@ -111,3 +111,11 @@ def test_counts_are_observed_while_pages_are_read(spark):
     rows = [(1, "https://a.test/", "<p>x</p>", 200), (2, "https://a.test/b", "".join(f"<a href='/{k}'>x</a>" for k in range(501)), 404), (None, "https://a.test/c", "", 200), (3, "https://a.test/d", "", None)]
     pages, _ = landing.page_table(spark.createDataFrame(rows, "page_id long, url string, html string, status int"), log=log)
     assert pages.count() == 3 and {k: v for k, v in log.items() if k != "seconds"} == {"pages": 3, "errors": 1, "truncated": 1} and log["seconds"] > 0
+
+
+def test_sites_without_pages_have_empty_lists_of_types(ev):
+    from weftscan.sources.bundle import Evidence
+
+    bare = Evidence(**(vars(ev) | {"pages": ev.pages.where(F.lit(False))}))
+    found = compose.run_rules(bare, ["ACC-001", "ACC-002", "ACC-008"]).where("outcome = 'finding' and pages_examined = 0").select("rule_id", "page_types").collect()
+    assert {r.rule_id for r in found} == {"ACC-001", "ACC-002", "ACC-008"} and all(r.page_types == [] for r in found)
