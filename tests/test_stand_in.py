@@ -119,3 +119,9 @@ def test_sites_without_pages_have_empty_lists_of_types(ev):
     bare = Evidence(**(vars(ev) | {"pages": ev.pages.where(F.lit(False))}))
     found = compose.run_rules(bare, ["ACC-001", "ACC-002", "ACC-008"]).where("outcome = 'finding' and pages_examined = 0").select("rule_id", "page_types").collect()
     assert {r.rule_id for r in found} == {"ACC-001", "ACC-002", "ACC-008"} and all(r.page_types == [] for r in found)
+
+
+def test_every_claim_is_promoted(spark, ev):
+    promoted = catalogue.queries()["claims_promoted"](spark, SF).groupBy().agg(F.count(F.lit(1)), F.max("beyond"), F.max("seq")).first()
+    kinds = ev.candidates.where(F.col("kind").isin("legal_name", "tagline", "founded_year", "product_name"))
+    assert promoted[0] == kinds.select("site_id", "kind", "value_normalized").distinct().count() and promoted[1] == 0 and promoted[2] > 5
