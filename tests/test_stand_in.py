@@ -125,3 +125,16 @@ def test_every_claim_is_promoted(spark, ev):
     promoted = catalogue.queries()["claims_promoted"](spark, SF).groupBy().agg(F.count(F.lit(1)), F.max("beyond"), F.max("seq")).first()
     kinds = ev.candidates.where(F.col("kind").isin("legal_name", "tagline", "founded_year", "product_name"))
     assert promoted[0] == kinds.select("site_id", "kind", "value_normalized").distinct().count() and promoted[1] == 0 and promoted[2] > 5
+
+
+def test_lines_are_read_once_and_not_again_for_references(spark):
+    for name in ("rule_idm_003", "rule_idm_004", "rule_ans_001", "claim_candidates"):
+        assert not any(f.endswith("lineitem.parquet") for f in catalogue.queries()[name](spark, SF).inputFiles()), name
+
+
+def test_closed_paths_are_those_that_decide_closes(spark):
+    from weftscan.functions import robots
+
+    paths = spark.createDataFrame([("a", p) for p in ("/", "/x", "/x/y", "/z", "/robots.txt")] + [("b", "/")], "site_id string, path string")
+    rules = spark.createDataFrame([("a", "g", False, "/x"), ("a", "g", True, "/x/y"), ("a", "h", False, "/"), ("a", "h", True, "/z"), ("b", "g", None, None)], "site_id string, agent string, allow boolean, pattern string")
+    assert _collected(robots.closed(paths, rules)) == _collected(robots.decide(paths, rules).where("not allowed").select("site_id", "path").distinct())
