@@ -1,11 +1,13 @@
 """Evidence of the given tables: both engines read the same, and rules find all that they can find there."""
 
+import dataclasses
 import os
 from collections import Counter
 from dataclasses import fields
 
 import duckdb
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from weftscan.plans import catalogue, compose, rule_sql, stand_in
@@ -138,3 +140,29 @@ def test_closed_paths_are_those_that_decide_closes(spark):
     paths = spark.createDataFrame([("a", p) for p in ("/", "/x", "/x/y", "/z", "/robots.txt")] + [("b", "/")], "site_id string, path string")
     rules = spark.createDataFrame([("a", "g", False, "/x"), ("a", "g", True, "/x/y"), ("a", "h", False, "/"), ("a", "h", True, "/z"), ("b", "g", None, None)], "site_id string, agent string, allow boolean, pattern string")
     assert _collected(robots.closed(paths, rules)) == _collected(robots.decide(paths, rules).where("not allowed").select("site_id", "path").distinct())
+
+
+def test_gaps_alone_equal_the_gaps_of_all_outcomes(ev):
+    alone, whole = compose.gaps(ev), compose.gaps_of(compose.run_rules_apart(ev))
+    rows = sorted(map(tuple, alone.collect()))
+    assert rows == sorted({tuple(r) for r in whole.collect()}) and len({r[1] for r in rows}) > 15
+
+
+def test_gaps_compute_only_what_decides_whether_a_rule_is_assessed(ev, monkeypatch):
+    def judge(_):
+        raise AnalysisException("findings were looked for")
+
+    for rule_id in ("ACC-001", "ACC-003", "RND-001", "IDM-003", "IDM-004", "ANS-001", "ARR-001"):
+        monkeypatch.setitem(R.CATALOGUE, rule_id, dataclasses.replace(R.CATALOGUE[rule_id], judge=judge))
+    assert not compose.gaps(ev).where("contains(reason, 'did not run')").count()
+    plan = compose._unassessed(R.CATALOGUE["ACC-005"], ev).select("site_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_gaps_say_why_a_rule_did_not_run(ev, monkeypatch):
+    def judge(e):
+        return R.judged(e.sites, "BAD-001", F.lit(True), assessed=F.raise_error(F.lit("cannot be decided")).isNotNull())
+
+    monkeypatch.setitem(R.CATALOGUE, "BAD-001", R.Rule("BAD-001", "audit-orchestrator", "", "", "found", False, "low", judge))
+    (reason,) = {r.reason for r in compose.gaps(ev, ["BAD-001", "PRO-001"]).where("rule_id = 'BAD-001'").collect()}
+    assert "did not run" in reason
