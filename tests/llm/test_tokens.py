@@ -237,3 +237,30 @@ def test_token_counts_on_whole_table_and_odd_rows(spark):
         texts = {r.doc_id: r.text or "" for r in docs.collect()}
         got = token_counts.token_counts(docs, P.path("byte_bpe_50k.tiktoken")).collect()
         assert {r.doc_id: (r.n_words, r.n_tokens) for r in got} == {k: (len(t.encode().split()), sum(_greedy(b" " + w, vocabulary) for w in t.encode().split())) for k, t in texts.items()}
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_and_the_marks_after_them_are_learnt_apart(name):
+    rng = random.Random(7)
+    marks = [chr(k) for k in range(0x21, 0x7F) if not chr(k).isalnum()]
+    words = ["".join(rng.choice("abcXYZéñßÀǅİĲɏ") for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    texts = [" ".join(w + "".join(rng.choice(marks) for _ in range(rng.randrange(4))) + rng.choice(["", "", "", "s", "1", "é."]) for w in words[k : k + 30]) for k in range(0, len(words), 30)]
+    encoder = library_encoder(P.path(name))
+    for text, packed in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(packed, "<u4").tolist() == _library(name, text), repr(text)
+    encoder.encode(["qqzétqq$$$ qqzunqq,%%%"])
+    assert any(w.strip() == "qqzétqq" for w in encoder._memo) and any(w.strip() == "qqzunqq" for w in encoder._memo)
+
+
+def test_words_with_bytes_that_the_vocabulary_lacks(tmp_path):
+    import json
+
+    from tokenizers import models, pre_tokenizers
+
+    few = Tokenizer(models.BPE(vocab={"a": 0, "b": 1, "Ġ": 2, "ab": 3, "Ċ": 4}, merges=[("a", "b")]))
+    few.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    few.save(str(tmp_path / "few.json"))
+    assert json.loads(few.to_str())["pre_tokenizer"]["type"] == "ByteLevel"
+    texts = ["ab abx xab", "é aéb xx ab\nba", "ab ba"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in library_encoder(str(tmp_path / "few.json")).encode(texts)]
+    assert got == [few.encode(t, add_special_tokens=False).ids for t in texts]

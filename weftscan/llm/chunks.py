@@ -11,13 +11,22 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import struct
 from collections.abc import Callable, Iterable
+from itertools import pairwise
 
 #: Entries of one generation of a memo, about 200 bytes each; a worker holds two generations.
 MEMO_ENTRIES = 500_000
 #: Longer chunks are encoded each time they occur.
 MEMO_CHUNK_CHARS = 64
+#: Letters below U+0250; not the dotted capital I, which ends in a mark when lower-cased.
+_LETTERS = "".join(chr(k) for k in range(0x250) if chr(k).isalpha() and k != 0x130)
+#: Marks that follow words; not the apostrophe, which opens pre-tokens of letters.
+_ENDS = re.escape("".join(chr(k) for k in range(0x21, 0x7F) if not chr(k).isalnum() and chr(k) != "'"))
+# what they match in a list of chunks, one a line; a chunk of several lines is none of them
+_ENDED = re.compile(rf"^( ?[{_LETTERS}]{{1,1000}})([{_ENDS}]+)$", re.MULTILINE)
+_ASCII_WORD, _WORD = (re.compile(rf"^ ?[{letters}]{{1,1000}}$", re.MULTILINE) for letters in ("A-Za-z", _LETTERS))
 
 # The normalizer and pre-tokenizer, as tokenizer files write them, that the splitters are right for.
 _DROPS_SPACE = (
@@ -84,31 +93,32 @@ class ChunkEncoder:
             self._learn(new)
         get = self._memo.__getitem__
         out = [alone[k] if k in alone else b"".join(map(get, c)) for k, c in enumerate(chunks)]
-        for c in new:
-            if len(c) > MEMO_CHUNK_CHARS:
-                del self._memo[c]
+        if max(map(len, new), default=0) > MEMO_CHUNK_CHARS:
+            for c in new:
+                if len(c) > MEMO_CHUNK_CHARS:
+                    del self._memo[c]
         if len(self._memo) > self._entries:
             self._memo, self._old = {}, self._memo
         return out
 
     def _learn(self, new: set[str]) -> None:
         memo, old = self._memo, self._old
-        known = {c for c in new if c in old} if old else set()
-        memo.update((c, old[c]) for c in known)
-        ended, whole = [], set()
-        for c in new.difference(known):
-            # a stop or comma after a letter is a pre-token of its own; a dotted capital I ends in a mark when lower-cased
-            if c[-1] in ".," and len(c) > 1 and c[-2] < "\u0250" and c[-2] != "\u0130" and c[-2].isalpha() and self._split is not whole_text:
-                ended.append(c)
-                whole.update((c[:-1], c[-1]))
-            else:
-                whole.add(c)
-        missing = [c for c in whole if c not in memo]
+        known = old.keys() & new
+        memo.update(zip(known, map(old.__getitem__, known), strict=True))
+        whole = new - known
+        # stops, commas and the like after letters are a pre-token of their own
+        ended = _ENDED.findall("\n".join(c for c in whole if "\n" not in c)) if self._split is not whole_text else []
+        words = [head + tail for head, tail in ended]
+        whole.difference_update(words)
+        for part in zip(*ended, strict=True):
+            whole.update(part)
+        missing = list(whole.difference(memo))
         memo.update(zip(missing, self._encode_many(missing), strict=True))
-        memo.update((c, memo[c[:-1]] + memo[c[-1]]) for c in ended)
-        for c in missing:
-            if len(c) > MEMO_CHUNK_CHARS and c not in new:
-                del memo[c]
+        memo.update((word, memo[head] + memo[tail]) for word, (head, tail) in zip(words, ended, strict=True) if word in new)
+        if max(map(len, missing), default=0) > MEMO_CHUNK_CHARS:
+            for c in missing:
+                if len(c) > MEMO_CHUNK_CHARS and c not in new:
+                    del memo[c]
 
 
 _PACKS = [struct.Struct(f"<{n}I").pack for n in range(64)]
@@ -134,8 +144,8 @@ def library_encoder(path: str) -> ChunkEncoder:
     follows holds for the two kinds of normalizer and pre-tokenizer that are known here: one keeps white space (byte-level), one
     drops it (word ends). Files with any others are encoded by the library, text by text.
 
-    A new chunk of letters below U+0250 is one pre-token, normal as it is but for its case, and goes
-    straight to the library's model. Other new chunks go to the library in one call, joined by a pre-token that is one token and stays
+    New chunks of letters below U+0250 are one pre-token each, normal as they are but for their case, and go
+    straight to the library's model, 4,096 in a call; the bytes that tokens stand for tell where a chunk ends. Other new chunks go to the library in one call, joined by a pre-token that is one token and stays
     apart: a newline where white space is kept, else a bar between spaces. The ids between two
     of these are those of a chunk. Chunks that hold it themselves, and very long ones, are encoded alone.
     """
@@ -144,6 +154,7 @@ def library_encoder(path: str) -> ChunkEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import numpy as np
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import CharDelimiterSplit
 
     tokenizer = Tokenizer.from_file(path)
     written = json.loads(tokenizer.to_str())
@@ -157,20 +168,45 @@ def library_encoder(path: str) -> ChunkEncoder:
     (mark_id,) = tokenizer.encode(held, add_special_tokens=False).ids
     alphabet = byte_alphabet()
 
-    tokenize, normalize = tokenizer.model.tokenize, (str if keeps_space else str.lower)
-
-    def by_model(word: str) -> bytes:
-        # one pre-token: what normalizer and pre-tokenizer would hand to the model, by the byte alphabet
-        word = normalize(word)
-        return pack_ids([t.id for t in tokenize(word.replace(" ", "\u0120") if word.isascii() else "".join(map(alphabet.__getitem__, word.encode())))])
+    normalize = str if keeps_space else str.lower
+    # the model alone, over words that need no more than to be kept apart by a bar
+    words_only = Tokenizer(tokenizer.model)
+    words_only.pre_tokenizer = CharDelimiterSplit("|")
+    suffix = written["model"].get("end_of_word_suffix") or ""
+    vocabulary = tokenizer.get_vocab()
+    n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # of text that a token stands for
+    for token, k in vocabulary.items():
+        n_bytes[k] = len(token.removesuffix(suffix))
+    to_alphabet = dict(enumerate(alphabet))
+
+    def by_model(words: list[str]) -> list[bytes]:
+        """Each word is one pre-token: what normalizer and pre-tokenizer would hand to the model, by the byte alphabet."""
+        text = normalize("|".join(words))
+        raw = text.encode()
+        ids = np.array(words_only.encode_batch_fast([text.replace(" ", "\u0120") if len(raw) == len(text) else raw.decode("latin-1").translate(to_alphabet)], add_special_tokens=False)[0].ids, "<u4")
+        bars = np.flatnonzero(np.frombuffer(raw, np.uint8) == ord("|"))
+        ends = np.append(bars - np.arange(bars.size), len(raw) - bars.size)
+        reached = n_bytes[ids].cumsum()
+        last = reached.searchsorted(ends)
+        if not ids.size or last[-1] != ids.size - 1 or (reached[last] != ends).any():
+            # the vocabulary lacks a byte: tokens do not tell which word they are of
+            return [pack_ids([t.id for t in tokenizer.model.tokenize("".join(map(alphabet.__getitem__, normalize(w).encode())))]) for w in words]
+        packed, cuts = ids.tobytes(), [0, *(4 * last + 4).tolist()]
+        return [packed[i:j] for i, j in pairwise(cuts)]
 
     def encode_many(chunks: list[str]) -> list[bytes]:
-        got, rest = {}, []
+        lines = "\n".join(c for c in chunks if "\n" not in c)
+        plain = _ASCII_WORD.findall(lines)
+        latin, got = list(set(_WORD.findall(lines)).difference(plain)), {}
+        for words in (plain, latin):
+            for at in range(0, len(words), 4096):
+                part = words[at : at + 4096]
+                got.update(zip(part, by_model(part), strict=True))
+        rest = []
         for c in chunks:
-            word = c[1:] if keeps_space and c[0] == " " else c
-            if word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word)) and len(word) <= 1000:
-                got[c] = by_model(c)
-            elif held in c or len(c) > 1000 or (keeps_space and c[-1].isspace()):
+            if c in got:
+                continue
+            if held in c or len(c) > 1000 or (keeps_space and c[-1].isspace()):
                 got[c] = pack_ids(tokenizer.encode(c, add_special_tokens=False).ids)
             else:
                 rest.append(c)
