@@ -166,3 +166,11 @@ def test_gaps_say_why_a_rule_did_not_run(ev, monkeypatch):
     monkeypatch.setitem(R.CATALOGUE, "BAD-001", R.Rule("BAD-001", "audit-orchestrator", "", "", "found", False, "low", judge))
     (reason,) = {r.reason for r in compose.gaps(ev, ["BAD-001", "PRO-001"]).where("rule_id = 'BAD-001'").collect()}
     assert "did not run" in reason
+
+
+def test_outcomes_of_few_columns_are_the_same_rows(ev):
+    few = ["site_id", "rule_id", "outcome"]
+    ids = ["ACC-005", "PRO-001"]
+    narrow = compose.run_rules_apart(ev, ids, columns=few)
+    assert narrow.columns == few
+    assert _collected(narrow) == _collected(compose.run_rules_apart(ev, ids).select(*few))
