@@ -174,3 +174,43 @@ def test_outcomes_of_few_columns_are_the_same_rows(ev):
     narrow = compose.run_rules_apart(ev, ids, columns=few)
     assert narrow.columns == few
     assert _collected(narrow) == _collected(compose.run_rules_apart(ev, ids).select(*few))
+
+
+def test_reports_read_off_each_page_once_what_rules_ask_of_it(spark, ev):
+    seen = dataclasses.replace(ev, pages=compose.landed(R.with_signals(ev.pages)))
+    assert set(R.SIGNALS) <= set(seen.pages.columns) and not set(R.BEHIND_SIGNALS) & set(seen.pages.columns)
+    asked = ["ACC-003", "IDM-002", "RND-003"]
+    assert _collected(compose.run_rules(seen, asked)) == _collected(compose.run_rules(ev, asked))
+    # no rule looks into markup, texts or directives again
+    for rule_id in ("ACC-003", "ACC-004", "RND-003", "IDM-001", "IDM-002", "PRO-003"):
+        plan = R.CATALOGUE[rule_id].judge(seen)._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(f" {c}#" in plan.replace("[", " ").replace(",", " ") for c in R.BEHIND_SIGNALS), rule_id
+
+
+def test_rules_of_others_find_pages_whole(spark, ev, monkeypatch):
+    own = dataclasses.replace(R.CATALOGUE["ACC-002"], rule_id="OWN-001", judge=lambda e: R.judged(R.by_site(e, e.pages.groupBy("site_id").agg(F.count("nodes").alias("marked"))), "OWN-001", F.col("marked") > 0))
+    monkeypatch.setitem(R.CATALOGUE, "OWN-001", own)
+    assert set(R.BEHIND_SIGNALS) <= set(R.with_signals(ev.pages).columns)
+    monkeypatch.setattr(R, "CATALOGUE", {k: r for k, r in R.CATALOGUE.items() if k != "OWN-001"})
+    assert not set(R.BEHIND_SIGNALS) & set(R.with_signals(ev.pages).columns)
+
+
+def test_findings_are_dealt_out_once_by_site(ev):
+    outcomes = compose.landed(compose.run_rules(ev, ["ACC-002", "ACC-005", "RND-002"]))
+    plan = compose.findings_of(ev, outcomes)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_lines_of_reports_are_one_line_whatever_white_space_they_have(spark, ev):
+    from weftscan.sources.bundle import Evidence
+
+    few = Evidence(**{k: v.where("site_id in ('c1', 'c10')") for k, v in vars(ev).items()})
+    found = compose.landed(compose.findings_of(few, compose.run_rules(few, ["ACC-002", "PRO-002"])))
+    odd = F.lit("  a\tb\u000bc  d\n### e\u000cf\r ")
+    shown = F.struct(*[F.col(c) for c in found.columns if c not in ("site_id", "detail", "title")], odd.alias("detail"), odd.alias("title"), F.array().cast("array<struct<url: string, observation: string>>").alias("evidence"))
+    reports = found.groupBy("site_id").agg(F.collect_list(shown).alias("findings"))
+    reports = reports.withColumns({c: F.lit(1) for c in ("total_findings", *compose.SEVERITIES, "proactive")} | {c: F.lit("x") for c in ("site", "audited_at")})
+    reports = reports.withColumns({"checks_passed": F.array(F.lit("x")), "not_assessed": F.array(F.struct(F.lit("x").alias("rule_id"), odd.alias("reason"))), "run_context": F.struct(F.array(F.struct(F.lit("x").alias("what"), odd.alias("reason"))).alias("degradations"))})
+    assert reports.count() > 0
+    for r in compose.markdown(reports).collect():
+        assert "Observed: a b c d ### e f\n" in r.report and " a b c d ### e f (" in r.report
